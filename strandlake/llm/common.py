@@ -148,15 +148,15 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of the words [^\\x20\\x09-\\x0D]+ of all rows; words never cross rows."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the words of all rows, [^\\x20\\x09-\\x0D]+ unless other bytes break words; words never cross rows."""
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~_SPACE[raw]
+    word = ~breaks[raw]
     first = np.zeros(n + 1, bool)
-    first[offsets[:-1]] = True
+    first[offsets[:-1]] = True  # an empty last row points past the end
     first = first[:n]
     prev = np.empty(n, bool)
     prev[0] = False
