@@ -54,6 +54,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup_substrings
+
+    return dedup_substrings(documents(spark, sf_dir)).drop("spans")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -74,7 +80,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_language_id, op4_token_store, op5_quality_rules, op6_decontamination, op8_best_fit_packing, op9_line_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_language_id, op4_token_store, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_best_fit_packing, op9_line_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
