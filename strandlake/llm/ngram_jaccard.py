@@ -250,3 +250,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     facts = nodes.select("node", "vid", "copies").join(degree, "vid", "left").join(roots.withColumnRenamed("v", "vid"), "vid", "left")
     facts = facts.select("node", F.coalesce("root", "vid").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     return signed.select("doc_id", "node").join(facts, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their class (null ids and rows alike stay)."""
+    gone = stage(jaccard_join(docs, id_col, text_col, threshold).filter("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
