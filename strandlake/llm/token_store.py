@@ -3,7 +3,8 @@ documents are recipes of chunk hashes, and Merkle roots let a reader verify what
 
 Files, all Parquet under one folder:
   recipes   one row per document in ascending doc_id: part, rid, doc_id, n_tokens, hashes (16 bytes a chunk), lengths, root
-  chunks    one row per unique chunk: hash (16 bytes), ids (little-endian unsigned 32-bit)
+  chunks    one row per unique chunk: hash (16 bytes, of ids), ids (a byte that gives the width of an id, 2 or 4, then
+            little-endian unsigned ids; 2 where all ids of the chunk fit)
   manifest  one row per recipe part: part, documents, tokens, start (ids before it), root over the documents' roots
 """
 
@@ -48,6 +49,16 @@ def cut_points(ids: np.ndarray) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """A chunk as stored."""
+    return b"\2" + ids.astype("<u2").tobytes() if len(ids) == 0 or int(ids.max()) < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
+
+
+def unpack_ids(raw: bytes) -> np.ndarray:
+    """The little-endian 32-bit ids of a stored chunk."""
+    return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", -1, 1).astype("<u4")
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root over 16-byte leaves: pairs are hashed level by level, an odd one moves up; no leaf gives the hash of nothing."""
     level = leaves
@@ -115,9 +126,9 @@ def _encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 rows = []
                 for i, doc in enumerate(cut.column("doc_id").to_pylist()):
                     own = np.append(ids[off[i] : off[i + 1]], np.uint32(end_id)).astype("<u4")
-                    ends, raw, at, hashes = cut_points(own), own.tobytes(), 0, []
-                    for e in (4 * ends).tolist():
-                        piece = raw[at:e]
+                    ends, at, hashes = cut_points(own), 0, []
+                    for e in ends.tolist():
+                        piece = pack_ids(own[at:e])
                         h = hashlib.blake2b(piece, digest_size=16).digest()
                         hashes.append(h)
                         if h not in stored:
@@ -196,8 +207,9 @@ def _verified(batches):
         ids, good, n, crc = b.column("ids").to_pylist(), [], [], []
         for h, raw in zip(b.column("hash").to_pylist(), ids, strict=True):
             good.append(hashlib.blake2b(raw, digest_size=16).digest() == h)
-            n.append(len(raw) // 4)
-            crc.append(zlib.crc32(raw))
+            values = unpack_ids(raw)
+            n.append(len(values))
+            crc.append(zlib.crc32(values.tobytes()))
         if not all(good):
             raise ValueError("a stored chunk does not match its hash")
         yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], names=["hash", "n", "crc"])
@@ -262,8 +274,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     recipes = read_recipes(spark, path)
     entries = recipes.select("rid", "hashes").mapInArrow(_entries, "rid long, seq int, hash binary")
     parts = entries.join(read_chunks(spark, path), "hash").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
-    ids = F.aggregate(F.col("parts.ids"), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
-    return recipes.select("rid", "doc_id").join(parts, "rid").select("rid", "doc_id", ids.alias("ids"))
+
+    def rebuild(batches):
+        for b in batches:
+            ids = [b"".join([unpack_ids(p["ids"]).tobytes() for p in parts]) for parts in b.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(ids, pa.binary())], names=["rid", "doc_id", "ids"])
+
+    return recipes.select("rid", "doc_id").join(parts, "rid").mapInArrow(rebuild, "rid long, doc_id long, ids binary")
 
 
 def store_and_digest(docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:
