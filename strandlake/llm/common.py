@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,17 @@ def drop_stage(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Shuffle files go once nothing refers to them: say so now, not when the driver next happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def broadcast_if(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows, by count; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def pick_id_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the named columns, under fixed names, so that other columns of docs can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more])

@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import U64, PrefixHash, code_points, mix64, pick_id_text, stage, text_slices
+from .common import U64, PrefixHash, broadcast_if, code_points, mix64, pick_id_text, stage, text_slices, tidy
 
 MAX_EDITS = 1
 #: Shorter lines must be equal to be repeats: one edit turns them into other words.
 MIN_FUZZY = 20
-#: Candidate lines whose places may be broadcast to fetch their texts; beyond it the texts are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of narrow tables (keys, line hashes, places) that may be broadcast, by count; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 LAST = (1 << 63) - 1
 
 _OTHER_BASE = 0xC2B2AE3D27D4EB4F
@@ -65,21 +65,26 @@ def _occurrences(batches):
             k = np.sort(order[new])
             start, end, n = start[k], end[k], (end - start)[k]
             half, lower = start + n // 2, start + np.maximum(n - 1, 0) // 2
-            cols = [ids[row[k]], cut.column("th").to_numpy()[row[k]], number[k].astype(np.int32), h1[k].view(np.int64), h2[k].view(np.int64), n.astype(np.int32)]
-            cols += [a.ranges(s, e).view(np.int64) for s, e in ((start, half), (half, end), (start, lower), (np.minimum(lower + 1, end), end))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "th", "line", "h1", "h2", "n", "head", "tail", "head1", "tail1"])
+            # Of the halves that the longer line of a pair has, one is its own: the head if n is odd, the tail if it is even.
+            odd = n % 2 == 1
+            third = np.where(odd, a.ranges(np.minimum(lower + 1, end), end), a.ranges(start, lower))
+            cols = [ids[row[k]], cut.column("th").to_numpy()[row[k]], number[k].astype(np.int32), h1[k].view(np.int64), h2[k].astype(np.uint32).view(np.int32), n.astype(np.int32)]
+            cols += [mix64(v).astype(np.uint32).view(np.int32) for v in (a.ranges(start, half), a.ranges(half, end), third)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "th", "line", "h1", "h2", "n", "head", "tail", "other"])
 
 
-OCCURRENCES = "doc_id long, th long, line int, h1 long, h2 long, n int, head long, tail long, head1 long, tail1 long"
+OCCURRENCES = "doc_id long, th long, line int, h1 long, h2 int, n int, head int, tail int, other int"
 
 
 def _half_keys(batches):
     """Keys that lines within one edit share: a half, with the shorter line's length."""
     for b in batches:
-        get = lambda c: b.column(c).to_numpy().view(U64) if c != "n" else b.column(c).to_numpy().astype(U64)
-        n, keys = get("n"), []
-        for part, length, side in (("head", n, 1), ("tail", n, 2), ("head1", n - U64(1), 1), ("tail1", n - U64(1), 2)):
-            keys.append(mix64(get(part) ^ mix64(length * U64(4) + U64(side))).view(np.int64))
+        get = lambda c: b.column(c).to_numpy().astype(np.uint32).astype(U64)
+        n, head, tail, other = map(get, ("n", "head", "tail", "other"))
+        odd = n % U64(2) == 1
+        keys = []
+        for part, length, side in ((head, n, 1), (tail, n, 2), (np.where(odd, head, other), n - U64(1), 1), (np.where(odd, other, tail), n - U64(1), 2)):
+            keys.append(mix64(part ^ mix64(length * U64(4) + U64(side))).view(np.int64))
         h1 = b.column("h1").to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(h1, 4))], names=["key", "h1"])
 
@@ -94,9 +99,9 @@ def _pick_lines(batches):
         # Rows that share a doc_id are told apart by the line's hash.
         codes, off = code_points([x[4] for x in out])
         _, h1, h2 = _hash_pair(codes, off[:-1], off[1:]) if out else (None, np.zeros(0, U64), np.zeros(0, U64))
-        keep = [i for i, x in enumerate(out) if x[2] == int(h1[i].view(np.int64)) and x[3] == int(h2[i].view(np.int64))]
+        keep = [i for i, x in enumerate(out) if x[2] == int(h1[i].view(np.int64)) and x[3] == int(h2[i].astype(np.uint32).view(np.int32))]
         cols = list(zip(*[out[i] for i in keep], strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "line", "h1", "h2", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "line", "h1", "h2", "text"])
 
 
 def _variants(batches):
@@ -131,25 +136,35 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeats inside a document aren't listed: removing them needs that document alone.
     """
     base = pick_id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    spark = docs.sparkSession
     occurrences = stage(base.mapInArrow(_occurrences, OCCURRENCES))
-    firsts = [F.first(c).alias(c) for c in ("n", "head", "tail", "head1", "tail1")]
-    distinct = stage(occurrences.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line"), *firsts))
-    keys = distinct.filter(F.col("n") >= min_fuzzy).select("h1", "n", "head", "tail", "head1", "tail1").mapInArrow(_half_keys, "key long, h1 long")
-    shared = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key")
-    maybe = stage(keys.join(shared, "key", "left_semi").select("h1").distinct())
-    wanted = stage(distinct.join(maybe, "h1", "left_semi").filter(F.col("n") >= min_fuzzy).groupBy("doc_id").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted")))
-    pick = F.broadcast(wanted) if maybe.count() <= BROADCAST_ROWS // 10 else wanted
-    lines = stage(base.join(pick, "doc_id").mapInArrow(_pick_lines, "doc_id long, line int, h1 long, h2 long, text string").dropDuplicates(["h1", "h2"]))
-    links = _links(lines)
-    near = lines.select("h1", "h2", F.col("text").alias("later")).join(links, "h1")
-    near = near.join(lines.select(F.col("h1").alias("first"), F.col("text").alias("earlier")), "first")
-    near = near.filter(F.levenshtein("later", "earlier", MAX_EDITS) >= 0).select("h1", "h2").distinct()
-    kept = distinct.select("h1", "h2", F.col("doc_id").alias("d0"), F.col("line").alias("l0"))
-    dropped = kept.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    repeats = occurrences.select("h1", "h2", "doc_id", "th", "line").join(dropped, ["h1", "h2"]).filter("near or doc_id <> d0")
+    firsts = [F.first(c).alias(c) for c in ("n", "head", "tail", "other")]
+    places = [F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line")]
+    distinct = stage(occurrences.groupBy("h1", "h2").agg(*places, *firsts))
+    tidy(spark)
+    keys = distinct.filter(F.col("n") >= min_fuzzy).select("h1", "n", "head", "tail", "other").mapInArrow(_half_keys, "key long, h1 long")
+    shared = stage(keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key"))
+    maybe = stage(keys.join(broadcast_if(shared, BROADCAST_ROWS), "key", "left_semi").select("h1").distinct())
+    tidy(spark)
+    wanted = stage(distinct.join(broadcast_if(maybe, BROADCAST_ROWS), "h1", "left_semi").filter(F.col("n") >= min_fuzzy).groupBy("doc_id").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted")))
+    pick = F.broadcast(wanted) if maybe.count() <= BROADCAST_ROWS else wanted
+    lines = stage(base.select("doc_id", "text").join(pick, "doc_id").mapInArrow(_pick_lines, "doc_id long, line int, h1 long, h2 int, text string").dropDuplicates(["h1", "h2"]))
+    near = _verified(lines)
+    tidy(spark)
+    several = distinct.select("h1", "h2", "n_docs", F.col("doc_id").alias("d0")).join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+    several = stage(several.select("h1", "h2", "d0", F.coalesce("near", F.lit(False)).alias("near"), "n_docs").filter("near or n_docs > 1").drop("n_docs"))
+    repeats = occurrences.select("h1", "h2", "doc_id", "th", "line").join(broadcast_if(several, BROADCAST_ROWS), ["h1", "h2"]).filter("near or doc_id <> d0")
     return repeats.select("doc_id", "th", "line", (F.col("doc_id") == F.col("d0")).alias("near"))
 
 
+def _verified(lines: DataFrame) -> DataFrame:
+    """h1, h2 of lines whose edit distance to the earlier line they are linked to is within the bound."""
+    links = stage(_links(lines))
+    later = lines.select("h1", "h2", F.col("text").alias("later")).join(links, "h1")
+    both = later.join(lines.select(F.col("h1").alias("first"), F.col("text").alias("earlier")), "first")
+    return stage(both.filter(F.levenshtein("later", "earlier", MAX_EDITS) >= 0).select("h1", "h2").distinct())
+
+
 def _links(lines: DataFrame) -> DataFrame:
     """h1, first: a line and an earlier one within one edit, by equal keys; one link per line."""
     v = lines.mapInArrow(_variants, "key long, kind int, doc_id long, line int, h1 long")
