@@ -1 +1 @@
-
+"""Operators: indexes, joins, k-mer sketches, suffix arrays, read simulation."""

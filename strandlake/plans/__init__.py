@@ -1 +1 @@
-
+"""Search schemes and the choice of seeds."""

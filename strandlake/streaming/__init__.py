@@ -1 +1 @@
-
+"""Searching reads as they arrive."""
