@@ -45,7 +45,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge_quality
 
-    return judge_quality(documents(spark, sf_dir))
+    return judge_quality(documents(spark, sf_dir)).drop("char_distance", "word_distance")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracle
+
+    return oracle.oracle_sql()
