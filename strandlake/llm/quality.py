@@ -24,7 +24,7 @@ CHAR_CLASSES = ("lower", "upper", "digit", "mark", "other", "space")
 N_WORDS = 16
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Distances allowed: a constant plus a share of the noise, which falls with the square root of what was counted.
-CHAR_LIMIT, WORD_LIMIT, CHAR_NOISE, WORD_NOISE = 0.22, 0.45, 2.0, 3.0
+CHAR_LIMIT, WORD_LIMIT, CHAR_NOISE, WORD_NOISE = 0.18, 0.20, 1.1, 1.1
 #: Documents with fewer words, or languages with fewer words in all, aren't judged by divergence.
 GUARD_WORDS, GUARD_REFERENCE = 50, 2_000
 
