@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import is_valid, normalise, replace_unknown, require_valid, reverse_complement
 from ..functions.distance import edit, hamming
+from ..plans.planner import seed_regions
+from ..plans.schemes import Scheme
 
 #: Gram lengths: a query takes the longest that its seeds reach. Few lengths mean few passes over the references.
 GRAMS = (1, 2, 4, 8, 12, 16, 20, 24, 32)
@@ -58,14 +60,28 @@ def strand_counts(queries: DataFrame) -> DataFrame:
     return queries.agg(F.count_if(F.col("strand") == 0).alias("forward"), F.count_if(F.col("strand") == 1).alias("backward"))
 
 
-def seeds(queries: DataFrame, errors: int) -> DataFrame:
-    """query_id, seq, gram length g, seed (its first g letters), its offset in the query."""
-    part = F.floor(F.length("seq") / (errors + 1)).cast("int")
+def seeds(queries: DataFrame, errors: int, scheme: Scheme | None = None) -> DataFrame:
+    """query_id, seq, gram length g, seed (its first g letters), its offset in the query.
+
+    Seeds are the regions that some search of the scheme wants free of errors (of k+1 parts, each one, if no scheme is
+    given); queries with fewer letters than the scheme has parts take the k+1 parts.
+    """
+    plan, parts = seed_regions(scheme) if scheme else ([(j, j + 1) for j in range(errors + 1)], errors + 1)
+    out = _seeds(queries.filter(F.length("seq") >= parts), plan, parts)
+    if parts > errors + 1:
+        out = out.union(_seeds(queries.filter(F.length("seq") < parts), [(j, j + 1) for j in range(errors + 1)], errors + 1))
+    return out
+
+
+def _seeds(queries: DataFrame, regions: list[tuple[int, int]], parts: int) -> DataFrame:
+    m = F.length("seq")
+    start = lambda i: (i * F.floor(m / parts) + F.least(F.lit(i), m % parts)).cast("int")
+    spans = F.array(*[F.struct(start(a).alias("offset"), (start(b) - start(a)).alias("n")) for a, b in regions])
     g = F.lit(0)
     for n in GRAMS:
-        g = F.when(part >= n, n).otherwise(g)
-    rows = queries.select("query_id", "seq", part.alias("part"), g.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(errors))).alias("j")).filter("g > 0")
-    return rows.select("query_id", "seq", "g", (F.col("j") * F.col("part")).alias("offset"), F.substring(F.col("seq").cast("binary"), F.col("j") * F.col("part") + 1, F.col("g")).alias("gram"))
+        g = F.when(F.col("x.n") >= n, n).otherwise(g)
+    rows = queries.select("query_id", "seq", F.explode(spans).alias("x")).select("query_id", "seq", g.alias("g"), F.col("x.offset").alias("offset")).filter("g > 0")
+    return rows.withColumn("gram", F.substring(F.col("seq").cast("binary"), F.col("offset") + 1, F.col("g")))
 
 
 def grams(refs: DataFrame, g: int, keep_seq: bool = False) -> DataFrame:
@@ -126,16 +142,17 @@ def _short(refs: DataFrame, queries: DataFrame, errors: int, metric: str) -> Dat
     return _verify(places.select("seq_id", "b", "pos", F.inline(held)), errors, metric)
 
 
-def search(refs: DataFrame, queries: DataFrame, errors: int = 0, metric: str = "edit", mode: str = "all", max_hits: int = 0, broadcast: bool | None = None) -> DataFrame:
+def search(refs: DataFrame, queries: DataFrame, errors: int = 0, metric: str = "edit", mode: str = "all", max_hits: int = 0, broadcast: bool | None = None, scheme: Scheme | None = None) -> DataFrame:
     """query_id, seq_id, pos, errors of all hits of queries (query_id, seq) in refs (seq_id, seq), both in one alphabet.
 
     mode best keeps each query's lowest error count (strands are queries of their own); max_hits keeps at most that many
-    hits per query, in the order errors, seq_id, pos. Empty queries have no hits.
+    hits per query, in the order errors, seq_id, pos. Empty queries have no hits. A complete scheme may choose the seeds; hits are
+    the same with any.
     """
     if metric not in METRICS or mode not in MODES or errors < 0 or max_hits < 0:
         raise ValueError(f"metric must be of {METRICS}, mode of {MODES}; errors and max_hits must not be negative")
     metric = "hamming" if errors == 0 else metric
-    own = seeds(queries, errors)
+    own = seeds(queries, errors, scheme)
     lengths = sorted(r.g for r in own.select("g").distinct().collect())
     small = own.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS if broadcast is None else broadcast
     parts = [_by_grams(refs, own, g, errors, metric, small) for g in lengths]

@@ -104,6 +104,22 @@ def test_metamorphic(spark, sample):
     assert hits(search_collapsed(r, q, 1, alphabet="dr_dna4", verify=True)) == one
 
 
+@pytest.mark.parametrize("name", ["optimum", "01*0", "suffix", "pex-td", "h2-k3"])
+def test_every_complete_scheme_gives_the_same_hits(spark, sample, name):
+    from strandlake.plans.schemes import generate
+
+    refs, queries = sample
+    r, q = seqs(spark, refs), seqs(spark, queries, "query_id")
+    assert hits(search(r, q, 2, "edit", scheme=generate(name, 0, 2))) == brute(refs, queries, 2, "edit")
+
+
+def test_scheme_without_seed_is_refused(spark):
+    from strandlake.plans.schemes import generate
+
+    with pytest.raises(ValueError, match="free of errors"):
+        search(seqs(spark, REFS), seqs(spark, [(0, "ACGT")], "query_id"), 1, scheme=generate("backtracking", 0, 1))
+
+
 def test_bad_options(spark):
     for more in ({"metric": "x"}, {"mode": "x"}, {"errors": -1}, {"max_hits": -1}):
         with pytest.raises(ValueError):
