@@ -92,16 +92,17 @@ def _half_keys(batches):
 def _pick_lines(batches):
     """Texts of the wanted lines of each document."""
     for batch in batches:
-        out = []
-        for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            lines = (text or "").split("\n")
-            out += [(doc, w["line"], w["h1"], w["h2"], lines[w["line"]]) for w in wanted if w["line"] < len(lines)]
-        # Rows that share a doc_id are told apart by the line's hash.
-        codes, off = code_points([x[4] for x in out])
-        _, h1, h2 = _hash_pair(codes, off[:-1], off[1:]) if out else (None, np.zeros(0, U64), np.zeros(0, U64))
-        keep = [i for i, x in enumerate(out) if x[2] == int(h1[i].view(np.int64)) and x[3] == int(h2[i].astype(np.uint32).view(np.int32))]
-        cols = list(zip(*[out[i] for i in keep], strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "line", "h1", "h2", "text"])
+        for cut in text_slices(batch):
+            out = []
+            for doc, text, wanted in zip(cut.column("doc_id").to_pylist(), cut.column("text").to_pylist(), cut.column("wanted").to_pylist(), strict=True):
+                lines = (text or "").split("\n")
+                out += [(doc, w["line"], w["h1"], w["h2"], lines[w["line"]]) for w in wanted if w["line"] < len(lines)]
+            # Rows that share a doc_id are told apart by the line's hash.
+            codes, off = code_points([x[4] for x in out])
+            _, h1, h2 = _hash_pair(codes, off[:-1], off[1:]) if out else (None, np.zeros(0, U64), np.zeros(0, U64))
+            keep = [i for i, x in enumerate(out) if x[2] == int(h1[i].view(np.int64)) and x[3] == int(h2[i].astype(np.uint32).view(np.int32))]
+            cols = list(zip(*[out[i] for i in keep], strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "line", "h1", "h2", "text"])
 
 
 def _variants(batches):
@@ -197,34 +198,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for c, t in (("n_lines", "long"), ("n_removed", "long"), ("n_near", "long")):
         schema = schema.add(c, t) if c not in at else schema
 
+    def rewrite(text: str, gone: list | None) -> tuple[str, int, int, int]:
+        drop = {g["line"]: g["near"] for g in gone or ()}
+        kept, seen, n, near = [], {}, 0, 0
+        lines = text.split("\n")
+        for i, line in enumerate(lines):
+            if not line.strip(" \t\n\x0b\x0c\r"):
+                kept.append(line)
+                continue
+            n += 1
+            if line in seen or i in drop:
+                near += seen.setdefault(line, drop.get(i, False))
+                continue
+            seen[line] = False
+            kept.append(line)
+        return "\n".join(kept), n, len(lines) - len(kept), near
+
     def run(batches):
+        names = ("n_lines", "n_removed", "n_near")
         for batch in batches:
-            out, counts = [], []
-            for text, gone in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-                if text is None:
-                    out.append(None)
-                    counts.append((0, 0, 0))
-                    continue
-                drop = {g["line"]: g["near"] for g in gone or ()}
-                kept, seen, n, near = [], {}, 0, 0
-                lines = text.split("\n")
-                for i, line in enumerate(lines):
-                    if not line.strip(" \t\n\x0b\x0c\r"):
-                        kept.append(line)
-                        continue
-                    n += 1
-                    if line in seen or i in drop:
-                        near += seen[line] if line in seen else drop[i]
-                        seen.setdefault(line, drop.get(i, False))
-                        continue
-                    seen[line] = False
-                    kept.append(line)
-                out.append("\n".join(kept))
-                counts.append((n, len(lines) - len(kept), near))
-            cols = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in at]
-            more = [pa.array(c, pa.int64()) for c in (zip(*counts, strict=True) if counts else [(), (), ()])]
-            names = ["n_lines", "n_removed", "n_near"]
-            cols = [more[names.index(c)] if c in names else x for c, x in zip(at, cols, strict=True)] + [m for c, m in zip(names, more, strict=True) if c not in at]
-            yield pa.RecordBatch.from_arrays(cols, names=[*at, *[c for c in names if c not in at]])
+            for cut in text_slices(batch, text_col):
+                rows = [(None, 0, 0, 0) if t is None else rewrite(t, g) for t, g in zip(cut.column(text_col).to_pylist(), cut.column("__gone").to_pylist(), strict=True)]
+                text, *counts = list(zip(*rows, strict=True)) if rows else [()] * 4
+                new = {text_col: pa.array(text, pa.string())} | {c: pa.array(v, pa.int64()) for c, v in zip(names, counts, strict=True)}
+                order = [*at, *[c for c in names if c not in at]]
+                yield pa.RecordBatch.from_arrays([new[c] if c in new else cut.column(c) for c in order], names=order)
 
     return joined.mapInArrow(run, schema)
