@@ -7,6 +7,8 @@ the leftmost of equals, and is dropped if it equals the one before it.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,32 +52,64 @@ def mod_mers(seqs: DataFrame, k: int, mod_exp: int) -> DataFrame:
     return h.filter(F.col("value").bitwiseAND(F.lit((1 << mod_exp) - 1)) == 0)
 
 
-def minimizers(seqs: DataFrame, k: int, w: int) -> DataFrame:
-    """seq_id, pos, value of winnowing minimizers (FN14, W2).
+#: Frames of a long sequence that are handled at once.
+CHUNK = 1 << 20
+
 
-    The window runs inside each row's array, so that a long sequence's k-mers aren't shuffled to one task as rows.
-    """
+def minimizers(seqs: DataFrame, k: int, w: int) -> DataFrame:
+    """seq_id, pos, value of winnowing minimizers (FN14, W2), in numpy over Arrow batches; long sequences go in chunks."""
     check_k(k)
     if w < 1:
         raise ValueError("window must be at least 1")
-    n = F.length("seq")
-    b = F.col("seq").cast("binary")
-    value = lambda i: canonical(F.substring(F.col("b"), i + 1, F.lit(k)).cast("string"))
-    rows = seqs.filter(n >= k + w - 1).select("seq_id", b.alias("b"), n.alias("n"))
-    vals = rows.select("seq_id", F.transform(F.sequence(F.lit(0), F.col("n") - k), value).alias("v"), (F.col("n") - (k + w - 2)).alias("frames"))
-    # Least (value, place) of every frame, by doubling: after each step an entry covers twice as many k-mers.
-    m = F.transform("v", lambda x, i: F.struct(x.alias("v"), i.alias("i")))
-    out, size = vals.select("seq_id", m.alias("m"), "frames"), 1
-    while size < w:
-        step = min(size, w - size)
-        out = _double(out, step)
-        size += step
-    kept = F.filter(F.slice("m", F.lit(1), F.col("frames")), lambda x, i: (i == 0) | (x["v"] != F.get("m", i - 1)["v"]))
-    return out.select("seq_id", F.explode(kept).alias("x")).select("seq_id", F.col("x.i").cast("bigint").alias("pos"), F.col("x.v").alias("value"))
-
-
-def _double(df: DataFrame, step: int) -> DataFrame:
-    def least(x, i):
-        return F.least(x, F.coalesce(F.get("m", i + step), x))
-
-    return df.select("seq_id", F.transform("m", least).alias("m"), "frames")
+
+    def run(batches):
+        for batch in batches:
+            ids, places, values = [], [], []
+            for seq_id, seq in zip(batch.column("seq_id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
+                pos, val = minimizers_of(seq or "", k, w)
+                ids.append(np.full(len(pos), seq_id, np.int64))
+                places.append(pos)
+                values.append(val)
+            cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, places, values)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["seq_id", "pos", "value"])
+
+    return seqs.select(F.col("seq_id").cast("long").alias("seq_id"), "seq").filter(F.length("seq") >= k + w - 1).mapInArrow(run, "seq_id long, pos long, value long")
+
+
+def minimizers_of(seq: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, value) of one sequence's minimizers. A chunk begins one frame early, to see the value before it."""
+    frames, out = len(seq) - (k + w - 1) + 1, []
+    for a in range(0, max(frames, 0), CHUNK):
+        begin = max(a - 1, 0)
+        end = min(a + CHUNK, frames)
+        v = canonical_values(seq[begin : end + k + w - 2], k)
+        low, at, size = v, np.arange(len(v)), 1
+        while size < w:
+            step = min(size, w - size)
+            right = low[step:] < low[:-step]
+            low, at = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
+            size += step
+        new = np.ones(len(low), bool)
+        new[1:] = low[1:] != low[:-1]
+        new[: a - begin] = False
+        out.append((at[new] + begin, low[new]))
+    return tuple(np.concatenate([p[i] for p in out]).astype(np.int64) if out else np.zeros(0, np.int64) for i in (0, 1))
+
+
+def canonical_values(seq: str, k: int) -> np.ndarray:
+    """Canonical base-5 values of all k-mers of a validated sequence."""
+    d = _DIGIT[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+    n = len(d) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    forward, backward, c = np.zeros(n, np.int64), np.zeros(n, np.int64), _COMPLEMENT[d]
+    for j in range(k):
+        forward = forward * 5 + d[j : j + n]
+        backward = backward * 5 + c[k - 1 - j : k - 1 - j + n]
+    return np.minimum(forward, backward)
+
+
+_DIGIT = np.full(256, 4, np.int64)
+for _i, _c in enumerate(b"ACGT"):
+    _DIGIT[_c] = _i
+_COMPLEMENT = np.array([3, 2, 1, 0, 4])

@@ -25,6 +25,8 @@ from ..plans.schemes import Scheme
 #: Gram lengths: a query takes the longest that its seeds reach. Few lengths mean few passes over the references.
 GRAMS = (1, 2, 4, 8, 12, 16, 20, 24, 32)
 BROADCAST_SEEDS = 50_000
+#: Longer sequences are cut into chunks of this many letters, which overlap by the longest query and the errors.
+CHUNK = 1_000_000
 #: Queries with fewer letters than errors + 1 have no seed; that many at most are held against every place.
 MAX_SHORT = 1_000
 METRICS, MODES = ("hamming", "edit"), ("all", "best")
@@ -86,8 +88,17 @@ def _seeds(queries: DataFrame, regions: list[tuple[int, int]], parts: int) -> Da
 
 def grams(refs: DataFrame, g: int, keep_seq: bool = False) -> DataFrame:
     """gram, seq_id, p (and the sequence) of every place; slices are taken from bytes."""
-    rows = refs.filter(F.length("seq") >= g).select("seq_id", F.col("seq").cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.length("seq") - g)).alias("p"))
-    return rows.select(F.substring("b", F.col("p") + 1, F.lit(g)).alias("gram"), "seq_id", "p", *(["b"] if keep_seq else []))
+    more = ["base"] if "base" in refs.columns else []
+    rows = refs.filter(F.length("seq") >= g).select("seq_id", *more, F.col("seq").cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.length("seq") - g)).alias("p"))
+    return rows.select(F.substring("b", F.col("p") + 1, F.lit(g)).alias("gram"), "seq_id", *more, "p", *(["b"] if keep_seq else []))
+
+
+def chunked(refs: DataFrame, overlap: int) -> DataFrame:
+    """seq_id, base, seq: sequences in chunks that begin at `base` and reach `overlap` letters into the next one."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(CHUNK))
+    rows = refs.select("seq_id", "seq", F.explode(F.when(F.length("seq") <= CHUNK, F.array(F.lit(0))).otherwise(starts)).alias("base"))
+    piece = F.when(F.length("seq") <= CHUNK, F.col("seq")).otherwise(F.substring(F.col("seq").cast("binary"), F.col("base") + 1, F.lit(CHUNK + overlap)).cast("string"))
+    return rows.select("seq_id", F.col("base").cast("long").alias("base"), piece.alias("seq"))
 
 
 def _starts(joined: DataFrame, errors: int, metric: str) -> DataFrame:
@@ -99,7 +110,8 @@ def _starts(joined: DataFrame, errors: int, metric: str) -> DataFrame:
 
 
 def _verify(candidates: DataFrame, errors: int, metric: str) -> DataFrame:
-    """Hits among candidates (query_id, seq, seq_id, pos, b)."""
+    """Hits among candidates (query_id, seq, seq_id, pos, b, and base where b is a chunk that begins there)."""
+    base = F.col("base") if "base" in candidates.columns else F.lit(0)
     pos, m = F.col("pos"), F.length("seq")
     if metric == "hamming":
         inside = candidates.filter((pos >= 0) & (pos + m <= F.length("b")))
@@ -109,8 +121,9 @@ def _verify(candidates: DataFrame, errors: int, metric: str) -> DataFrame:
     else:
         inside = candidates.filter((pos >= 0) & (pos < F.length("b")))
         distance = edit(F.col("seq"), F.col("b"), pos, errors)
-    hits = inside.select("query_id", "seq_id", pos.cast("long").alias("pos"), distance.cast("int").alias("errors"))
-    return hits.filter(F.col("errors") <= errors)
+    # Not named pos at once: inside the distance's lambdas, pos would then be the new column.
+    hits = inside.select("query_id", "seq_id", (pos + base).cast("long").alias("place"), distance.cast("int").alias("errors"))
+    return hits.filter(F.col("errors") <= errors).withColumnRenamed("place", "pos")
 
 
 def _by_grams(refs: DataFrame, own: DataFrame, g: int, errors: int, metric: str, small: bool) -> DataFrame:
@@ -119,12 +132,13 @@ def _by_grams(refs: DataFrame, own: DataFrame, g: int, errors: int, metric: str,
         joined = grams(refs, g, keep_seq=True).join(F.broadcast(own), "gram")
         return _verify(_starts(joined, errors, metric), errors, metric)
     joined = grams(refs, g).join(own.select("gram", "query_id", "offset"), "gram")
-    return verify_candidates(_starts(joined, errors, metric).select("query_id", "seq_id", "pos").distinct(), refs, own.select("query_id", "seq").distinct(), errors, metric)
+    return verify_candidates(_starts(joined, errors, metric).select("query_id", "seq_id", "base", "pos").distinct(), refs, own.select("query_id", "seq").distinct(), errors, metric)
 
 
 def verify_candidates(starts: DataFrame, refs: DataFrame, queries: DataFrame, errors: int, metric: str) -> DataFrame:
     """Late materialisation: narrow candidates meet queries and sequences last."""
-    wide = starts.join(queries.select("query_id", "seq"), "query_id").join(refs.select("seq_id", F.col("seq").cast("binary").alias("b")), "seq_id")
+    key = ["seq_id", "base"] if "base" in starts.columns else ["seq_id"]
+    wide = starts.join(queries.select("query_id", "seq"), "query_id").join(refs.select(*key, F.col("seq").cast("binary").alias("b")), key)
     return _verify(wide, errors, metric)
 
 
@@ -136,10 +150,10 @@ def _short(refs: DataFrame, queries: DataFrame, errors: int, metric: str) -> Dat
         raise ValueError(f"more than {MAX_SHORT} queries are no longer than {errors} letters")
     if not n:
         return None
-    places = refs.filter(F.length("seq") > 0).select("seq_id", F.col("seq").cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos"))
+    places = refs.filter(F.length("seq") > 0).select("seq_id", F.col("seq").cast("binary").alias("b"), "base", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos"))
     rows = [(r.query_id, r.seq) for r in few.select("query_id", "seq").collect()]
     held = F.array(*[F.struct(F.lit(q).cast("long").alias("query_id"), F.lit(s).alias("seq")) for q, s in rows])
-    return _verify(places.select("seq_id", "b", "pos", F.inline(held)), errors, metric)
+    return _verify(places.select("seq_id", "base", "b", "pos", F.inline(held)), errors, metric)
 
 
 def search(refs: DataFrame, queries: DataFrame, errors: int = 0, metric: str = "edit", mode: str = "all", max_hits: int = 0, broadcast: bool | None = None, scheme: Scheme | None = None) -> DataFrame:
@@ -154,6 +168,8 @@ def search(refs: DataFrame, queries: DataFrame, errors: int = 0, metric: str = "
     metric = "hamming" if errors == 0 else metric
     own = seeds(queries, errors, scheme)
     lengths = sorted(r.g for r in own.select("g").distinct().collect())
+    longest = queries.agg(F.max(F.length("seq"))).first()[0] or 0
+    refs = chunked(refs, longest + errors)
     small = own.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS if broadcast is None else broadcast
     parts = [_by_grams(refs, own, g, errors, metric, small) for g in lengths]
     short = _short(refs, queries, errors, metric) if errors else None

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import normalise, replace_unknown
+from ..shared import stage
 from ..sources.fasta import number_rows
 
 START = 8
@@ -44,18 +45,9 @@ def suffix_array(text: DataFrame, column: str = "text") -> DataFrame:
 
 
 def _rank(rows: DataFrame, *key: str) -> DataFrame:
-    """pos, rank: the number of the row's key among distinct keys; lineage ends in a checkpoint."""
+    """pos, rank: the number of the row's key among distinct keys; lineage ends in a written table."""
     keys = number_rows(rows.select(*key).distinct(), "__n", *key)
-    out = rows.join(keys, list(key)).select("pos", F.col("__n").alias("rank"))
-    _checkpoint_dir(rows.sparkSession)
-    return out.checkpoint()
-
-
-def _checkpoint_dir(spark) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlake-"))
+    return stage(rows.join(keys, list(key)).select("pos", F.col("__n").alias("rank")))
 
 
 def export_suffix_arrays(refs: DataFrame, base: str, seed: int = 0) -> None:

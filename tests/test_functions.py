@@ -82,6 +82,14 @@ def test_minimizers(spark, k, w):
         assert sorted(got.get(i, [])) == sorted({(a, b) for a, b, _ in want}), s
 
 
+def test_minimizer_chunks(monkeypatch):
+    rng = random.Random(8)
+    s = "".join(rng.choice("ACGTN") for _ in range(300)) + "A" * 60
+    whole = km.minimizers_of(s, 4, 3)
+    monkeypatch.setattr(km, "CHUNK", 11)
+    assert all((a == b).all() for a, b in zip(whole, km.minimizers_of(s, 4, 3), strict=True))
+
+
 def test_mod_mers(spark):
     s = "ACGTTGCATGTCGCATGATGCATGAGAGCTACGT"
     got = {(r.pos, r.value) for r in km.mod_mers(spark.createDataFrame([(0, s)], "seq_id long, seq string"), 5, 2).collect()}

@@ -71,6 +71,15 @@ def test_search_equals_brute_force(spark, sample, metric, k, broadcast):
     assert got == brute(refs, queries, k, "hamming" if k == 0 else metric)
 
 
+@pytest.mark.parametrize(("metric", "broadcast"), [("hamming", True), ("edit", True), ("edit", False)])
+def test_chunks_change_nothing(spark, sample, metric, broadcast, monkeypatch):
+    from strandlake.operators import search as module
+
+    refs, queries = sample
+    monkeypatch.setattr(module, "CHUNK", 7)
+    assert hits(search(seqs(spark, refs), seqs(spark, queries, "query_id"), 2, metric, broadcast=broadcast)) == brute(refs, queries, 2, metric)
+
+
 def test_goldens(spark):
     refs = seqs(spark, REFS)
     exact = {(r.query_id, r.seq_id, r.pos) for r in search_exact(refs, expand_strands(seqs(spark, [(0, "ACGT")], "src_id"))).collect()}
