@@ -2,50 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop_stage, shared_dir, stage  # noqa: F401
+
 #: Text handled at once inside a Python worker, so that memory follows this and not the Arrow batch.
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def stage(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df to a fresh table in the shared folder and read it back: lineage ends in files every executor can read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/strandlake-{uuid.uuid4().hex}"
-    schema = df.schema
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._strandlake_path = path
-    return out
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    path = getattr(df, "_strandlake_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def tidy(spark: SparkSession) -> None:
     """Shuffle files go once nothing refers to them: say so now, not when the driver next happens to collect garbage."""
     gc.collect()
@@ -57,8 +28,28 @@ def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Rows of whole texts in an Arrow batch, where the session leaves Spark's default of 10,000.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call on this system
+        pass
+
+
 def pick_id_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the named columns, under fixed names, so that other columns of docs can't clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more])
 
 
@@ -73,6 +64,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SL
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    release()
 
 
 def _byte_lengths(col: pa.Array) -> list[int]:

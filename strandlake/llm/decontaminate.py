@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _PLACE, U64, mix64, pick_id_text, text_slices, utf8_bytes, word_hashes, word_spans
+from .common import _PLACE, U64, mix64, pick_id_text, small_batches, text_slices, utf8_bytes, word_hashes, word_spans
 
 SHINGLE, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 24, 8
 #: Items that travel to the executors at once; more items are searched in further passes over the documents.
@@ -173,6 +173,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, with all their columns, in which no window matches an item."""
+    small_batches(docs.sparkSession)
     for index in item_blocks(items, item_id_col, item_text_col, threshold, radius):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

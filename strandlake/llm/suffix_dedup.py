@@ -12,7 +12,6 @@ occurrence form a cell. Three rounds follow, each a shuffle of packed arrays ans
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, U64, PrefixHash, mix64, pick_id_text, stage, utf8_bytes
+from .common import SLICE_BYTES, U64, PrefixHash, mix64, pick_id_text, stage, tidy, utf8_bytes
 from .induced_sort import suffix_order
 
 MIN_LEN, ANCHOR = 50, 24
@@ -355,12 +354,6 @@ def _report(n: int, min_len: int):
     return run
 
 
-def _tidy(spark) -> None:
-    """Shuffle files go once nothing refers to them: say so now, not when the driver next happens to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges).
 
@@ -382,11 +375,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     try:
         sent = blocks.groupBy("block").applyInArrow(_send_anchors(n, min_len), SENT)
         answers = stage(sent.groupBy("bucket").applyInArrow(_answer_anchors(hot_blocks), ANSWER))
-        _tidy(spark)
+        tidy(spark)
         for send, answer in ((_send_cells(n, min_len), _answer_cells), (_send_snippets(n, min_len), _answer_snippets(min_len))):
             sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, SENT)
             answers = answers.union(stage(sent.groupBy("bucket").applyInArrow(answer, ANSWER)))
-            _tidy(spark)
+            tidy(spark)
         return stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_report(n, min_len), REPORT))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
