@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +36,20 @@ def rolling_hash(ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return mix64(out)
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one document's ids."""
-    n = len(ids)
-    marks = np.flatnonzero(rolling_hash(ids) & np.uint64((1 << BITS) - 1) == 0) + 1
-    ends, at, j = [], 0, 0
-    while at < n:
-        j = int(np.searchsorted(marks, at + MIN_IDS))
-        end = int(marks[j]) if j < len(marks) else n
-        end = min(end, at + MAX_IDS, n)
-        ends.append(end)
-        at = end
-    return np.array(ends, np.int64)
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end. A window that reaches into the document before has no part in any chunk's end,
+    as chunks have MIN_IDS ids at least, so documents can be hashed together."""
+    return np.flatnonzero(rolling_hash(ids) & np.uint64((1 << BITS) - 1) == 0) + 1
+
+
+def cut_points(marks: list[int], start: int, end: int) -> list[int]:
+    """Ends of the chunks of the document that takes the places from start to end."""
+    ends, at = [], start
+    while at < end:
+        j = bisect_left(marks, at + MIN_IDS)
+        at = min(marks[j] if j < len(marks) else end, at + MAX_IDS, end)
+        ends.append(at)
+    return ends
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -87,23 +90,32 @@ def _crc_tables() -> list[np.ndarray]:
     return tables
 
 
-_CRC: list[np.ndarray] = []
+_CRC: list[list[np.ndarray]] = []
 
 
-def crc_combine(crc: np.ndarray, more: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
-    """CRC-32 of A+B from those of A and B and the length of B, elementwise."""
+def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """The part of each CRC-32 in that of its data followed by n_bytes more: a linear map per power of two, by byte tables."""
     if not _CRC:
-        _CRC.extend(_crc_tables())
-    out, n, k = crc.astype(np.uint32), n_bytes.astype(np.int64), 0
-    while (n >> k).any():
+        byte = np.arange(256, dtype=np.uint32)
+        for m in _crc_tables():
+            tables = []
+            for j in range(4):
+                t = np.zeros(256, np.uint32)
+                for i in range(8):
+                    t ^= np.where(byte >> np.uint32(i) & np.uint32(1), m[8 * j + i], np.uint32(0)).astype(np.uint32)
+                tables.append(t)
+            _CRC.append(tables)
+    out, n = crc.astype(np.uint32), n_bytes.astype(np.int64)
+    for k in range(int(n.max(initial=0)).bit_length()):
         live = np.flatnonzero(n >> k & 1)
-        if len(live):
-            v, got = out[live], np.zeros(len(live), np.uint32)
-            for i in range(32):
-                got ^= np.where(v >> np.uint32(i) & np.uint32(1), _CRC[k][i], np.uint32(0)).astype(np.uint32)
-            out[live] = got
-        k += 1
-    return out ^ more.astype(np.uint32)
+        v = out[live]
+        out[live] = _CRC[k][0][v & 255] ^ _CRC[k][1][v >> 8 & 255] ^ _CRC[k][2][v >> 16 & 255] ^ _CRC[k][3][v >> 24]
+    return out
+
+
+def crc_combine(crc: np.ndarray, more: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """CRC-32 of A+B from those of A and B and the length of B, elementwise."""
+    return crc_shift(crc, n_bytes) ^ more.astype(np.uint32)
 
 
 STAGED = "kind int, rid long, doc_id long, n_tokens long, hashes binary, lengths binary, root binary, hash binary, ids binary"
@@ -123,19 +135,23 @@ def _encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for batch in batches:
             for cut in text_slices(batch):
                 ids, off = enc.encode([t or "" for t in cut.column("text").to_pylist()])
+                ids = np.insert(ids, off[1:], np.uint32(end_id))
+                off = (off + np.arange(len(off))).tolist()
+                marks, narrow = marks_of(ids).tolist(), len(ids) == 0 or int(ids.max()) < 1 << 16
+                raw = ids.astype("<u2").tobytes() if narrow else b""
                 rows = []
-                for i, doc in enumerate(cut.column("doc_id").to_pylist()):
-                    own = np.append(ids[off[i] : off[i + 1]], np.uint32(end_id)).astype("<u4")
-                    ends, at, hashes = cut_points(own), 0, []
-                    for e in ends.tolist():
-                        piece = pack_ids(own[at:e])
+                for doc, at, end in zip(cut.column("doc_id").to_pylist(), off, off[1:], strict=False):
+                    begin, ends, hashes = at, cut_points(marks, at, end), []
+                    for e in ends:
+                        piece = b"\2" + raw[2 * at : 2 * e] if narrow else pack_ids(ids[at:e])
                         h = hashlib.blake2b(piece, digest_size=16).digest()
                         hashes.append(h)
                         if h not in stored:
                             stored.add(h)
                             rows.append((1, None, None, None, None, None, None, h, piece))
                         at = e
-                    rows.append((0, rid, doc, len(own), b"".join(hashes), np.diff(ends, prepend=0).astype("<u4").tobytes(), merkle(hashes), None, None))
+                    lengths = np.diff(np.array([begin, *ends])).astype("<u4").tobytes()
+                    rows.append((0, rid, doc, end - begin, b"".join(hashes), lengths, merkle(hashes), None, None))
                     rid += 1
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types, strict=True)], names=names)
 
@@ -204,15 +220,18 @@ def _entries(batches):
 def _verified(batches):
     """Chunks as read from the files, each checked against its hash, with length and CRC-32."""
     for b in batches:
-        ids, good, n, crc = b.column("ids").to_pylist(), [], [], []
-        for h, raw in zip(b.column("hash").to_pylist(), ids, strict=True):
-            good.append(hashlib.blake2b(raw, digest_size=16).digest() == h)
-            values = unpack_ids(raw)
-            n.append(len(values))
-            crc.append(zlib.crc32(values.tobytes()))
-        if not all(good):
+        hashes, stored, digest = b.column("hash").to_pylist(), b.column("ids").to_pylist(), hashlib.blake2b
+        if any([digest(raw, digest_size=16).digest() != h for h, raw in zip(hashes, stored, strict=True)]):
             raise ValueError("a stored chunk does not match its hash")
-        yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], names=["hash", "n", "crc"])
+        if all([raw[0] == 2 for raw in stored]):
+            size = np.fromiter(map(len, stored), np.int64, len(stored)) - 1 >> 1
+            wide = np.frombuffer(b"".join([raw[1:] for raw in stored]), "<u2").astype("<u4")
+            view, at = memoryview(wide.tobytes()), [0, *(4 * np.cumsum(size)).tolist()]
+            crc = [zlib.crc32(view[x:y]) for x, y in zip(at, at[1:], strict=False)]
+        else:
+            values = [unpack_ids(raw) for raw in stored]
+            size, crc = np.array([len(v) for v in values]), [zlib.crc32(v.tobytes()) for v in values]
+        yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(size.astype(np.int32)), pa.array(crc, pa.int64())], names=["hash", "n", "crc"])
 
 
 def starts(spark: SparkSession, path: str) -> dict[int, int]:
@@ -246,12 +265,13 @@ def digest_store(spark: SparkSession, path: str) -> DataFrame:
             seq, n, crc = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("seq", "n", "crc"))
             order = np.lexsort((seq, rows))
             rows, seq, n, crc = rows[order], seq[order], n[order], crc[order]
-            total, ids = np.zeros(len(size), np.uint32), np.zeros(len(size), np.int64)
-            for k in range(int(size.max(initial=0))):
-                at = np.flatnonzero(seq == k)
-                r = rows[at]
-                total[r] = crc_combine(total[r], crc[at], 4 * n[at]) if k else crc[at].astype(np.uint32)
-                ids[r] += n[at]
+            ends = np.cumsum(size)
+            sums = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+            ids = sums[ends] - sums[ends - size]
+            after = sums[ends][rows] - sums[1:]
+            total, live = np.zeros(len(size), np.uint32), np.flatnonzero(size)
+            if len(live):
+                total[live] = np.bitwise_xor.reduceat(crc_shift(crc, 4 * after), (ends - size)[live])
             hashes, roots, want = b.column("hashes").to_pylist(), b.column("root").to_pylist(), b.column("n_tokens").to_numpy()
             for i, h in enumerate(hashes):
                 out.append(merkle([h[j : j + 16] for j in range(0, len(h), 16)]) == roots[i] and ids[i] == want[i] and size[i] == len(h) // 16)

@@ -16,7 +16,7 @@ import numpy as np
 from .common import SLICE_BYTES, PrefixHash, code_points, mix64, text_slices  # noqa: F401
 
 #: Words kept in a worker's table before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 _LATIN = 0x250
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
