@@ -343,7 +343,7 @@ def oracle_sql() -> dict[str, str]:
         "best_n_hits": f"{_BASE}{_edit(2)} SELECT query_id, seq_id, pos, errors FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY errors, seq_id, pos) AS k FROM h) WHERE k <= 1",
         "hits_per_query": f"{_BASE}{_HAMMING} SELECT query_id, count(*)::BIGINT AS n_hits FROM h2 GROUP BY 1",
         "collapsed_search": f"{_BASE}, cr AS (SELECT seq_id, translate(seq, 'ACGT', 'WSSW') AS seq FROM r), cq AS (SELECT query_id, translate(seq, 'ACGT', 'WSSW') AS seq FROM q){_edit(1, 'cr', 'cq')} SELECT * FROM h",
-        "seed_candidates": f"{_BASE}{_PLACES}, j AS (SELECT query_id, o * (length(seq) // 3) AS off, substr(seq, o * (length(seq) // 3) + 1, 12) AS gram FROM q, (SELECT unnest([0, 1, 2]) AS o) WHERE length(seq) >= 36) SELECT DISTINCT query_id, seq_id, (pos - off)::BIGINT AS pos FROM w JOIN j ON substr(w.seq, pos + 1, 12) = gram",
+        "seed_candidates": f"{_BASE}{_PLACES}, j AS (SELECT query_id, o * (length(seq) // 3) + least(o, length(seq) % 3) AS off, substr(seq, o * (length(seq) // 3) + least(o, length(seq) % 3) + 1, 12) AS gram FROM q, (SELECT unnest([0, 1, 2]) AS o) WHERE length(seq) >= 36) SELECT DISTINCT query_id, seq_id, (pos - off)::BIGINT AS pos FROM w JOIN j ON substr(w.seq, pos + 1, 12) = gram",
         "hit_lines": f"SELECT query_id || ' ' || seq_id || ' ' || pos AS value FROM ({_BASE}{_exact('q')})",
         "fasta_format": f"{_BASE} SELECT '>' || seq_id || chr(10) || regexp_replace(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') AS value FROM r",
         "kmer_counts": f"{_BASE}{_PLACES}{_KMERS.format(k=6)} SELECT kmer, count(*)::BIGINT AS n FROM k GROUP BY 1",
