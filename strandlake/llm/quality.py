@@ -33,40 +33,41 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars and words histograms."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     text = F.col("text")
-    common = F.array().cast("array<string>")
-    for code, listed in COMMON.items():
-        hit = F.regexp_extract_all(F.lower(text), F.lit("(?<![\\p{L}])(" + "|".join(listed) + ")(?![\\p{L}])"), F.lit(1))
-        common = F.when(F.col("lang") == code, hit).otherwise(common)
+    listed = F.lit(None).cast("array<string>")
+    for code, known in COMMON.items():
+        listed = F.when(F.col("lang") == code, F.array(*[F.lit(x) for x in known])).otherwise(listed)
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    # Lower-case letters and white space are most of a text: other classes are counted in what is left without them.
     one = base.select(
-        "doc_id", "lang", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"), lines.alias("lines"), common.alias("common"),
-        F.length(text).cast("long").alias("n_chars"),
-        F.length(F.regexp_replace(text, GAP, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("upper"),
-        F.length(F.regexp_replace(text, "[^0-9]+", "")).cast("long").alias("digit"),
-        F.length(F.regexp_replace(text, "[^!-/:-@\\[-`{-~]+", "")).cast("long").alias("mark"),
-        F.length(F.regexp_replace(text, "[\\x00-\\x7f]+", "")).cast("long").alias("other"),
+        "doc_id", "lang", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"), lines.alias("lines"),
+        F.when(listed.isNotNull(), F.split(F.lower(text), "[^\\p{L}]+", -1)).alias("runs"), listed.alias("listed"),
+        F.length(text).cast("long").alias("n_chars"), F.regexp_replace(text, "[a-z\\x20\\x09-\\x0D]+", "").alias("rest"),
     )
     n = F.size("w")
-    # Three words: 64-bit hashes with their places, sorted, so that equal windows stand side by side.
-    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i")))
-    two = one.withColumn("s", F.when(n >= 4, F.sort_array(window)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    count = lambda other: F.length(F.regexp_replace("rest", other, "")).cast("long")
+    # Three words: 64-bit hashes. Where none is there twice, which one pass over a hash set tells, nothing repeats.
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    two = one.select(
+        "doc_id", "lang", "lines", "listed", "runs", "n_chars", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        count("[^#*$%&|<>]+").alias("n_symbols"), count("[^A-Z]+").alias("upper"), count("[^0-9]+").alias("digit"), count("[^!-/:-@\\[-`{-~]+").alias("mark"),
+        count("[\\x00-\\x7f]+").alias("other"), F.when(n >= 4, hashes).otherwise(F.array().cast("array<bigint>")).alias("h"),
+    )
+    # Else hashes are sorted with their places, so that equal windows stand side by side.
+    placed = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    two = two.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     same = lambda x, j: F.coalesce(F.get("s", j)["h"] == x["h"], F.lit(False))
     twice = F.filter("s", lambda x, j: F.when(j > 0, same(x, j - 1)).otherwise(F.lit(False)) | same(x, j + 1))
     three = two.withColumn("p", F.transform(twice, lambda x: x["i"]))
     shifted = lambda k: F.transform("p", lambda x: x + k)
     covered = F.when(F.size("p") == 0, F.lit(0)).otherwise(F.size(F.array_union(F.array_union("p", shifted(1)), shifted(2))))
     lower = F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("other")
-    listed = F.lit(None).cast("array<string>")
-    for code, known in COMMON.items():
-        listed = F.when(F.col("lang") == code, F.array(*[F.lit(x) for x in known])).otherwise(listed)
-    hist = F.transform(listed, lambda x: (F.size("common") - F.size(F.array_remove("common", x))).cast("long"))
-    return three.select(
-        "doc_id", "lang", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"),
-        F.array(lower, "upper", "digit", "mark", "other", F.col("n_chars") - F.col("word_chars")).alias("chars"),
-        F.when(listed.isNotNull(), F.concat(hist, F.array(F.greatest(F.size("w") - F.size("common"), F.lit(0)).cast("long")))).alias("words"),
+    hist = F.transform("listed", lambda x: (F.size("runs") - F.size(F.array_remove("runs", x))).cast("long"))
+    four = three.withColumn("hist", hist)
+    common = F.aggregate("hist", F.lit(0).cast("long"), lambda a, x: a + x)
+    return four.select(
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        covered.cast("long").alias("n_repeat_words"), F.array(lower, "upper", "digit", "mark", "other", F.col("n_chars") - F.col("word_chars")).alias("chars"),
+        F.when(F.col("listed").isNotNull(), F.concat("hist", F.array(F.greatest(F.col("n_words") - common, F.lit(0).cast("long"))))).alias("words"),
     )
 
 
