@@ -12,8 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir as set on the session or context; a temporary folder only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path
 
 
