@@ -260,8 +260,11 @@ def _seeded(k: int, r: str = "r", q: str = "q") -> str:
 
 
 def _edit(k: int, r: str = "r", q: str = "q") -> str:
+    # A hit has one of the parts whole, at most k places from where it is in the query.
+    part = f"(length(q) // {k + 1})"
+    near = " OR ".join(f"contains(substr(seq, greatest(pos + 1 + {j} * {part} - {k}, 1), {part} + {2 * k}), substr(q, {j} * {part} + 1, {part}))" for j in range(k + 1))
     return (
-        f", p AS (SELECT *, unnest(range(0, length(seq)))::BIGINT AS pos FROM {_seeded(k, r, q)}), n AS (SELECT *, unnest(range(greatest(length(q) - {k}, 0), length(q) + {k} + 1)) AS n FROM p)"
+        f", p AS (SELECT *, unnest(range(0, length(seq)))::BIGINT AS pos FROM {_seeded(k, r, q)}), n AS (SELECT *, unnest(range(greatest(length(q) - {k}, 0), length(q) + {k} + 1)) AS n FROM p WHERE {near})"
         f", h AS (SELECT query_id, seq_id, pos, min(levenshtein(q, substr(seq, pos + 1, n)))::INT AS errors FROM n WHERE substr(seq, pos + 1, n) <> '' GROUP BY ALL HAVING errors <= {k})"
     )
 
