@@ -71,16 +71,17 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
 
 
-def js_distance(p: Column, q: Column, n_bins: int) -> Column:
-    """Square root of the Jensen-Shannon divergence (base 2) of two count arrays; 0 if either is empty."""
-    total = lambda a: sum((F.get(a, i).cast("double") for i in range(n_bins)), F.lit(0.0))
-    tp, tq = total(p), total(q)
-    half = F.lit(0.0)
-    for i in range(n_bins):
-        x, y = F.get(p, i) / tp, F.get(q, i) / tq
-        m = (x + y) / 2
-        half = half + F.when(x > 0, x * F.log2(x / m)).otherwise(0.0) + F.when(y > 0, y * F.log2(y / m)).otherwise(0.0)
-    return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(half / 2, F.lit(0.0)))).otherwise(0.0)
+def fractions(counts: Column) -> Column:
+    """Counts as shares of their sum; null if there is nothing to count."""
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total > 0, F.transform(counts, lambda x: x / total))
+
+
+def js_distance(p: Column, q: Column) -> Column:
+    """Square root of the Jensen-Shannon divergence (base 2) of two arrays of shares; 0 if either is null."""
+    side = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
+    total = F.aggregate(F.zip_with(p, q, lambda x, y: side(x, y) + side(y, x)), F.lit(0.0), lambda a, x: a + x)
+    return F.coalesce(F.sqrt(F.greatest(total / 2, F.lit(0.0))), F.lit(0.0))
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -97,8 +98,9 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     refs = refs.select(F.col("lang").alias("ref_lang"), "ref_n", F.array(*[f"c{i}" for i in range(len(CHAR_CLASSES))]).alias("ref_chars"), F.array(*[f"w{i}" for i in range(N_WORDS + 1)]).alias("ref_words"))
     judged = f.join(refs, F.col("lang") == F.col("ref_lang"), "left")
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    both = judged.withColumn("char_distance", F.coalesce(js_distance(F.col("chars"), F.col("ref_chars"), len(CHAR_CLASSES)), F.lit(0.0)))
-    both = both.withColumn("word_distance", F.coalesce(js_distance(F.col("words"), F.col("ref_words"), N_WORDS + 1), F.lit(0.0)))
+    shares = [fractions(F.col(c)).alias(c) for c in ("chars", "words", "ref_chars", "ref_words")]
+    both = judged.select(*[c for c in judged.columns if c not in ("chars", "words", "ref_chars", "ref_words")], *shares)
+    both = both.withColumns({"char_distance": js_distance(F.col("chars"), F.col("ref_chars")), "word_distance": js_distance(F.col("words"), F.col("ref_words"))})
     near = (F.col("char_distance") <= CHAR_LIMIT + CHAR_NOISE / F.sqrt(5 * n)) & (F.col("word_distance") <= WORD_LIMIT + WORD_NOISE / F.sqrt(n))
     guarded = (F.col("n_words") < GUARD_WORDS) | (F.coalesce(F.col("ref_n"), F.lit(0)) < GUARD_REFERENCE)
     return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passed).alias("base_failed"), (passed & (guarded | near)).alias("kept"), "char_distance", "word_distance")
