@@ -2,7 +2,7 @@
 
 The library encodes every distinct word once per worker; the ids of a text are those of its words in turn, which is what
 the library itself does with this file: normalise, split into words, encode each word. Texts with characters outside
-Latin (code point 0x250 and up), control characters or the file's special strings go through the library as a whole.
+Latin (code point 0x250 and up, as they are or in lower case), control characters or the file's special strings go through the library as a whole.
 """
 
 from __future__ import annotations
@@ -41,9 +41,9 @@ def _byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-#: Code points that the word path handles as the library does.
+#: Code points that the word path handles as the library does: those whose lower case is one Latin code point too.
 _SAFE = np.zeros(_LATIN + 1, bool)
-_SAFE[[9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x130), *range(0x131, _LATIN)]] = True
+_SAFE[[c for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, _LATIN)) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < _LATIN]] = True
 _SLOTS = 22
 
 

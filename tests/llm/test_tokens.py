@@ -27,6 +27,15 @@ def test_word_encoder_equals_library(tokenizer):
         assert list(ids[off[i] : off[i + 1]]) == e.ids, texts[i]
 
 
+def test_word_encoder_takes_letters_with_lower_case_beyond_latin(tokenizer):
+    from strandlake.llm.tokens import WordEncoder
+
+    texts = [t for c in range(0x180, 0x250) for t in (chr(c), f"a{chr(c)}b {chr(c)}'s")]
+    ids, off = WordEncoder.open(PATH).encode(texts)
+    for i, e in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert list(ids[off[i] : off[i + 1]]) == e.ids, texts[i]
+
+
 def test_store(spark, tokenizer, tmp_path):
     from strandlake.llm.token_store import digest_store, read_chunks, read_documents, write_store
 
