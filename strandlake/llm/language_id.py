@@ -16,8 +16,8 @@ from .common import code_points, mix64, small_batches, stage, text_slices
 
 ORDER = 4
 FOLDS = 5
-#: Bound of the model that travels to every executor: n-gram types of all languages together. If a corpus has more, the
-#: rarest counts go first (a count cutoff).
+#: N-gram types of all languages together in the model that travels to every executor. If a corpus has more, all are
+#: kept, in shards of about this size, and texts are scored shard by shard.
 MAX_TYPES = 4_000_000
 #: A text is rejected beyond this many standard deviations (plus a slack in nats) of its language's and length's mean.
 REJECT_SIGMA, REJECT_SLACK, MIN_BUCKET = 6.0, 0.15, 30
@@ -105,20 +105,29 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
+def _shorter(grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last k symbols of n-grams of k+1 symbols, with the count of n-grams of each."""
+    return np.unique(grams & _U((1 << 16 * k) - 1), return_counts=True)
+
+
+def _discount(ones: int, twos: int) -> float:
+    return float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
+
+
 class KneserNey:
     """Interpolated Kneser-Ney over packed keys of one language; every table is a sorted hash array."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, short: dict[int, tuple] | None = None, discounts: dict[int, float] | None = None):
+        """short, discounts: tables and discounts of single orders where keys are one shard only."""
         # Orders below the highest count the distinct symbols seen before an n-gram.
         tables = [(keys.astype(_U), counts.astype(np.float64))]
         for k in range(ORDER - 1, 0, -1):
-            tables.append(tuple(np.unique(tables[-1][0] & _U((1 << 16 * k) - 1), return_counts=True)))
+            tables.append((short or {}).get(k) or _shorter(tables[-1][0], k))
         self.orders = []
         lower = None
         for k, (grams, n) in zip(range(1, ORDER + 1), reversed(tables), strict=True):
             n = n.astype(np.float64)
-            ones, twos = (n == 1).sum(), (n == 2).sum()
-            d = float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
+            d = (discounts or {}).get(k) or _discount((n == 1).sum(), (n == 2).sum())
             context, inv = np.unique(grams >> _U(16), return_inverse=True)
             total = np.bincount(inv, n)
             back = d * np.bincount(inv) / total
@@ -138,6 +147,8 @@ class KneserNey:
 
     @staticmethod
     def _find(hashes: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(hashes):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
         h = mix64(keys + _U(1))
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         return hashes[at] == h, values[at]
@@ -162,9 +173,10 @@ class KneserNey:
 class LanguageModels:
     """All languages; log-probabilities of every n-gram seen in training are tabled for all of them."""
 
-    def __init__(self, langs: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        self.names = sorted(set(langs.tolist()))
-        self.models = [KneserNey(keys[langs == x], counts[langs == x]) for x in self.names]
+    def __init__(self, langs: np.ndarray, keys: np.ndarray, counts: np.ndarray, short: dict[str, tuple[dict, dict]] | None = None):
+        """short: for a shard, what KneserNey takes besides, of all languages."""
+        self.names = sorted(set(langs.tolist()) if short is None else short)
+        self.models = [KneserNey(keys[langs == x], counts[langs == x], *(short[x] if short else ())) for x in self.names]
         seen = np.unique(keys.astype(_U))
         hashes = mix64(seen + _U(1))
         order = np.argsort(hashes)
@@ -173,6 +185,8 @@ class LanguageModels:
         self.slots = None
 
     def log_p(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.stack([m.log_p(keys) for m in self.models], 1)
         if self.slots is None:
             self.slots = np.zeros(1 << _SLOTS, np.int32)
             self.slots[(self.hashes >> _U(64 - _SLOTS)).astype(np.int64)] = np.arange(len(self.hashes), dtype=np.int32)
@@ -197,20 +211,66 @@ class LanguageModels:
             out[live] = -np.add.reduceat(lp, (ends - n)[live], axis=0, dtype=np.float64) / n[live, None]
         return out, n, letters
 
+    def shard_sums(self, texts: list[str], k: int, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As entropies(), with sums of the log-probabilities of the places in shard k."""
+        sym, off, letters = symbols(texts)
+        n = np.diff(off) - (ORDER - 1)
+        keys = ngram_keys(sym)[_places(off)]
+        own = np.flatnonzero(_shard_of(keys, n_shards) == k)
+        rows, begin = np.unique(np.repeat(np.arange(len(n)), n)[own], return_index=True)
+        out = np.zeros((len(texts), len(self.names)))
+        if len(own):
+            out[rows] = np.add.reduceat(self.log_p(keys[own]), begin, axis=0, dtype=np.float64)
+        return out, n, letters
+
+
+_MIX = 1327217885
+
+
+def _shard_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Shard by the two middle symbols: all n-grams and contexts of three symbols and up that a key needs share them."""
+    return ((((keys >> _U(16)) & _U(0xFFFFFFFF)) * _U(_MIX)) >> _U(24)) % _U(n)
+
+
+class ShardedModels:
+    """All languages, with every n-gram type, where one table would be too large: shards are built one at a time.
+
+    Orders one and two, which are few, are in every shard. The discounts are those of the whole, so results are too.
+    """
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
+    def __init__(self, counts: DataFrame, n: int):
+        middle = F.shiftrightunsigned("key", 16).bitwiseAND(F.lit(0xFFFFFFFF))
+        self.n = n
+        self.counts = stage(counts.withColumn("shard", F.shiftright(middle * F.lit(_MIX), 24) % n).repartition("shard"))
+        three = counts.groupBy("lang", F.col("key").bitwiseAND(F.lit((1 << 48) - 1)).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        discounts: dict[str, dict[int, float]] = {}
+        for k, table in ((ORDER, counts), (ORDER - 1, three)):
+            for r in table.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect():
+                discounts.setdefault(r.lang, {})[k] = _discount(r.ones, r.twos)
+        got = three.groupBy("lang", F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("key")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "key").toArrow()
+        langs, keys, n2 = _arrays(got)
+        self.short = {}
+        for x, d in discounts.items():
+            two = keys[langs == x], n2[langs == x]
+            self.short[x] = ({2: two, 1: _shorter(two[0], 1)}, d)
+        self.names = sorted(self.short)
+
+    def shard(self, k: int) -> LanguageModels:
+        got = self.counts.filter(F.col("shard") == k).select("lang", "key", "n").orderBy("lang", "key").toArrow()
+        return LanguageModels(*_arrays(got), self.short)
+
+
+def _arrays(got: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.array(got.column("lang").to_pylist(), dtype=object), got.column("key").to_numpy().view(_U), got.column("n").to_numpy()
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModels | ShardedModels:
     """Models from all rows outside the held-out fold that have a language."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("held"))
     counts = stage(count_ngrams(rows.filter("not held and lang is not null").select("text", "lang")))
-    by_n = sorted((r.n, r.types) for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("types")).collect())
-    total, least = sum(t for _, t in by_n), 0
-    for n, t in by_n:
-        if total <= MAX_TYPES:
-            break
-        total, least = total - t, n
-    got = counts.filter(F.col("n") > least).toArrow()
-    return LanguageModels(np.array(got.column("lang").to_pylist(), dtype=object), got.column("key").to_numpy().view(_U), got.column("n").to_numpy())
+    total = counts.count()
+    return LanguageModels(*_arrays(counts.toArrow())) if total <= MAX_TYPES else ShardedModels(counts, -(-total // MAX_TYPES))
 
 
 def held_out(id_col: str):
@@ -223,16 +283,19 @@ SCORED = "doc_id long, held_out boolean, lang string, lang_pred string, score do
 
 def _score(m: LanguageModels, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(language or und, score, entropy, length bucket) of every text."""
-    if m.names:
-        e, n, letters = m.entropies(texts)
+    return _judge(m.names, *m.entropies(texts)) if m.names else _judge(m.names, None, *[np.zeros(len(texts), np.int64)] * 2)
+
+
+def _judge(names: list[str], e: np.ndarray, n: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """_score() of texts with their entropies, symbols and letters."""
+    if names:
         best = e.argmin(1)
         w = np.exp(-(e - e.min(1, keepdims=True)) * np.clip(n, 1, 50)[:, None])
         score, low = 1 / w.sum(1), e.min(1)
-        pred = [m.names[b] if k else "und" for b, k in zip(best.tolist(), letters.tolist(), strict=True)]
+        pred = [names[b] if k else "und" for b, k in zip(best.tolist(), letters.tolist(), strict=True)]
     else:
-        n = letters = np.zeros(len(texts), np.int64)
-        score = low = np.zeros(len(texts))
-        pred = ["und"] * len(texts)
+        score = low = np.zeros(len(n))
+        pred = ["und"] * len(n)
     und = letters == 0
     return pred, np.where(und, 0.0, score), np.where(und, 0.0, low), np.minimum(np.log2(np.maximum(n, 1)).astype(np.int32), 20)
 
@@ -249,6 +312,47 @@ def _scored(docs: DataFrame, shared, id_col: str, text_col: str, lang_col: str)
     return stage(rows.mapInArrow(run, SCORED))
 
 
+_HASH = "_strandlake_text_hash"
+
+
+def _text_hash(text_col: str):
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256).alias(_HASH)
+
+
+def _scored_by_shard(docs: DataFrame, models: ShardedModels, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """As _scored(), with the texts' hashes: one pass a shard over the texts, whose sums are added up by hash."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(_text_hash(text_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    parts = []
+    for k in range(models.n):
+        shared = docs.sparkSession.sparkContext.broadcast(models.shard(k))
+
+        def run(batches, k=k, shared=shared, n=models.n):
+            for batch in batches:
+                for cut in text_slices(batch):
+                    sums, *sizes = shared.value.shard_sums(cut.column("text").to_pylist(), k, n)
+                    cols = [pa.array(sums.tolist(), pa.list_(pa.float64())), *(pa.array(x, pa.int64()) for x in sizes), pa.array([k] * len(sums), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([cut.column(_HASH), *cols], names=[_HASH, "sums", "n", "letters", "shard"])
+
+        parts.append(stage(texts.mapInArrow(run, f"{_HASH} string, sums array<double>, n long, letters long, shard int").dropDuplicates([_HASH])))
+        shared.unpersist()
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.union(p)
+    whole = whole.groupBy(_HASH).agg(F.max("n").alias("n"), F.max("letters").alias("letters"), F.array_sort(F.collect_list(F.struct("shard", "sums"))).alias("parts"))
+    names = models.names
+
+    def judge(batches):
+        for batch in batches:
+            n, letters = (batch.column(x).to_numpy() for x in ("n", "letters"))
+            e = -np.array([np.sum([p["sums"] for p in ps], 0) for ps in batch.column("parts").to_pylist()]).reshape(len(n), len(names)) / np.maximum(n, 1)[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column(_HASH), *map(pa.array, _judge(names, e, n, letters))], names=[_HASH, "lang_pred", "score", "entropy", "bucket"])
+
+    judged = whole.mapInArrow(judge, f"{_HASH} string, lang_pred string, score double, entropy double, bucket int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(lang_col).cast("string").alias("lang"), _text_hash(text_col))
+    return stage(rows.join(judged, _HASH))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", models: LanguageModels | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, entropy, rejected.
 
@@ -256,19 +360,30 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rejected with score 0. score is the posterior of the language over at most 50 symbols. Repeated rows give repeated
     results; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models or train(docs, id_col, text_col, lang_col))
-    scored = _scored(docs, shared, id_col, text_col, lang_col)
+    models = models or train(docs, id_col, text_col, lang_col)
+    if isinstance(models, ShardedModels):
+        scored = _scored_by_shard(docs, models, id_col, text_col, lang_col)
+    else:
+        scored = _scored(docs, docs.sparkSession.sparkContext.broadcast(models), id_col, text_col, lang_col)
+    return _with_rejected(scored).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
+def _with_rejected(scored: DataFrame) -> DataFrame:
     out = scored.join(_limits(scored), ["lang_pred", "bucket"], "left")
-    rejected = (F.col("lang_pred") == "und") | F.coalesce(F.col("entropy") > F.col("limit"), F.lit(False))
-    return out.select("doc_id", "held_out", "lang_pred", "score", "entropy", rejected.alias("rejected"))
+    return out.withColumn("rejected", (F.col("lang_pred") == "und") | F.coalesce(F.col("entropy") > F.col("limit"), F.lit(False)))
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", models: LanguageModels | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that identify() does not reject.
 
-    The limits are a few rows a language, so rows are judged where they are read, and no text is shuffled.
+    The limits are a few rows a language, so rows are judged where they are read, and no text is shuffled (unless the
+    models are in shards).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models or train(docs, id_col, text_col, lang_col))
+    models = models or train(docs, id_col, text_col, lang_col)
+    if isinstance(models, ShardedModels):
+        kept = _with_rejected(_scored_by_shard(docs, models, id_col, text_col, lang_col)).filter("not rejected").select(_HASH).distinct()
+        return docs.withColumn(_HASH, _text_hash(text_col)).join(kept, _HASH, "left_semi").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
     limits = {(r.lang_pred, r.bucket): r.limit for r in _limits(_scored(docs, shared, id_col, text_col, lang_col)).collect()}
 
     def run(batches):

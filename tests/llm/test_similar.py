@@ -247,3 +247,22 @@ def test_kneser_ney_sums_to_one():
     for context in (keys[0] >> np.uint64(16), np.uint64(0x0061_0062_0063)):
         p = np.exp(m.log_p((context << np.uint64(16)) | alphabet))
         assert abs(p.sum() - 1) < 0.06 and p.min() > 0
+
+
+def test_language_models_in_shards_keep_all_types(spark, monkeypatch):
+    from strandlake.llm import language_id as li
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id % 4 = 0").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(10**6 + i, f"żółć gęślą jaźń wąż {'ąęćłńśźż'[i]}", "rare") for i in range(8)] + [(2 * 10**6, None, "rare")], docs.schema)
+    d = docs.union(rare).union(rare).cache()
+    want = {r.doc_id: r for r in li.identify(d).collect()}
+    keep = sorted(r.doc_id for r in li.keep_identified(d).collect())
+    monkeypatch.setattr(li, "MAX_TYPES", 5000)
+    assert li.train(d).n > 1
+    got = li.identify(d).collect()
+    assert len(got) == d.count() and any(r.lang_pred == "rare" for r in got)
+    for r in got:
+        w = want[r.doc_id]
+        assert (r.held_out, r.lang_pred, r.rejected) == (w.held_out, w.lang_pred, w.rejected)
+        assert abs(r.entropy - w.entropy) < 1e-6 and abs(r.score - w.score) < 1e-6
+    assert sorted(r.doc_id for r in li.keep_identified(d).collect()) == keep
