@@ -397,11 +397,11 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _limits(scored: DataFrame) -> DataFrame:
-    """lang_pred, bucket, limit: from training texts that got their own language; at most 21 rows a language."""
+    """lang_pred, bucket, limit of all 21 buckets of each language: from training texts that got their own language."""
     own = scored.filter("not held_out and lang = lang_pred and lang_pred <> 'und'")
     stats = lambda *by: own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("sd"))
     each = stats("lang_pred", "bucket")
-    whole = stats("lang_pred").select("lang_pred", F.col("mean").alias("all_mean"), F.col("sd").alias("all_sd"))
-    few = F.col("n") < MIN_BUCKET
+    whole = stats("lang_pred").select("lang_pred", F.col("mean").alias("all_mean"), F.col("sd").alias("all_sd"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("bucket"))
+    few = F.coalesce(F.col("n"), F.lit(0)) < MIN_BUCKET
     limit = F.when(few, F.col("all_mean") + 2 * REJECT_SIGMA * F.col("all_sd")).otherwise(F.col("mean") + REJECT_SIGMA * F.col("sd")) + REJECT_SLACK
-    return each.join(whole, "lang_pred").select("lang_pred", "bucket", limit.alias("limit"))
+    return whole.join(each, ["lang_pred", "bucket"], "left").select("lang_pred", "bucket", limit.alias("limit"))

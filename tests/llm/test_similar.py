@@ -266,3 +266,14 @@ def test_language_models_in_shards_keep_all_types(spark, monkeypatch):
         assert (r.held_out, r.lang_pred, r.rejected) == (w.held_out, w.lang_pred, w.rejected)
         assert abs(r.entropy - w.entropy) < 1e-6 and abs(r.score - w.score) < 1e-6
     assert sorted(r.doc_id for r in li.keep_identified(d).collect()) == keep
+
+
+def test_language_limits_hold_in_buckets_without_training_texts(spark):
+    from strandlake.llm.language_id import identify, keep_identified
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    strange = "".join(rng.choice("жщюыэъ") + rng.choice(" жщюыэъ") for _ in range(150_000))
+    d = docs.union(spark.createDataFrame([(10**6, strange, None)], docs.schema))
+    assert [r.rejected for r in identify(d).filter("doc_id = 1000000").collect()] == [True]
+    assert keep_identified(d).filter("doc_id = 1000000").count() == 0
