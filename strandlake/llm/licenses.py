@@ -1,8 +1,8 @@
 """Licence scan (DataFrame functions only): normalised text against licence templates by the Dice coefficient over word
 bigrams; size bounds prune the templates that a text can't reach.
 
-Units are the whole text, every line and every block of lines between blank lines, so that a notice inside a document is
-compared by itself.
+Units are the whole text, every line, every block of lines between blank lines, and every run of lines up to the size of
+a template, so that a notice inside a document is compared by itself, of several paragraphs too.
 """
 
 from __future__ import annotations
@@ -56,6 +56,19 @@ TEMPLATES = {
 }
 
 
+# Whole texts of which TEMPLATES has the first part. The SQL is made from TEMPLATES and doesn't know them.
+FULL_TEMPLATES = {
+    "BSD": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+}
+ALL_TEMPLATES = {name: texts + FULL_TEMPLATES.get(name, ()) for name, texts in TEMPLATES.items()}
+
+
 def bigrams_of(text: str) -> list[str]:
     """Sorted distinct word bigrams of one template, normalised as normalised() does."""
     import re
@@ -69,7 +82,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = ALL_TEMPLATES) -> DataFrame:
     """One row per row of docs: doc_id, license (best match or null), score (Dice, 0 if none), licenses (all, sorted).
 
     The score is the best Dice coefficient of any unit with any template; ties take the first name in order. Null text is
@@ -90,14 +103,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # A unit of n distinct bigrams has n+1 words or more, and at least 2n+1 characters: short units go at once.
     least = 2 * min(a for a, _ in spans) + 1
     lines, blocks = F.split(text, "\n", -1), F.split(text, "\n[\\x20\\t\\r]*\n", -1)
-    units = base.select("doc_id", F.filter(F.array_union(F.array_union(F.array(text), lines), blocks), lambda u: F.length(u) >= least).alias("u"))
-    words = units.select("doc_id", F.transform("u", normalised).alias("u"))
+    near, runs = _runs([g for _, g in entries], [-(-len(g) * threshold // (2 - threshold)) for _, g in entries], int(max(len(t.split()) for ts in templates.values() for t in ts) * (2 - threshold) / threshold))
+    base = base.withColumn("near", near(F.lower("text")))
+    base = base.select("doc_id", "text", F.when(F.col("near"), F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+|\n[^a-z0-9]*"), F.lit(0))).alias("tokens"))
+    units = base.select("doc_id", "tokens", F.filter(F.array_union(F.array_union(F.array(text), lines), blocks), lambda u: F.length(u) >= least).alias("u"))
+    words = units.select("doc_id", "tokens", F.transform("u", normalised).alias("u"))
     # Distinct bigrams can't exceed words - 1; far longer units that repeat little are cut by the count of distinct words,
     # as n distinct words have at least n - 1 distinct bigrams.
     top = max(b for _, b in spans)
-    words = words.select("doc_id", F.filter("u", lambda w: (F.size(w) > spans[0][0]) & (F.size(F.array_distinct(w)) - 1 <= top)).alias("u"))
-    pair = lambda w: F.array_distinct(F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))
-    grams = words.select("doc_id", F.transform("u", pair).alias("u"))
+    words = words.select("doc_id", "tokens", F.filter("u", lambda w: (F.size(w) > spans[0][0]) & (F.size(F.array_distinct(w)) - 1 <= top)).alias("u"))
+    grams = runs(words.select("doc_id", "tokens", F.transform("u", _pairs).alias("u")))
     inside = lambda g: _any([F.size(g).between(a, b) for a, b in spans])
     grams = grams.select("doc_id", F.filter("u", inside).alias("u"))
 
@@ -124,6 +139,61 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select("doc_id", first.alias("license"), "score", F.concat_ws(",", *every).alias("licenses"))
 
 
+def _pairs(w: Column) -> Column:
+    """Distinct bigrams of an array of words."""
+    return F.array_distinct(F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))
+
+
+def _runs(templates: list[list[str]], least: list[float], most: int):
+    """(test of lower-case texts, step that adds to u the bigrams of runs of whole lines of at most `most` words).
+
+    A unit that matches a template has `least` of its bigrams. So a text without any of a few words that touch all but less
+    of them has no match; nor has a run whose start is not followed, within `most` words, by that many.
+    """
+    touched = [set() for _ in templates]
+    of: dict[str, list[tuple[int, str]]] = {}
+    for k, g in enumerate(templates):
+        for x in g:
+            for w in set(x.split()):
+                of.setdefault(w, []).append((k, x))
+    short = lambda k: len(templates[k]) - len(touched[k]) >= least[k]
+    chosen: list[str] = []
+    while any(map(short, range(len(templates)))):
+        gain = {w: sum(1 / len(templates[k]) for k, x in xs if short(k) and x not in touched[k]) for w, xs in of.items()}
+        w = max(gain, key=lambda w: ((len(w) > 5 or w.isdigit()) and gain[w] > 0, gain[w], w))
+        chosen.append(w)
+        for k, x in of.pop(w):
+            touched[k].add(x)
+
+    def near(text: Column) -> Column:
+        return _any([F.contains(text, F.lit(w)) for w in chosen])
+
+    mark = lambda x: F.startswith(x, F.lit("\n"))
+    words = lambda a: F.filter(a, lambda x: ~mark(x))
+    enough = lambda g: _any([F.size(F.array_intersect(g, F.array(*map(F.lit, t)))) >= int(n) for t, n in zip(templates, least, strict=True)])
+    held = lambda a, f: F.size(F.filter(F.transform(F.array(a), lambda x: _pairs(words(x))), f)) > 0
+
+    def step(rows: DataFrame) -> DataFrame:
+        tokens = F.col("tokens")
+        rows = rows.select("doc_id", "u", F.when(held(tokens, enough), tokens).alias("tokens"))
+        places = F.sequence(F.lit(1), F.size(tokens))
+        starts = F.filter(places, lambda p: ~mark(F.get(tokens, p - 1)) & ((p == 1) | F.coalesce(mark(F.get(tokens, p - 2)), F.lit(True))))
+        rows = rows.withColumn("starts", F.when(F.size(tokens) > 0, starts))
+        # Between two words there is one mark at most.
+        window = lambda p: F.slice(tokens, p, F.lit(2 * most))
+        rows = rows.withColumn("starts", F.filter("starts", lambda p: held(window(p), enough)))
+
+        def from_start(w: Column) -> Column:
+            ends = F.filter(F.sequence(F.lit(1), F.size(w)), lambda e: F.coalesce(mark(F.get(w, e)), F.lit(True)) & ~mark(F.get(w, e - 1)))
+            lines = F.transform(ends, lambda e: words(F.slice(w, F.lit(1), e)))
+            return F.transform(F.filter(lines, lambda a: F.size(a).between(2, most)), _pairs)
+
+        found = F.flatten(F.transform(F.transform("starts", window), from_start))
+        return rows.select("doc_id", F.when(F.size("starts") > 0, F.concat("u", found)).otherwise(F.col("u")).alias("u"))
+
+    return near, step
+
+
 def _any(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

@@ -85,6 +85,24 @@ def test_licenses(spark):
         assert (got[i].license, round(got[i].score, 9)) == (best[1], round(best[0], 9)), t
 
 
+def test_licenses_of_several_paragraphs_inside_a_document(spark):
+    from strandlake.llm.licenses import FULL_TEMPLATES, TEMPLATES, scan_licenses
+
+    mit, (bsd2, bsd3), (isc,) = TEMPLATES["MIT"][1], FULL_TEMPLATES["BSD"], FULL_TEMPLATES["ISC"]
+    cut = lambda t, *at: "".join("\n\n" * (k > 0) + part for k, part in enumerate(t[a:b] for a, b in zip((0, *at), (*at, None))))
+    texts = {
+        "MIT": cut(mit, mit.index("The above"), mit.index("THE SOFTWARE IS")),
+        "BSD": cut(bsd3, bsd3.index("1. "), bsd3.index("2. "), bsd3.index("3. "), bsd3.index("THIS")),
+        "ISC": cut(isc, isc.index("THE SOFTWARE")).replace(", ", ",\n"),
+        "BSD 2": cut(bsd2, bsd2.index("THIS")),
+    }
+    prose = "\n\n".join(f"Line {i} of prose about the river\nand its banks, number {i}." for i in range(60))
+    d = spark.createDataFrame([*((k, f"{prose}\n\n{t}\n\n{prose}") for k, t in texts.items()), ("none", f"{prose} software license")], "name string, text string")
+    d = d.selectExpr("name", "cast(hash(name) as long) doc_id", "text")
+    got = {r.name: r for r in scan_licenses(d).join(d.select("name", "doc_id"), "doc_id").collect()}
+    assert {k: (r.license, r.score) for k, r in got.items()} == {k: (k.split()[0], 1.0) for k in texts} | {"none": (None, 0.0)}
+
+
 def test_empty(spark):
     from strandlake.llm.licenses import scan_licenses
     from strandlake.llm.quality import judge_quality
