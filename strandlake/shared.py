@@ -36,3 +36,19 @@ def drop_stage(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Stages:
+    """Staged tables of one operator, to be deleted together once the last of them has been read."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        self.made.append(stage(df))
+        return self.made[-1]
+
+    def drop(self, *more: DataFrame) -> None:
+        for df in (*self.made, *more):
+            drop_stage(df)
+        self.made = []
