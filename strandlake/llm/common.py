@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import drop_stage, shared_dir, stage  # noqa: F401
+from ..shared import Stages, drop_stage, shared_dir, stage  # noqa: F401
 
 #: Text handled at once inside a Python worker, so that memory follows this and not the Arrow batch.
 SLICE_BYTES = 1 << 20
@@ -201,6 +201,3 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, size: int =
         out += np.where(live, words[np.minimum(at + k, max(len(words) - 1, 0))] * _PLACE[k % len(_PLACE)] + U64(k + 1), U64(0)) if len(words) else U64(0)
     return mix64(out), at, offsets
 
-
-def arrow_batches(rows: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
