@@ -5,7 +5,9 @@ Files, all Parquet under one folder:
   recipes   one row per document in ascending doc_id: part, rid, doc_id, n_tokens, hashes (16 bytes a chunk), lengths, root
   chunks    one row per unique chunk: hash (16 bytes, of ids), ids (a byte that gives the width of an id, 2 or 4, then
             little-endian unsigned ids; 2 where all ids of the chunk fit)
-  manifest  one row per recipe part: part, documents, tokens, start (ids before it), root over the documents' roots
+  manifest  one row per recipe part: part, documents, tokens, root over the documents' roots
+
+A reader raises on a chunk, recipe or manifest row that is missing or does not match; it never leaves a document out.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import drop_stage, mix64, pick_id_text, shared_dir, stage, text_sli
 END_ID = 2
 #: Chunks end where the low bits of the rolling hash are zero; expected length about MIN + 2**BITS ids.
 WINDOW, BITS, MIN_IDS, MAX_IDS = 4, 7, 32, 1024
+#: Bytes of recipes in a part: what a task sorts and hashes at once.
+PART_BYTES = 16 << 20
 
 
 def rolling_hash(ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -173,27 +177,34 @@ def _first_of_each(chunks: DataFrame) -> DataFrame:
     return chunks.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "hash binary, ids binary")
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> None:
     """Encode every whole text (null is empty) and write recipes, chunks and manifest under path.
 
-    Null doc_ids come first; repeated rows are documents of their own; an empty table writes an empty store.
+    Null doc_ids come first; repeated rows are documents of their own; other columns of docs are ignored; an empty table
+    writes an empty store.
     """
     staged = stage(_encode(pick_id_text(docs, id_col, text_col), tokenizer, end_id), "kind")
     recipes = staged.filter("kind = 0").select("rid", "doc_id", "n_tokens", "hashes", "lengths", "root")
-    ordered = recipes.repartitionByRange("doc_id", "rid").sortWithinPartitions("doc_id", "rid").withColumn("part", F.spark_partition_id())
+    total = recipes.agg(F.sum(F.octet_length("hashes") + F.octet_length("lengths") + 64)).first()[0] or 0
+    # rid is a row's own, so a doc_id that very many rows share is cut too.
+    ordered = recipes.repartitionByRange(int(total // part_bytes) + 1, "doc_id", "rid").sortWithinPartitions("doc_id", "rid").withColumn("part", F.spark_partition_id())
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
     _first_of_each(staged.filter("kind = 1").select("hash", "ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
     drop_stage(staged)
-    read_recipes(docs.sparkSession, path).groupBy("part").applyInArrow(_manifest_part, "part int, documents long, tokens long, root binary").write.parquet(f"{path}/manifest")
+    read_recipes(docs.sparkSession, path).select("part", "rid", "doc_id", "n_tokens", "root").groupBy("part").applyInArrow(_manifest_part, _MANIFEST).write.parquet(f"{path}/manifest")
+
+
+def _in_order(table: pa.Table) -> np.ndarray:
+    return np.lexsort((table.column("rid").to_numpy(), table.column("doc_id").fill_null(-(1 << 63)).to_numpy()))
 
 
 def _manifest_part(table: pa.Table) -> pa.Table:
-    """One row for one part of the recipes; a part is one file of bounded size."""
-    order = np.lexsort((table.column("rid").to_numpy(), table.column("doc_id").fill_null(-(1 << 63)).to_numpy()))
+    """One row for one part of the recipes, which holds about PART_BYTES."""
     roots = table.column("root").to_pylist()
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "documents": [table.num_rows], "tokens": [int(table.column("n_tokens").to_numpy().sum())], "root": pa.array([merkle([roots[i] for i in order])], pa.binary())})
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "documents": [table.num_rows], "tokens": [int(table.column("n_tokens").to_numpy().sum())], "root": pa.array([merkle([roots[i] for i in _in_order(table)])], pa.binary())})
 
 
+_MANIFEST = "part int, documents long, tokens long, root binary"
 _RECIPES = "rid long, doc_id long, n_tokens long, hashes binary, lengths binary, root binary, part int"
 
 
@@ -234,33 +245,39 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(size.astype(np.int32)), pa.array(crc, pa.int64())], names=["hash", "n", "crc"])
 
 
-def starts(spark: SparkSession, path: str) -> dict[int, int]:
-    """Ids before each part; one number per recipe file."""
-    rows = sorted((p, t) for p, t in spark.read.parquet(f"{path}/manifest").select("part", "tokens").collect())
+def read_manifest(spark: SparkSession, path: str) -> dict[int, tuple[int, int, bytes]]:
+    """part: (ids before it, documents, root), one entry per recipe part; counts must be those of the recipes."""
+    listed = {r.part: (r.documents, r.tokens, bytes(r.root)) for r in spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").collect()}
+    there = {r.part: (r.documents, r.tokens) for r in read_recipes(spark, path).groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens")).collect()}
+    if there != {p: v[:2] for p, v in listed.items()}:
+        raise ValueError("the manifest does not match the recipes")
     out, at = {}, 0
-    for p, t in rows:
-        out[p], at = at, at + t
+    for p in sorted(listed):
+        documents, tokens, root = listed[p]
+        out[p] = (at, documents, root)
+        at += tokens
     return out
 
 
 def digest_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and verified of every document, from the files alone.
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone.
 
-    Every stored id is read and checked once, in its chunk; a document's CRC-32 is combined from those of its chunks, and
-    its Merkle root is rebuilt from its recipe.
+    Every stored id is read and checked once, in its chunk; a document's CRC-32 is combined from those of its chunks, its
+    Merkle root is rebuilt from its recipe, and the roots of a part must give the manifest's. ValueError where any differs.
     """
+    manifest = spark.sparkContext.broadcast(read_manifest(spark, path))
     recipes = read_recipes(spark, path)
     entries = recipes.select("rid", "hashes").mapInArrow(_entries, "rid long, seq int, hash binary")
     facts = read_chunks(spark, path).mapInArrow(_verified, "hash binary, n int, crc long")
-    found = entries.join(facts, "hash").groupBy("rid").agg(F.collect_list(F.struct("seq", "n", "crc")).alias("parts"))
-    begin = spark.sparkContext.broadcast(starts(spark, path))
-    joined = recipes.select("part", "rid", "doc_id", "n_tokens", "hashes", "root").join(found, "rid")
+    found = entries.join(facts, "hash", "left").groupBy("rid").agg(F.collect_list(F.struct("seq", "n", "crc")).alias("parts"))
+    joined = recipes.select("part", "rid", "doc_id", "n_tokens", "hashes", "root").join(found, "rid", "left")
 
     def combine(batches):
         for b in batches:
-            out = []
             flat = b.column("parts").flatten()
-            size = pa.compute.list_value_length(b.column("parts")).to_numpy()
+            if flat.field("n").null_count:
+                raise ValueError("a chunk is missing from the store")
+            size = pa.compute.list_value_length(b.column("parts")).fill_null(0).to_numpy()
             rows = np.repeat(np.arange(len(size)), size)
             seq, n, crc = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("seq", "n", "crc"))
             order = np.lexsort((seq, rows))
@@ -274,33 +291,45 @@ def digest_store(spark: SparkSession, path: str) -> DataFrame:
                 total[live] = np.bitwise_xor.reduceat(crc_shift(crc, 4 * after), (ends - size)[live])
             hashes, roots, want = b.column("hashes").to_pylist(), b.column("root").to_pylist(), b.column("n_tokens").to_numpy()
             for i, h in enumerate(hashes):
-                out.append(merkle([h[j : j + 16] for j in range(0, len(h), 16)]) == roots[i] and ids[i] == want[i] and size[i] == len(h) // 16)
-            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("rid"), b.column("doc_id"), pa.array(ids), pa.array(total.astype(np.int64)), pa.array(out, pa.bool_())], names=["part", "rid", "doc_id", "n_tokens", "ids_crc32", "verified"])
+                if size[i] != len(h) // 16 or ids[i] != want[i] or merkle([h[j : j + 16] for j in range(0, len(h), 16)]) != roots[i]:
+                    raise ValueError("a recipe does not match its chunks or its root")
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("rid"), b.column("doc_id"), pa.array(ids), pa.array(total.astype(np.int64)), b.column("root")], names=["part", "rid", "doc_id", "n_tokens", "ids_crc32", "root"])
 
-    done = joined.mapInArrow(combine, "part int, rid long, doc_id long, n_tokens long, ids_crc32 long, verified boolean")
+    done = joined.mapInArrow(combine, "part int, rid long, doc_id long, n_tokens long, ids_crc32 long, root binary")
 
     def number(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("rid").to_numpy(), table.column("doc_id").fill_null(-(1 << 63)).to_numpy()))
+        """A part, of bounded size, in order."""
+        order = _in_order(table)
         table = table.take(pa.array(order))
+        start, documents, root = manifest.value[table.column("part")[0].as_py()]
+        if table.num_rows != documents or merkle(table.column("root").to_pylist()) != root:
+            raise ValueError("a part of the recipes does not match the manifest's root")
         n = table.column("n_tokens").to_numpy()
-        first = begin.value[table.column("part")[0].as_py()] + np.cumsum(n) - n
-        return pa.table({"doc_id": table.column("doc_id"), "start": pa.array(first, pa.int64()), "n_tokens": table.column("n_tokens"), "ids_crc32": table.column("ids_crc32"), "verified": table.column("verified")})
+        return pa.table({"doc_id": table.column("doc_id"), "start": pa.array(start + np.cumsum(n) - n, pa.int64()), "n_tokens": table.column("n_tokens"), "ids_crc32": table.column("ids_crc32")})
 
-    return done.groupBy("part").applyInArrow(number, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    return done.groupBy("part").applyInArrow(number, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """rid, doc_id and ids (little-endian 32-bit) of every document, rebuilt chunk by chunk in recipe order."""
+    """rid, doc_id and ids (little-endian 32-bit) of every document, rebuilt chunk by chunk in recipe order.
+
+    ValueError if a chunk is missing, or the manifest's counts are not those of the recipes.
+    """
+    read_manifest(spark, path)
     recipes = read_recipes(spark, path)
     entries = recipes.select("rid", "hashes").mapInArrow(_entries, "rid long, seq int, hash binary")
-    parts = entries.join(read_chunks(spark, path), "hash").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
+    parts = entries.join(read_chunks(spark, path), "hash", "left").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
 
     def rebuild(batches):
         for b in batches:
-            ids = [b"".join([unpack_ids(p["ids"]).tobytes() for p in parts]) for parts in b.column("parts").to_pylist()]
+            ids = []
+            for parts, hashes in zip(b.column("parts").to_pylist(), b.column("hashes").to_pylist(), strict=True):
+                if len(parts or ()) != len(hashes) // 16 or any(p["ids"] is None for p in parts):
+                    raise ValueError("a chunk is missing from the store")
+                ids.append(b"".join([unpack_ids(p["ids"]).tobytes() for p in parts]))
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(ids, pa.binary())], names=["rid", "doc_id", "ids"])
 
-    return recipes.select("rid", "doc_id").join(parts, "rid").mapInArrow(rebuild, "rid long, doc_id long, ids binary")
+    return recipes.select("rid", "doc_id", "hashes").join(parts, "rid", "left").mapInArrow(rebuild, "rid long, doc_id long, ids binary")
 
 
 def store_and_digest(docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:

@@ -47,6 +47,30 @@ _SAFE[[c for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, _LATIN)) if len(c
 _SLOTS = 22
 
 
+# The parts of a tokenizers file that the word path can stand for; texts of any other file go through the library.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _by_word(spec: dict) -> bool:
+    """Is the file one whose ids are those of its lower-cased words in turn?"""
+    norm, pre, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    parts = pre.get("pretokenizers", [])
+    return (
+        norm.get("normalizers") == _NORMALIZERS
+        and len(parts) == 2
+        and parts[0].get("pattern", {}).get("Regex") == _SPLIT
+        and (parts[0].get("behavior"), parts[0].get("invert")) == ("Removed", True)
+        and parts[1].get("type") == "ByteLevel"
+        and not parts[1].get("add_prefix_space")
+        and not parts[1].get("use_regex")
+        and all(t["content"].startswith("<|") and not t["normalized"] for t in spec.get("added_tokens", []))
+        and not any(spec.get(k) for k in ("post_processor", "truncation", "padding"))
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+    )
+
+
 class WordEncoder:
     """Encodes lists of texts; one per worker and file."""
 
@@ -58,9 +82,7 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         spec = json.loads(self.whole.to_str())
-        split = spec.get("pre_tokenizer") or {}
-        parts = split.get("pretokenizers", [])
-        self.by_word = len(parts) == 2 and parts[0].get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and parts[1].get("type") == "ByteLevel"
+        self.by_word = _by_word(spec)
         self.kinds, self.symbols = _classes(), _byte_symbols()
         self._clear()
 

@@ -46,7 +46,6 @@ def test_store(spark, tokenizer, tmp_path):
         got = read_documents(spark, path).collect()
         assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
         rows = sorted(digest_store(spark, path).collect(), key=lambda r: r.start)
-        assert all(r.verified for r in rows)
         assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == Counter({(a, len(b), crc(b)): 0 for a, b in want}) + Counter({(a, len(b), crc(b)): n for (a, b), n in want.items()})
         at = 0
         for r in rows:
@@ -81,6 +80,56 @@ def test_store_finds_damage(spark, tmp_path):
         digest_store(spark, path).collect()
 
 
+def test_store_never_leaves_a_document_out(spark, tmp_path):
+    from strandlake.llm.token_store import digest_store, read_documents, write_store
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for what, keep in (("chunks", "true"), ("recipes", "doc_id % 7 <> 0"), ("manifest", "part <> 0"), ("recipes", "part <> 1")):
+        path = f"{tmp_path}/{what}-{len(keep)}"
+        write_store(d, path, PATH, part_bytes=4000)
+        table = spark.read.parquet(f"{path}/{what}")
+        if what == "manifest":
+            assert table.count() > 2
+        rows = spark.createDataFrame(table.filter(keep).collect()[1 if what == "chunks" else 0 :], table.schema)
+        rows.write.mode("overwrite").parquet(f"{path}/{what}")
+        with pytest.raises(Exception, match="missing|does not match"):
+            digest_store(spark, path).collect()
+        with pytest.raises(Exception, match="missing|does not match"):
+            read_documents(spark, path).collect()
+
+
+def test_store_checks_the_roots(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandlake.llm.token_store import digest_store, write_store
+
+    for what in ("recipes", "manifest"):
+        path = f"{tmp_path}/{what}"
+        write_store(frame(spark, ODD), path, PATH)
+        table = spark.read.parquet(f"{path}/{what}")
+        rows = spark.createDataFrame(table.withColumn("root", F.unhex(F.md5(F.col("root")))).collect(), table.schema)
+        rows.write.mode("overwrite").parquet(f"{path}/{what}")
+        with pytest.raises(Exception, match="does not match"):
+            digest_store(spark, path).collect()
+
+
+def test_other_files_go_through_the_library():
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from strandlake.llm.tokens import WordEncoder, _by_word
+
+    spec = json.loads(Tokenizer.from_file(PATH).to_str())
+    assert _by_word(spec)
+    for change in ({"normalizer": None}, {"added_tokens": [{"content": "word", "normalized": False}]}, {"post_processor": {"type": "ByteLevel"}}):
+        assert not _by_word(spec | change)
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    ids, off = WordEncoder.open(other).encode(["Some Text", "x"])
+    assert ids.tolist() == [i for e in Tokenizer.from_file(other).encode_batch(["Some Text", "x"], add_special_tokens=False) for i in e.ids]
+
+
 def test_pack(spark, tokenizer):
     from strandlake.llm.packing import pack
 
