@@ -67,6 +67,60 @@ def test_jaccard(spark, docs, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == dict(enumerate(want))
 
 
+def test_jaccard_tells_rows_of_one_id_apart(spark):
+    from strandlake.llm.ngram_jaccard import jaccard_join, keep_one_of_each
+
+    a, b = near_copies(7, 1, 300, 0)[0], near_copies(8, 1, 300, 0)[0]
+    rows = [(5, a, "x"), (5, b, "x"), (6, f"{b} more", "x"), (7, f"{a} more", "x"), (3, f"more {b}", "y"), (None, a, "n"), (None, a, "n"), (None, "q r s", "n"), (9, None, "z"), (9, "", "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, vid string")
+    got = Counter(tuple(r) for r in jaccard_join(d).collect())
+    lone = [r for r in got if r[0] is None and r[2] == 0]
+    assert len(lone) == 1
+    assert got == Counter({(5, 5, 3): 1, (5, 3, 2): 1, (6, 3, 2): 1, (7, 5, 3): 1, (3, 3, 2): 1, (None, 5, 3): 2, lone[0]: 1, (9, 9, 0): 2})
+    kept = Counter(tuple(r) for r in keep_one_of_each(d).collect())
+    assert kept == Counter([(5, a, "x"), (3, f"more {b}", "y"), (None, "q r s", "n"), (9, None, "z"), (9, "", "z")])
+    again = spark.createDataFrame(rows[:1] * 4 + rows[5:7] + rows[7:8] * 3, d.schema)
+    assert sorted(map(str, keep_one_of_each(again).collect())) == sorted(map(str, [again.first(), again.filter("text = 'q r s'").first()]))
+    assert keep_one_of_each(d.limit(0)).columns == d.columns and keep_one_of_each(d.limit(0)).count() == 0
+
+
+def test_jaccard_large_group(spark):
+    from strandlake.llm.ngram_jaccard import jaccard_join
+
+    texts = near_copies(11, 3000, 120, 1)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard_join(d).collect()
+    grams = [np.array(sorted(map(hash, shingles(t)))) for t in texts]
+    every, inv = np.unique(np.concatenate(grams), return_inverse=True)
+    matrix = np.zeros((len(texts), len(every)), np.float32)
+    matrix[np.repeat(np.arange(len(texts)), [len(g) for g in grams]), inv] = 1
+    matrix = matrix[:, matrix.sum(0) > 1]  # what one text has alone is in no intersection
+    both, size = matrix @ matrix.T, np.array([len(g) for g in grams])
+    linked = 5 * both >= 4 * (size[:, None] + size - both)
+    assert {r.doc_id: r.n_links for r in got} == dict(enumerate((linked.sum(1) - 1).tolist()))
+    assert {r.class_id for r in got} == {0}
+
+
+def test_jaccard_recall_at_the_threshold():
+    from strandlake.llm.ngram_jaccard import band_keys, least_matches, shingle_sets, signatures
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(400):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(49)]  # 45 shingles
+        v = list(w)
+        v[-5:] = [f"v{rng.randrange(10**6)}" for _ in range(5)]  # 40 / 50
+        pairs += [" ".join(w), " ".join(v)]
+    sets, off = shingle_sets(pa.array(pairs))
+    sig = signatures(sets, off)
+    keys = band_keys(sig)
+    shared = (keys[::2] == keys[1::2]).any(1)
+    match = np.cumsum(sig[::2] == sig[1::2], 1)
+    assert shared.mean() > 0.995 and all((match[:, n - 1] >= need).mean() > 0.999 for n, need in least_matches().items())
+
+
 def test_jaccard_odd(spark):
     from strandlake.llm.ngram_jaccard import jaccard_join
 
@@ -114,7 +168,9 @@ def test_decontamination(spark, docs):
 
 
 def brute_contamination(rows, items):
-    word = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    from unicodedata import category
+
+    word = lambda t: "".join(c if category(c)[0] in "LNM" else " " for c in (t or "").lower()).split()
     out = {}
     parsed = [(i, word(t)) for i, t in items]
     for doc, t in rows:
@@ -139,6 +195,53 @@ def brute_contamination(rows, items):
     return out
 
 
+def test_block_index_finds_all_within_the_radius():
+    from strandlake.llm.decontaminate import BITS, RADIUS, BlockIndex
+
+    rng = np.random.default_rng(4)
+    items = rng.random((300, BITS)) < 0.5
+    queries = np.concatenate((items[rng.integers(0, 300, 2000)], rng.random((3000, BITS)) < 0.5))
+    for i in range(2000):  # up to the radius, also with the bits spread over the blocks as evenly as can be
+        n = RADIUS - i % 5
+        at = rng.permutation(BITS)[:n] if i % 2 else np.unique(np.arange(n) * BITS // n)
+        queries[i, at] ^= True
+    q, k = BlockIndex(items).candidates(queries, 300)
+    got = set(zip(q.tolist(), k.tolist(), strict=True))
+    distance = (BITS - (2 * queries.astype(int) - 1) @ (2 * items.astype(int) - 1).T) // 2
+    want = set(zip(*(x.tolist() for x in np.nonzero(distance <= RADIUS)), strict=True))
+    assert len(want) >= 2000 and want <= got
+    assert len([1 for a, _ in got if a >= 2000]) < 0.01 * 3000 * 300  # unrelated fingerprints
+
+
+def test_decontamination_recall_near_the_threshold():
+    from strandlake.llm.decontaminate import ItemIndex, recall_at
+
+    assert recall_at(0.8) > 0.93 and recall_at(0.85) > 0.99
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    items = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(54)) for _ in range(400)]  # 50 shingles
+    index = ItemIndex(list(range(400)), items, 0.8, 47)
+    docs = []
+    for t in items:
+        w = t.split()
+        w[20] = "zz"  # five shingles differ: 45 / 55
+        docs.append(" ".join(w))
+    got = {(r, i) for r, i, *_ in index.search(pa.array(docs))}
+    assert got <= {(i, i) for i in range(400)} and len(got) >= 0.95 * 400
+
+
+def test_decontamination_words_end_at_unicode_marks():
+    import pyarrow as pa
+
+    from strandlake.llm.decontaminate import ItemIndex
+
+    item = "the quick brown fox jumps over the lazy dog near caf\u00e9 walls"
+    index = ItemIndex([7], [item], 0.8, 47)
+    docs = [f"\u201c{item}\u201d \u2014 so", "before\u2014" + item.replace(" ", "\u2014") + "\u2026after", "\U0001f642" + item, "none of it", None, ""]
+    assert [(r, i, s) for r, i, s, *_ in index.search(pa.array(docs))] == [(0, 7, 1.0), (1, 7, 1.0), (2, 7, 1.0)]
+
+
 def brute_lines(rows, min_fuzzy=20):
     occ = []
     for doc, t in rows:
@@ -236,17 +339,64 @@ def test_language_odd(spark):
     assert identify(d.limit(0)).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
+def plain_kneser_ney(texts, order=4):
+    """P(symbol | order-1 symbols before it) by the textbook recursion over dictionaries."""
+    top = Counter()
+    for t in texts:
+        x = " " * (order - 1) + " ".join(re.findall("[a-z]+", t)) + " "
+        top.update(x[i - order + 1 : i + 1] for i in range(order - 1, len(x)))
+    tables = {order: top}
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    d = {}
+    for k, t in tables.items():
+        ones, twos = sum(n == 1 for n in t.values()), sum(n == 2 for n in t.values())
+        d[k] = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+
+    def p(context, c):
+        k = len(context) + 1
+        t = tables[k]
+        own = [n for g, n in t.items() if g[:-1] == context]
+        if k == 1:
+            return max(t[c] - d[1], 0) / sum(own) + d[1] * len(own) / sum(own) / (len(own) + 1)
+        if not own:
+            return p(context[1:], c)
+        return max(t[context + c] - d[k], 0) / sum(own) + d[k] * len(own) / sum(own) * p(context[1:], c)
+
+    return p
+
+
+def test_kneser_ney_equals_the_plain_recursion():
     from strandlake.llm.language_id import LanguageModels, _places, ngram_keys, symbols
 
-    texts = ["the cat sat on the mat and the hat", "abba babab abab"] * 3
+    texts = ["the cat sat on the mat and the hat", "abba babab abab", "that cat"] * 2 + ["a tabby"]
     sym, off, _ = symbols(texts)
     keys, n = np.unique(ngram_keys(sym)[_places(off)], return_counts=True)
     m = LanguageModels(np.array(["x"] * len(keys), object), keys, n)
-    alphabet = np.unique(keys & np.uint64(0xFFFF))
-    for context in (keys[0] >> np.uint64(16), np.uint64(0x0061_0062_0063)):
-        p = np.exp(m.log_p((context << np.uint64(16)) | alphabet))
-        assert abs(p.sum() - 1) < 0.06 and p.min() > 0
+    p = plain_kneser_ney(texts)
+    alphabet = sorted({chr(k & 0xFFFF) for k in keys.tolist()} | {"z"})  # z stands for all symbols never seen
+    key = lambda s: sum(ord(c) << 16 * i for i, c in enumerate(reversed(s)))
+    for context in ("   ", "the", " ca", "bab", "zzt", "zza", "zzz", "qat"):
+        got = np.exp(m.log_p(np.array([key(context + c) for c in alphabet], np.uint64))[:, 0].astype(float))
+        assert np.allclose(got, [p(context, c) for c in alphabet], rtol=1e-5)
+        assert abs(got.sum() - 1) < 1e-5
+
+
+def test_language_rejection_is_calibrated(spark):
+    from strandlake.llm.language_id import identify
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    langs = sorted(r.lang for r in docs.select("lang").filter("lang is not null").distinct().collect())
+    foreign = langs[-1]
+    from pyspark.sql import functions as F
+
+    d = docs.withColumn("lang", F.when(F.col("lang") != foreign, F.col("lang")))
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    rows = identify(d).collect()
+    known = [r.rejected for r in rows if r.held_out and truth[r.doc_id] in langs[:-1] and r.lang_pred != "und"]
+    strange = [r.rejected for r in rows if truth[r.doc_id] == foreign]
+    print(foreign, np.mean(known), np.mean(strange), len(strange))
+    assert np.mean(known) < 0.01 and np.mean(strange) > 0.9
 
 
 def test_language_models_in_shards_keep_all_types(spark, monkeypatch):
