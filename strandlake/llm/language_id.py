@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import code_points, mix64, small_batches, stage, text_slices
+from .common import broadcast_if, code_points, mix64, small_batches, stage, text_slices
 
 ORDER = 4
 FOLDS = 5
@@ -21,6 +22,8 @@ FOLDS = 5
 MAX_TYPES = 4_000_000
 #: A text is rejected beyond this many standard deviations (plus a slack in nats) of its language's and length's mean.
 REJECT_SIGMA, REJECT_SLACK, MIN_BUCKET = 6.0, 0.15, 30
+#: Limits, 21 a language, that may be broadcast, by count.
+BROADCAST_ROWS = 400_000
 _SLOTS = 20
 _U = np.uint64
 
@@ -357,8 +360,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per row of docs: doc_id, held_out, lang_pred, score, entropy, rejected.
 
     lang_pred is a learned language, or und where the text is null or has no letter (or nothing was learned); these are
-    rejected with score 0. score is the posterior of the language over at most 50 symbols. Repeated rows give repeated
-    results; an empty table gives no rows.
+    rejected with score 0. score is the posterior of the language over at most 50 symbols; ties take the first name in order.
+    Texts are whole however long; repeated rows give repeated results; a null doc_id counts as held out; other columns of
+    docs are ignored; an empty table gives no rows.
     """
     models = models or train(docs, id_col, text_col, lang_col)
     if isinstance(models, ShardedModels):
@@ -369,31 +373,38 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def _with_rejected(scored: DataFrame) -> DataFrame:
-    out = scored.join(_limits(scored), ["lang_pred", "bucket"], "left")
+    out = scored.join(broadcast_if(_limits(scored), BROADCAST_ROWS), ["lang_pred", "bucket"], "left")
     return out.withColumn("rejected", (F.col("lang_pred") == "und") | F.coalesce(F.col("entropy") > F.col("limit"), F.lit(False)))
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", models: LanguageModels | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that identify() does not reject.
 
-    The limits are a few rows a language, so rows are judged where they are read, and no text is shuffled (unless the
-    models are in shards).
+    Every text is scored once, into a table of the rows with their scores; no text is shuffled (unless the models are in
+    shards). Equal rows are judged alike, so all of them stay or go.
     """
     models = models or train(docs, id_col, text_col, lang_col)
     if isinstance(models, ShardedModels):
         kept = _with_rejected(_scored_by_shard(docs, models, id_col, text_col, lang_col)).filter("not rejected").select(_HASH).distinct()
         return docs.withColumn(_HASH, _text_hash(text_col)).join(kept, _HASH, "left_semi").select(*docs.columns)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    limits = {(r.lang_pred, r.bucket): r.limit for r in _limits(_scored(docs, shared, id_col, text_col, lang_col)).collect()}
+    names = [f"{_HASH}_{c}" for c in ("lang_pred", "entropy", "bucket")]
+    schema = StructType(list(docs.schema.fields))
+    for c, t in zip(names, ("string", "double", "int"), strict=True):
+        schema = schema.add(c, t)
 
     def run(batches):
         for batch in batches:
             for cut in text_slices(batch, text_col):
                 pred, _, entropy, bucket = _score(shared.value, [t or "" for t in cut.column(text_col).to_pylist()])
-                keep = [p != "und" and e <= limits.get((p, b), np.inf) for p, e, b in zip(pred, entropy.tolist(), bucket.tolist(), strict=True)]
-                yield cut.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(pred), pa.array(entropy), pa.array(bucket)], names=[*cut.schema.names, *names])
 
-    return docs.mapInArrow(run, docs.schema)
+    done = stage(docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema))
+    facts = [F.col(c).alias(c.removeprefix(f"{_HASH}_")) for c in names]
+    limits = broadcast_if(_limits(done.select(held_out(id_col).alias("held_out"), F.col(lang_col).cast("string").alias("lang"), *facts)), BROADCAST_ROWS)
+    within = done.join(limits, (F.col(names[0]) == limits["lang_pred"]) & (F.col(names[2]) == limits["bucket"]), "left")
+    return within.filter((F.col(names[0]) != "und") & F.coalesce(F.col(names[1]) <= F.col("limit"), F.lit(True))).select(*[done[c] for c in docs.columns])
 
 
 def _limits(scored: DataFrame) -> DataFrame:
