@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import U64, Stages, broadcast_if, drop_stage, mix64, pick_id_text, shingle_hashes, stage, text_slices, tidy, utf8_bytes, word_hashes, word_spans
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8**3)**16 = 1e-5.
-HASHES, BANDS, ROWS = 64, 16, 3
+#: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8**3)**21 = 3e-7, one of 0.85 with 3e-9.
+HASHES, BANDS, ROWS = 64, 21, 3
+_BAND_BITS = 31
 STEP, TOLERANCE = 16, 1e-7
 BLOCK = 1024
 #: Nodes whose keys may be broadcast to pick their texts; beyond it the texts are joined by a shuffle.
@@ -89,7 +90,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     key = np.zeros((len(sig), BANDS), U64)
     for r in range(ROWS):
         key = mix64(key ^ (s[:, :, r] + U64(r + 1 << 40)))
-    return key & ~U64(BANDS - 1) | np.arange(BANDS, dtype=U64)
+    return key & ~U64(_BAND_BITS) | np.arange(BANDS, dtype=U64)
 
 
 def _sign(batches):
@@ -137,7 +138,7 @@ class Bucket:
         self.table = table = table.take(pa.array(first))
         self.sig, self.size = _matrix(table.column("sig").combine_chunks()), table.column("size").to_numpy().astype(np.int64)
         self.keys, self.side = band_keys(self.sig), table.column("block").to_numpy()
-        self.band = table.column("key")[0].as_py() & BANDS - 1
+        self.band = table.column("key")[0].as_py() & _BAND_BITS
         self.lonely = table.column("bx")[0].as_py() == table.column("by")[0].as_py()
         self.threshold, self.least = threshold, least
 
@@ -261,7 +262,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     near = work.stage(bands.join(broadcast_if(shared, BROADCAST_ROWS), "key"))
     # Of buckets with the same members only that of the lowest band is needed.
     alike = near.groupBy("key", "n").agg(F.bit_xor(F.xxhash64("vid")).alias("x"), F.bit_xor(F.xxhash64("vid", F.lit(1))).alias("y"))
-    kept = alike.groupBy("n", "x", "y").agg(F.min_by("key", F.col("key").bitwiseAND(BANDS - 1)).alias("key")).select("key")
+    kept = alike.groupBy("n", "x", "y").agg(F.min_by("key", F.col("key").bitwiseAND(_BAND_BITS)).alias("key")).select("key")
     members = near.join(broadcast_if(kept, BROADCAST_ROWS), "key", "left_semi").join(nodes.select("vid", "copies", "size", "sig"), "vid")
     n_blocks = F.ceil(F.col("n") / BLOCK)
     dealt = members.withColumn("block", F.pmod(F.xxhash64("vid"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))))
@@ -269,7 +270,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     least = least_matches(threshold)
     narrow = "key long, bx int, by int, block int, vid long, copies long, size int, sig binary"
     # First on MinHash values alone, so that only members with a candidate bring their shingle sets.
-    candidates = work.stage(dealt.groupBy("key", "bx", "by").applyInArrow(lambda t: Bucket(t, threshold, least).candidates(), narrow))
+    n_tasks = max(docs.sparkSession.sparkContext.defaultParallelism, near.count() // (4 * BLOCK))
+    candidates = work.stage(dealt.repartition(n_tasks, "key", "bx", "by").groupBy("key", "bx", "by").applyInArrow(lambda t: Bucket(t, threshold, least).candidates(), narrow))
     tidy(docs.sparkSession)
     wanted = nodes.join(candidates.select("vid").distinct(), "vid", "left_semi").select("vid", F.col("from.doc_id").alias("want"), "from.th")
     pick = broadcast_if(work.stage(wanted), BROADCAST_ROWS)
