@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import U64, PrefixHash, broadcast_if, code_points, mix64, pick_id_text, stage, text_slices, tidy
+from .common import U64, PrefixHash, Stages, broadcast_if, code_points, mix64, pick_id_text, stage, text_slices, tidy
 
 MAX_EDITS = 1
-#: Shorter lines must be equal to be repeats: one edit turns them into other words.
-MIN_FUZZY = 20
+#: The bound is relative: one edit in this many symbols. In shorter lines one edit makes another word or number, so no edit is
+#: allowed, and they must be equal (44 of 404,191 distinct lines of the check's 0.1 GB table are shorter).
+MIN_FUZZY = 8
 #: Rows of narrow tables (keys, line hashes, places) that may be broadcast, by count; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 LAST = (1 << 63) - 1
@@ -137,44 +138,48 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeats inside a document aren't listed: removing them needs that document alone.
     """
     base = pick_id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    spark = docs.sparkSession
-    occurrences = stage(base.mapInArrow(_occurrences, OCCURRENCES))
+    spark, work = docs.sparkSession, Stages()
+    occurrences = work.stage(base.mapInArrow(_occurrences, OCCURRENCES))
     firsts = [F.first(c).alias(c) for c in ("n", "head", "tail", "other")]
     places = [F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line")]
-    distinct = stage(occurrences.groupBy("h1", "h2").agg(*places, *firsts))
+    distinct = work.stage(occurrences.groupBy("h1", "h2").agg(*places, *firsts))
     tidy(spark)
     keys = distinct.filter(F.col("n") >= min_fuzzy).select("h1", "n", "head", "tail", "other").mapInArrow(_half_keys, "key long, h1 long")
-    shared = stage(keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key"))
-    maybe = stage(keys.join(broadcast_if(shared, BROADCAST_ROWS), "key", "left_semi").select("h1").distinct())
+    shared = work.stage(keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key"))
+    maybe = work.stage(keys.join(broadcast_if(shared, BROADCAST_ROWS), "key", "left_semi").select("h1").distinct())
     tidy(spark)
-    wanted = stage(distinct.join(broadcast_if(maybe, BROADCAST_ROWS), "h1", "left_semi").filter(F.col("n") >= min_fuzzy).groupBy("doc_id").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted")))
+    wanted = work.stage(distinct.join(broadcast_if(maybe, BROADCAST_ROWS), "h1", "left_semi").filter(F.col("n") >= min_fuzzy).groupBy("doc_id").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted")))
     pick = F.broadcast(wanted) if maybe.count() <= BROADCAST_ROWS else wanted
-    lines = stage(base.select("doc_id", "text").join(pick, "doc_id").mapInArrow(_pick_lines, "doc_id long, line int, h1 long, h2 int, text string").dropDuplicates(["h1", "h2"]))
-    near = _verified(lines)
+    lines = work.stage(base.select("doc_id", "text").join(pick, "doc_id").mapInArrow(_pick_lines, "doc_id long, line int, h1 long, h2 int, text string").dropDuplicates(["h1", "h2"]))
+    near = _verified(lines, work)
     tidy(spark)
     several = distinct.select("h1", "h2", "n_docs", F.col("doc_id").alias("d0")).join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    several = stage(several.select("h1", "h2", "d0", F.coalesce("near", F.lit(False)).alias("near"), "n_docs").filter("near or n_docs > 1").drop("n_docs"))
+    several = work.stage(several.select("h1", "h2", "d0", F.coalesce("near", F.lit(False)).alias("near"), "n_docs").filter("near or n_docs > 1").drop("n_docs"))
     repeats = occurrences.select("h1", "h2", "doc_id", "th", "line").join(broadcast_if(several, BROADCAST_ROWS), ["h1", "h2"]).filter("near or doc_id <> d0")
-    return repeats.select("doc_id", "th", "line", (F.col("doc_id") == F.col("d0")).alias("near"))
+    out = stage(repeats.select("doc_id", "th", "line", (F.col("doc_id") == F.col("d0")).alias("near")))
+    work.drop()
+    return out
 
 
-def _verified(lines: DataFrame) -> DataFrame:
+def _verified(lines: DataFrame, work: Stages) -> DataFrame:
     """h1, h2 of lines whose edit distance to the earlier line they are linked to is within the bound."""
-    links = stage(_links(lines))
+    links = work.stage(_links(lines, work))
     later = lines.select("h1", "h2", F.col("text").alias("later")).join(links, "h1")
     both = later.join(lines.select(F.col("h1").alias("first"), F.col("text").alias("earlier")), "first")
-    return stage(both.filter(F.levenshtein("later", "earlier", MAX_EDITS) >= 0).select("h1", "h2").distinct())
+    return work.stage(both.filter(F.levenshtein("later", "earlier", MAX_EDITS) >= 0).select("h1", "h2").distinct())
 
 
-def _links(lines: DataFrame) -> DataFrame:
+def _links(lines: DataFrame, work: Stages) -> DataFrame:
     """h1, first: a line and an earlier one within one edit, by equal keys; one link per line."""
-    v = lines.mapInArrow(_variants, "key long, kind int, doc_id long, line int, h1 long")
+    # A line has two variants a symbol: lines are dealt out by themselves, not by the few files that hold them.
+    spread = lines.repartition(4 * lines.sparkSession.sparkContext.defaultParallelism, "h1")
+    v = spread.mapInArrow(_variants, "key long, kind int, doc_id long, line int, h1 long")
     me = F.struct("doc_id", "line", "h1")
     low = v.groupBy("key").agg(
         F.min(F.when(F.col("kind") == 2, me)).alias("placed"), F.min(F.when(F.col("kind") == 1, me)).alias("whole"), F.min(F.when(F.col("kind") == 0, me)).alias("shorter"),
         F.count_if(F.col("kind") == 2).alias("n2"),
     ).filter("n2 > 1 or (whole is not null and shorter is not null)")
-    both = v.join(low, "key")
+    both = v.join(broadcast_if(work.stage(low), BROADCAST_ROWS), "key")
     rival = F.when(F.col("kind") == 2, F.col("placed")).when(F.col("kind") == 1, F.col("shorter")).otherwise(F.col("whole"))
     earlier = both.withColumn("rival", rival).filter((F.col("rival.doc_id") < F.col("doc_id")) | ((F.col("rival.doc_id") == F.col("doc_id")) & (F.col("rival.line") < F.col("line"))))
     return earlier.groupBy("h1").agg(F.min("rival").alias("r")).select("h1", F.col("r.h1").alias("first"))
@@ -185,8 +190,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line with a word goes if an earlier line (by doc_id, then place) of any document is equal to it, or within one edit of
     it and both have min_fuzzy symbols; lines are judged on the input, not on what is left. Blank lines stay. Null texts stay
-    null; null doc_ids come last; rows with the same doc_id and line are
-    both first, so neither repeats the other.
+    null, empty texts empty; null doc_ids come last; rows with the same doc_id and line are both first, so neither repeats
+    the other; texts and lines are whole however long. Other columns of docs stay as they are, but for columns of docs named
+    n_lines, n_removed or n_near, in whose place the counts stand. An empty table gives no rows.
     """
     repeats = find_repeats(docs, id_col, text_col, min_fuzzy)
     lists = repeats.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("line", "near")).alias("__gone"))

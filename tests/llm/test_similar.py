@@ -242,7 +242,7 @@ def test_decontamination_words_end_at_unicode_marks():
     assert [(r, i, s) for r, i, s, *_ in index.search(pa.array(docs))] == [(0, 7, 1.0), (1, 7, 1.0), (2, 7, 1.0)]
 
 
-def brute_lines(rows, min_fuzzy=20):
+def brute_lines(rows, min_fuzzy=8):
     occ = []
     for doc, t in rows:
         for i, line in enumerate((t or "").split("\n")):
@@ -299,7 +299,7 @@ def test_lines(spark, docs):
             lines.append(rng.choice([x, x[:k] + x[k + 1 :], x[:k] + "é" + x[k:], x[:k] + "Z" + x[k + 1 :], x[:k] + x[k + 2 :], x[-1] + x, x + x[-1]]))
         texts.append("\n".join(lines))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    rows += [(1000 + i, t) for i, t in enumerate(texts)] + [(2000, None), (2001, ""), (2002, "\n\n"), (None, texts[0]), (2003, "short\nshort\nshorn")]
+    rows += [(1000 + i, t) for i, t in enumerate(texts)] + [(2000, None), (2001, ""), (2002, "\n\n"), (None, texts[0]), (2003, "short\nshort\nshorn\nquite short\nquite shorn\nseven s\nseven t")]
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, sha((r.text or "").encode())) for r in got) == brute_lines(rows)
     assert any(r.n_near for r in got)
@@ -312,6 +312,8 @@ def test_lines_odd(spark):
     got = dedup_lines(d)
     assert got.columns == [*d.columns, "n_lines", "n_removed", "n_near"] and got.count() == d.count()
     assert dedup_lines(d.limit(0)).count() == 0
+    clash = dedup_lines(spark.createDataFrame([(1, "a line of text\na line of text", 99), (2, "a line of texts", 99)], "doc_id long, text string, n_lines long"))
+    assert sorted(map(tuple, clash.collect())) == [(1, "a line of text", 2, 1, 0), (2, "", 1, 1, 1)]
 
 
 def test_language(spark, docs):
