@@ -1,13 +1,11 @@
-"""Removal of long byte strings that an earlier document has too, by suffix arrays over what can repeat.
+"""Removal of long byte strings that an earlier document has too, by external induced suffix sorting of what can repeat.
 
 Documents are dealt into blocks. Each window of `min_len` bytes has an anchor: its least-hashed 24-byte string. Equal
-windows have equal anchors, so a window whose anchor is in one document only can't repeat. Windows with the same anchor
-occurrence form a cell. Three rounds follow, each a shuffle of packed arrays answered with packed bits:
-  1. anchors: which are in two documents or more;
-  2. cells with such anchors: is the whole cell, bytes and all, in an earlier document;
-  3. cells left over: their bytes meet in shards by anchor (windows of very widespread anchors: by their own hash), every
-     shard is suffix-sorted by external induced sorting, and runs of suffixes that agree in min_len bytes give each window
-     its earliest document.
+windows have equal anchors, so a window whose anchor is in one document only can't repeat: a first round, a shuffle of packed
+anchor hashes answered with packed bits, leaves such windows out. Windows with the same anchor occurrence form a cell; equal
+cells of a block, compared byte by byte, are one. In a second round the bytes of all cells left meet in shards by anchor.
+Every shard is suffix-sorted by external induced sorting, and runs of suffixes whose common prefixes reach min_len give each
+window its earliest document. Whether a window repeats is decided by its bytes alone, never by a hash.
 """
 
 from __future__ import annotations
@@ -20,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, U64, PrefixHash, mix64, pick_id_text, stage, tidy, utf8_bytes
-from .induced_sort import suffix_order
+from .common import SLICE_BYTES, U64, PrefixHash, Stages, drop_stage, mix64, pick_id_text, release, shared_dir, stage, tidy, utf8_bytes
+from .induced_sort import ENTRIES, SEPARATOR, Pile, Scratch, blocks, sorted_suffixes
 
 MIN_LEN, ANCHOR = 50, 24
 BLOCK_BYTES = 8 << 20
-#: An anchor in more blocks than this is dealt out by windows, so that no shard holds all its cells.
-HOT_BLOCKS = 2_000
+#: An anchor with more cells than this (equal ones of a block count once) is dealt out with the bytes beside it.
+HOT_CELLS = 4_096
+#: Buckets of the table of blocks, and tasks that sort shards; a bucket holds several blocks, and a task has several shards, beyond it.
+MAX_BUCKETS = 20_000
 LAST = (1 << 63) - 1
 _LOW = U64((1 << 40) - 1)
 
@@ -99,8 +99,15 @@ def _deal(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def _low5(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray((keys & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Five bytes of each key, and one that counts its cells up to 255."""
+    wide = (keys & _LOW | np.minimum(counts, 255).astype(U64) << U64(40)).astype("<u8")
+    return np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of all ranges in turn."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 SENT = "bucket int, block int, data binary"
@@ -120,198 +127,223 @@ def _bits(answers: dict, order: np.ndarray, bounds: np.ndarray, which: int, offs
 class _Block:
     """What every round derives anew from a block's documents and the answers so far."""
 
-    def __init__(self, left: pa.Table, right: pa.Table, n: int, min_len: int, hot_blocks: int):
+    def __init__(self, left: pa.Table, n: int, min_len: int, right: pa.Table | None = None):
         raw, off = utf8_bytes(left.column("text").combine_chunks())
         docs = left.column("doc_id").to_numpy()
         self.block, self.n, self.min_len = left.column("block")[0].as_py(), n, min_len
         self.answers, self.marks = {}, []
-        for r, k, d in zip(right.column("round").to_pylist(), right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True):
-            if r == 3:
-                self.marks.append(d)
-            else:
+        for r, k, d in zip(*[right.column(c).to_pylist() for c in ("round", "bucket", "data")], strict=True) if right is not None else ():
+            if r == 1:
                 self.answers[r, k] = d
+            else:
+                self.marks.append(d)
         self.cells = c = Cells(raw, off, docs, min_len)
-        every = np.arange(len(c.a))
-        self.anchors, self.anchor_of, low, high = c.distinct(c.anchor, every)
+        self.anchors, self.anchor_of, low, high = c.distinct(c.anchor, np.arange(len(c.a)))
         self.order, self.bounds = _deal(self.anchors, n)
         self.several = low != high
 
     def use_anchors(self) -> None:
-        """Round 1: cells whose anchor is in two documents or more."""
+        """Cells whose anchor is in two documents or more; equal ones under one number, with their least document."""
         c = self.cells
         shared = self.several | _bits(self.answers, self.order, self.bounds, 1, 0)
         self.hot = _bits(self.answers, self.order, self.bounds, 1, 1)
         self.live = np.flatnonzero(shared[self.anchor_of])
-        self.keys, self.key_of, self.low, _ = c.distinct(c.content[self.live], self.live)
+        keys, self.key_of, _, _ = c.distinct(c.content[self.live], self.live)
         _, at = np.unique(self.key_of, return_index=True)
-        self.sample = self.live[at]  # one cell of each content, for its anchor and bytes
-        self.korder, self.kbounds = _deal(self.keys, self.n)
-
-    def use_cells(self) -> None:
-        """Round 2: contents that an earlier document has, here or in another block."""
-        self.elsewhere = _bits(self.answers, self.korder, self.kbounds, 2)
-        self.open = np.flatnonzero(~self.elsewhere)
-        doc = self.cells.doc[self.live]
-        self.whole = self.elsewhere[self.key_of] | (doc > self.low[self.key_of])
+        self.sample = self.live[at]
+        # Cells of one hash are equal to its sample byte by byte, or get a number of their own.
+        other = np.flatnonzero(self.sample[self.key_of] != self.live)
+        differ = np.zeros(len(other), bool)
+        for x, y in blocks(len(other), 20_000):
+            i, j = self.live[other[x:y]], self.sample[self.key_of[other[x:y]]]
+            size = c.b[i] - c.a[i] + self.min_len
+            odd = (c.b[j] - c.a[j] + self.min_len != size) | (c.place[i] - c.a[i] != c.place[j] - c.a[j])
+            j = np.where(odd, i, j)
+            unlike = c.raw[_ragged(c.a[i], size)] != c.raw[_ragged(c.a[j], size)]
+            differ[x:y] = odd | np.logical_or.reduceat(unlike, np.cumsum(size) - size)
+        odd = other[differ]
+        self.key_of[odd] = len(keys) + np.arange(len(odd))
+        self.sample = np.concatenate((self.sample, self.live[odd]))
+        self.low = np.full(len(self.sample), LAST)
+        np.minimum.at(self.low, self.key_of, c.doc[self.live])
 
 
 def _send_anchors(n: int, min_len: int):
     def run(left: pa.Table) -> pa.Table:
-        b = _Block(left, pa.table({"round": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())}), n, min_len, 0)
-        keys = b.anchors[b.order]
+        b = _Block(left, n, min_len)
+        keys, counts = b.anchors[b.order], np.bincount(b.anchor_of, minlength=len(b.anchors))[b.order]
         at = [k for k in range(n) if b.bounds[k + 1] > b.bounds[k]]
-        return pa.table({"bucket": pa.array(at, pa.int32()), "block": pa.array([b.block] * len(at), pa.int32()), "data": pa.array([_low5(keys[b.bounds[k] : b.bounds[k + 1]]) for k in at], pa.binary())})
+        return pa.table({"bucket": pa.array(at, pa.int32()), "block": pa.array([b.block] * len(at), pa.int32()), "data": pa.array([_packed(keys[x:y], counts[x:y]) for x, y in ((b.bounds[k], b.bounds[k + 1]) for k in at)], pa.binary())})
 
     return run
 
 
-def _answer_anchors(hot_blocks: int):
+def _answer_anchors(hot_cells: int):
     def run(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(d, np.uint8).reshape(-1, 5) for d in table.column("data").to_pylist()]
+        sent = [np.frombuffer(d, np.uint8).reshape(-1, 6) for d in table.column("data").to_pylist()]
         wide = np.zeros((sum(map(len, sent)), 8), np.uint8)
-        wide[:, :5] = np.concatenate(sent)
-        keys = wide.view("<u8")[:, 0]
+        wide[:, :6] = np.concatenate(sent)
+        keys, cells = wide.view("<u8")[:, 0] & _LOW, wide[:, 5].astype(np.int64)
         order = np.argsort(keys)
         ranked = keys[order]
         new = np.ones(len(keys), bool)
         new[1:] = ranked[1:] != ranked[:-1]
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(keys)))
-        count = np.empty(len(keys), np.int64)
-        count[order] = np.repeat(size, size)
+        shared, hot = np.empty(len(keys), bool), np.empty(len(keys), bool)
+        shared[order] = np.repeat(size > 1, size)
+        hot[order] = np.repeat(np.add.reduceat(cells[order], start) > hot_cells, size)
         out, at = [], 0
         for s in sent:
-            mine = count[at : at + len(s)]
+            out.append(np.packbits(np.concatenate((shared[at : at + len(s)], hot[at : at + len(s)]))).tobytes())
             at += len(s)
-            out.append(np.packbits(np.concatenate((mine > 1, mine > hot_blocks))).tobytes())
         m = table.num_rows
         return pa.table({"block": table.column("block"), "round": pa.array([1] * m, pa.int32()), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary())})
 
     return run
 
 
-_CELL = np.dtype([("key", "<u8"), ("anchor", "<u4"), ("doc", "<i8")])
-
-
-def _send_cells(n: int, min_len: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
-        b = _Block(left, right, n, min_len, 0)
-        b.use_anchors()
-        rows = np.zeros(len(b.keys), _CELL)
-        rows["key"], rows["doc"], rows["anchor"] = b.keys, b.low, (b.cells.anchor[b.sample] >> U64(32)).astype(np.uint32)
-        rows = rows[b.korder]
-        at = [k for k in range(n) if b.kbounds[k + 1] > b.kbounds[k]]
-        return pa.table({"bucket": pa.array(at, pa.int32()), "block": pa.array([b.block] * len(at), pa.int32()), "data": pa.array([rows[b.kbounds[k] : b.kbounds[k + 1]].tobytes() for k in at], pa.binary())})
-
-    return run
+_SNIP = np.dtype([("index", "<u4"), ("shift", "u1"), ("length", "<u2"), ("doc", "<i8")])
 
 
-def _answer_cells(table: pa.Table) -> pa.Table:
-    sent = [np.frombuffer(d, _CELL) for d in table.column("data").to_pylist()]
-    rows = np.concatenate(sent)
-    order = np.lexsort((rows["doc"], rows["anchor"], rows["key"]))
-    r = rows[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r["key"][1:] != r["key"][:-1]) | (r["anchor"][1:] != r["anchor"][:-1])
-    start = np.flatnonzero(new)
-    first = np.repeat(r["doc"][start], np.diff(np.append(start, len(r))))
-    earlier = np.empty(len(r), bool)
-    earlier[order] = first < r["doc"]
-    out, at = [], 0
-    for s in sent:
-        out.append(np.packbits(earlier[at : at + len(s)]).tobytes())
-        at += len(s)
-    m = table.num_rows
-    return pa.table({"block": table.column("block"), "round": pa.array([2] * m, pa.int32()), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary())})
+def _snippets(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(snippets, their places, hashes that deal them out) of the cells that may repeat.
 
-
-_SNIP = np.dtype([("index", "<u4"), ("shift", "<u4"), ("length", "<u4"), ("doc", "<i8")])
+    A cell is dealt by its anchor. One of a hot anchor is cut in two: windows with half of their other bytes before the
+    anchor are dealt by those and the anchor, the others by the anchor and as many bytes after it.
+    """
+    c, own, m = b.cells, b.sample, b.min_len
+    a, e, place, anchor = c.a[own], c.b[own], c.place[own], c.anchor[own]
+    near = (m - ANCHOR) // 2
+    hot = b.hot[b.anchor_of[own]]
+    parts = []
+    # From and to: first and last window; then where the string begins that deals them out (if any), and its length.
+    for rows, first, last, begin, size in (
+        (np.flatnonzero(~hot), a, e, None, 0),
+        (np.flatnonzero(hot & (a <= place - near)), a, np.minimum(e, place - near), place - near, near + ANCHOR),
+        (np.flatnonzero(hot & (e > place - near)), np.maximum(a, place - near + 1), e, place, m - near + 1),
+    ):
+        snip = np.zeros(len(rows), _SNIP)
+        snip["index"], snip["doc"] = rows, b.low[rows]
+        snip["shift"], snip["length"] = first[rows] - a[rows], last[rows] - first[rows] + m
+        spread = anchor[rows]
+        if begin is not None and len(rows):
+            spread = mix64(PrefixHash(c.raw).ranges(begin[rows], begin[rows] + size) + U64(size))
+        parts.append((snip, first[rows], spread))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _send_snippets(n: int, min_len: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        shards, blocks, data = [], [], []
+        shards, block, data = [], [], []
         if left.num_rows:
-            b = _Block(left, right, n, min_len, 0)
+            b = _Block(left, n, min_len, right)
             b.use_anchors()
-            b.use_cells()
-            c, i = b.cells, b.open
-            own = b.sample[i]
-            hot = b.hot[b.anchor_of[own]]
-            a, e = c.a[own], c.b[own]
-            # One snippet per cell, or one per window where the anchor is hot.
-            count = np.where(hot, e - a + 1, 1)
-            row = np.repeat(np.arange(len(own)), count)
-            shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            snip = np.zeros(len(row), _SNIP)
-            snip["index"], snip["shift"], snip["doc"] = i[row], shift, b.low[i][row]
-            start = a[row] + shift
-            snip["length"] = np.where(hot[row], min_len, e[row] - a[row] + min_len)
-            spread = c.anchor[own][row]
-            if hot.any():
-                p = PrefixHash(c.raw)
-                k = np.flatnonzero(hot[row])
-                spread[k] = mix64(p.ranges(start[k], start[k] + min_len))
+            snip, start, spread = _snippets(b)
             shard = (mix64(spread) % U64(n)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(n + 1))
             for k in range(n):
                 mine = order[bounds[k] : bounds[k + 1]]
                 if len(mine):
-                    size = snip["length"][mine].astype(np.int64)
-                    at = np.arange(size.sum()) + np.repeat(start[mine] - (np.cumsum(size) - size), size)
                     shards.append(k)
-                    blocks.append(b.block)
-                    data.append(len(mine).to_bytes(8, "little") + snip[mine].tobytes() + c.raw[at].tobytes())
-        return pa.table({"bucket": pa.array(shards, pa.int32()), "block": pa.array(blocks, pa.int32()), "data": pa.array(data, pa.binary())})
+                    block.append(b.block)
+                    data.append(len(mine).to_bytes(8, "little") + snip[mine].tobytes() + b.cells.raw[_ragged(start[mine], snip["length"][mine].astype(np.int64))].tobytes())
+        return pa.table({"bucket": pa.array(shards, pa.int32()), "block": pa.array(block, pa.int32()), "data": pa.array(data, pa.binary())})
 
     return run
 
 
-def repeated_windows(raw: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray, min_len: int) -> np.ndarray:
-    """For snippets of a text: positions of windows that a snippet of an earlier document has too."""
-    order = suffix_order(raw, min_len)
-    owner = np.full(len(raw), -1, np.int64)
-    size = length - min_len + 1
-    owner[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)] = np.repeat(np.arange(len(start)), size)
-    order = order[owner[order] >= 0]
-    words = np.lib.stride_tricks.sliding_window_view(raw, min_len)
-    same = np.zeros(len(order), bool)
-    for a in range(1, len(order), 1 << 16):
-        b = min(a + (1 << 16), len(order))
-        same[a:b] = (words[order[a:b]] == words[order[a - 1 : b - 1]]).all(1)
-    begin = np.flatnonzero(~same)
-    docs = doc[owner[order]]
-    first = np.repeat(np.minimum.reduceat(docs, begin), np.diff(np.append(begin, len(order)))) if len(order) else docs
-    return order[first < docs]
-
-
-def _answer_snippets(min_len: int):
-    def run(table: pa.Table) -> pa.Table:
-        snips, texts = [], []
-        for d in table.column("data").to_pylist():
-            n = int.from_bytes(d[:8], "little")
-            snips.append(np.frombuffer(d, _SNIP, n, 8))
-            texts.append(np.frombuffer(d, np.uint8, -1, 8 + n * _SNIP.itemsize))
-        snip, raw = np.concatenate(snips), np.concatenate(texts)
-        length = snip["length"].astype(np.int64)
-        start = np.cumsum(length) - length
-        found = repeated_windows(raw, start, length, snip["doc"], min_len)
-        owner = np.searchsorted(start, found, side="right") - 1
-        mask = np.zeros(len(snip), U64)
-        np.bitwise_or.at(mask, owner, U64(1) << (found - start[owner] + snip["shift"][owner]).astype(U64))
-        out, at = [], 0
-        for s in snips:
-            m = mask[at : at + len(s)]
-            at += len(s)
-            k = np.flatnonzero(m)
-            pair = np.zeros(len(k), np.dtype([("index", "<u4"), ("mask", "<u8")]))
-            pair["index"], pair["mask"] = s["index"][k], m[k]
-            out.append(pair.tobytes())
-        n = table.num_rows
-        return pa.table({"block": table.column("block"), "round": pa.array([3] * n, pa.int32()), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary())})
+class Shard:
+    """The snippets of one shard, message by message; what is large is in files."""
+
+    def __init__(self, bucket: int, min_len: int, entries: int):
+        self.bucket, self.min_len, self.scratch, self.messages = bucket, min_len, Scratch(entries), []
+        self.snips, self.text = Pile(self.scratch, dtype=_SNIP), Pile(self.scratch, dtype=np.uint8)
+
+    def add(self, block: int, data: bytes) -> None:
+        n = int.from_bytes(data[:8], "little")
+        snip, raw = np.frombuffer(data, _SNIP, n, 8), np.frombuffer(data, np.uint8, -1, 8 + n * _SNIP.itemsize)
+        self.messages.append((block, n))
+        self.snips.append(snip)
+        self.text.append(np.insert(raw + np.uint8(1), np.cumsum(snip["length"], dtype=np.int64), SEPARATOR).astype(np.uint8))
+
+    def marks(self) -> list[tuple[int, bytes]]:
+        """(block, which windows of which of its cells an earlier document has too)."""
+        with self.scratch as scratch:
+            self.text.append(np.zeros(1, np.uint8))
+            text, snip = self.text.array(), self.snips.array()
+            start = scratch.array(len(snip), np.int64)
+            at = 0
+            for a, b in blocks(len(snip), scratch.entries):
+                size = snip["length"][a:b].astype(np.int64) + 1
+                start[a:b] = at + np.cumsum(size) - size
+                at += int(size.sum())
+            mask = scratch.array(len(snip), np.uint64)
+            for place in repeated_windows(text, start, snip, self.min_len, scratch):
+                owner = np.searchsorted(start, place, side="right") - 1
+                np.bitwise_or.at(mask, owner, U64(1) << (place - start[owner] + snip["shift"][owner]).astype(U64))
+            out, at = [], 0
+            for block, n in self.messages:
+                k = np.flatnonzero(mask[at : at + n])
+                if len(k):
+                    pair = np.zeros(len(k), _MARK)
+                    pair["index"], pair["mask"] = snip["index"][at + k], mask[at + k]
+                    out.append((block, pair.tobytes()))
+                at += n
+            return out
+
+
+_MARK = np.dtype([("index", "<u4"), ("mask", "<u8")])
+
+
+def repeated_windows(text: np.ndarray, start: np.ndarray, snip: np.ndarray, min_len: int, scratch: Scratch):
+    """Places of windows of snippets that a snippet of an earlier document has too, part by part."""
+    # Equal windows stand side by side, with common prefixes of min_len or more; other suffixes hold a separator before that.
+    places, begins = Pile(scratch), Pile(scratch, dtype=bool)
+    n_groups = 0
+    for place, lcp in sorted_suffixes(text, min_len, scratch):
+        owner = np.searchsorted(start, place, side="right") - 1
+        inside = place + min_len <= start[owner] + snip["length"][owner]
+        places.append(place[inside])
+        begins.append(lcp[inside] < min_len)
+        n_groups += int(np.count_nonzero(lcp[inside] < min_len))
+    places, begins = places.array(), begins.array()
+    first = scratch.array(n_groups, np.int64)
+    first[:] = LAST
+    docs = lambda p: snip["doc"][np.searchsorted(start, p, side="right") - 1]
+    at = -1
+    for a, b in blocks(len(places), scratch.entries):
+        group = at + np.cumsum(begins[a:b])
+        cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        first[group[cut]] = np.minimum(first[group[cut]], np.minimum.reduceat(docs(places[a:b]), cut))
+        at = int(group[-1])
+    at = -1
+    for a, b in blocks(len(places), scratch.entries):
+        group = at + np.cumsum(begins[a:b])
+        yield places[a:b][first[group] < docs(places[a:b])]
+        at = int(group[-1])
+
+
+def _answer_snippets(min_len: int, entries: int):
+    def run(batches):
+        def answer(shard: Shard) -> pa.RecordBatch:
+            rows = shard.marks()
+            release()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([2] * len(rows), pa.int32()), pa.array([shard.bucket] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "round", "bucket", "data"])
+
+        shard = None
+        for batch in batches:
+            bucket, block, data = (batch.column(c) for c in ("bucket", "block", "data"))
+            for i in range(batch.num_rows):
+                k = bucket[i].as_py()
+                if shard is None or shard.bucket != k:
+                    if shard is not None:
+                        yield answer(shard)
+                    shard = Shard(k, min_len, entries)
+                shard.add(block[i].as_py(), data[i].as_py())
+        if shard is not None:
+            yield answer(shard)
 
     return run
 
@@ -324,19 +356,20 @@ def _report(n: int, min_len: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows:
-            b = _Block(left, right, n, min_len, 0)
+            b = _Block(left, n, min_len, right)
             b.use_anchors()
-            b.use_cells()
             c = b.cells
-            mask = np.zeros(len(b.keys), U64)
+            mask = np.zeros(len(b.sample), U64)
             for d in b.marks:
-                pair = np.frombuffer(d, np.dtype([("index", "<u4"), ("mask", "<u8")]))
+                pair = np.frombuffer(d, _MARK)
                 np.bitwise_or.at(mask, pair["index"], pair["mask"])
             edge = np.zeros(len(c.raw) + 1, np.int32)
-            whole = b.live[b.whole]
+            # A cell equal to one of an earlier document of its block repeats whole.
+            again = c.doc[b.live] > b.low[b.key_of]
+            whole = b.live[again]
             np.add.at(edge, c.a[whole], 1)
             np.add.at(edge, c.b[whole] + min_len, -1)
-            part = np.flatnonzero(~b.whole & (mask[b.key_of] != 0))
+            part = np.flatnonzero(~again & (mask[b.key_of] != 0))
             for shift in range(min_len - ANCHOR + 1):
                 k = b.live[part[(mask[b.key_of[part]] >> U64(shift) & U64(1)).astype(bool)]]
                 np.add.at(edge, c.a[k] + shift, 1)
@@ -354,32 +387,39 @@ def _report(n: int, min_len: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, block_bytes: int = BLOCK_BYTES, hot_cells: int = HOT_CELLS, entries: int = ENTRIES, max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges).
 
     A byte goes if it is covered by a min_len-byte string that also starts in a document with a smaller doc_id; strings are
-    judged on the input. min_len is from ANCHOR to ANCHOR + 63. Null text is empty; null doc_ids come last; rows that share
-    a doc_id don't repeat each other; an empty table gives no rows.
+    judged on the input. min_len is from ANCHOR to ANCHOR + 63. Null and empty texts have no bytes; texts are whole however
+    long; null doc_ids come last; rows that share a doc_id don't repeat each other; other columns of docs are ignored; an
+    empty table gives no rows. entries bounds what a task that sorts a shard holds of an array before it goes to a file.
     """
     if not ANCHOR <= min_len <= ANCHOR + 63:
         raise ValueError(f"min_len must be from {ANCHOR} to {ANCHOR + 63}")
-    spark = docs.sparkSession
+    spark, work = docs.sparkSession, Stages()
     base = pick_id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
+    n_buckets = min(n, max_buckets)
     dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     # Bucketed by block, so that no later round shuffles the texts again.
     name = f"strandlake_{uuid.uuid4().hex}"
-    dealt.repartition(n, "block").write.bucketBy(n, "block").option("compression", "zstd").saveAsTable(name)
-    blocks = spark.table(name)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    dealt.repartition(n_buckets, "block").write.bucketBy(n_buckets, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table._strandlake_path = path
     try:
-        sent = blocks.groupBy("block").applyInArrow(_send_anchors(n, min_len), SENT)
-        answers = stage(sent.groupBy("bucket").applyInArrow(_answer_anchors(hot_blocks), ANSWER))
+        sent = table.groupBy("block").applyInArrow(_send_anchors(n, min_len), SENT)
+        answers = work.stage(sent.groupBy("bucket").applyInArrow(_answer_anchors(hot_cells), ANSWER))
+        tidy(spark)
+        sent = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_snippets(n, min_len), SENT)
+        shards = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "block")
+        answers = answers.union(work.stage(shards.mapInArrow(_answer_snippets(min_len, entries), ANSWER)))
         tidy(spark)
-        for send, answer in ((_send_cells(n, min_len), _answer_cells), (_send_snippets(n, min_len), _answer_snippets(min_len))):
-            sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, SENT)
-            answers = answers.union(stage(sent.groupBy("bucket").applyInArrow(answer, ANSWER)))
-            tidy(spark)
-        return stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_report(n, min_len), REPORT))
+        out = stage(table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_report(n, min_len), REPORT))
+        return out
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        work.drop()
+        drop_stage(table)

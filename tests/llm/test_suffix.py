@@ -28,18 +28,46 @@ def got(df):
     return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
 
 
-def test_suffix_order():
-    from strandlake.llm.induced_sort import suffix_order
+def test_sorted_suffixes():
+    from strandlake.llm.induced_sort import Scratch, sorted_suffixes
 
     rng = np.random.default_rng(1)
-    for n, k in ((0, 2), (1, 2), (2, 1), (300, 2), (3000, 3), (3000, 256), (5000, 1)):
-        raw = rng.integers(0, k, n).astype(np.uint8)
-        for limit in (10**9, 50):
-            b = raw.tobytes()
-            order = suffix_order(raw, 64, limit)
-            assert sorted(order.tolist()) == list(range(n))
-            cut = [b[i : i + 64] for i in order.tolist() if i + 64 <= n]
+    x = rng.integers(0, 4, 200)
+    texts = [rng.integers(0, k, n) for n, k in ((0, 2), (1, 2), (2, 1), (300, 2), (3000, 3), (3000, 245), (2000, 1), (757, 3))] + [np.concatenate([x] * 8 + [rng.integers(0, 4, 500)] + [x] * 5)]
+    for raw in texts:
+        b = raw.astype(np.uint8).tobytes()
+        for entries in (10**9, 1000, 50):
+            with Scratch(entries) as scratch:
+                parts = [(p, np.array(c)) for p, c in sorted_suffixes(np.append(raw + 1, 0).astype(np.uint8), 60, scratch)]
+            order, common = (np.concatenate(c).tolist() for c in zip(*parts, strict=True))
+            assert sorted(order) == list(range(len(b)))
+            cut = [b[i : i + 60] for i in order]
             assert cut == sorted(cut)
+            for k, (v, w) in enumerate(zip(cut, cut[1:], strict=False)):
+                assert common[k + 1] == next((i for i, (c, d) in enumerate(zip(v, w, strict=False)) if c != d), min(len(v), len(w)))
+
+
+def test_shards_larger_than_memory_go_to_files(monkeypatch):
+    from strandlake.llm import induced_sort
+    from strandlake.llm.induced_sort import BucketQueue, Pile, Scratch, sorted_suffixes
+
+    text = np.append(np.random.default_rng(2).integers(1, 5, 40_000), 0).astype(np.uint8)
+    held = []
+    for kind in (Pile, BucketQueue):
+        was = kind.append if kind is Pile else kind.push
+
+        def watched(self, *args, was=was):
+            was(self, *args)
+            held.append(self.held)
+
+        monkeypatch.setattr(kind, "append" if kind is Pile else "push", watched)
+    deep = []
+    parts = induced_sort._sorted_parts
+    monkeypatch.setattr(induced_sort, "_sorted_parts", lambda t, d, s: (deep.append(len(t)), parts(t, d, s))[1])
+    with Scratch(1000) as scratch:  # 40 times its bound
+        assert sum(len(p) for p, _ in sorted_suffixes(text, 50, scratch)) == 40_000
+        assert scratch.n_files > 10
+    assert max(held) <= 1000 and len(deep) > 2
 
 
 def test_repeats(spark):
@@ -57,7 +85,7 @@ def test_repeats(spark):
     rng.shuffle(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
-    for more in ({"block_bytes": 40_000}, {"block_bytes": 20_000, "hot_blocks": 1}, {}):
+    for more in ({"block_bytes": 40_000}, {"block_bytes": 20_000, "hot_cells": 1}, {"entries": 2000, "max_buckets": 3, "block_bytes": 30_000}, {}):
         assert got(dedup_substrings(d, **more)) == want
 
 
