@@ -56,7 +56,8 @@ TEMPLATES = {
 }
 
 
-# Whole texts of which TEMPLATES has the first part. The SQL is made from TEMPLATES and doesn't know them.
+# Whole texts and notices of which TEMPLATES has a part, and more licences. The full texts of Apache-2.0 and the
+# GNU licences end in the notice to be used with them, which is found inside them.
 FULL_TEMPLATES = {
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
@@ -65,8 +66,26 @@ FULL_TEMPLATES = {
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
+    "GPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.",
+    ),
 }
-ALL_TEMPLATES = {name: texts + FULL_TEMPLATES.get(name, ()) for name, texts in TEMPLATES.items()}
+ALL_TEMPLATES = {name: TEMPLATES.get(name, ()) + FULL_TEMPLATES.get(name, ()) for name in sorted({*TEMPLATES, *FULL_TEMPLATES})}
 
 
 def bigrams_of(text: str) -> list[str]:
@@ -77,6 +96,11 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def longest_run(templates: dict[str, tuple[str, ...]] = ALL_TEMPLATES, threshold: float = THRESHOLD) -> int:
+    """Words of the longest run of lines that is a unit."""
+    return int(max(len(t.split()) for ts in templates.values() for t in ts) * (2 - threshold) / threshold)
+
+
 def normalised(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
@@ -85,8 +109,9 @@ def normalised(text: Column) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = ALL_TEMPLATES) -> DataFrame:
     """One row per row of docs: doc_id, license (best match or null), score (Dice, 0 if none), licenses (all, sorted).
 
-    The score is the best Dice coefficient of any unit with any template; ties take the first name in order. Null text is
-    empty and has no licence; repeated rows give repeated results; an empty table gives no rows.
+    The score is the best Dice coefficient of any unit with any template; ties take the first name in order. Null and empty
+    texts have no licence; texts are whole however long; repeated rows give repeated results; other columns of docs are
+    ignored; an empty table gives no rows.
     """
     entries = [(name, grams) for name, texts in sorted(templates.items()) for grams in map(bigrams_of, texts) if grams]
     # Dice >= t needs t/(2-t)*|T| <= |A| <= (2-t)/t*|T|.
@@ -103,7 +128,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # A unit of n distinct bigrams has n+1 words or more, and at least 2n+1 characters: short units go at once.
     least = 2 * min(a for a, _ in spans) + 1
     lines, blocks = F.split(text, "\n", -1), F.split(text, "\n[\\x20\\t\\r]*\n", -1)
-    near, runs = _runs([g for _, g in entries], [-(-len(g) * threshold // (2 - threshold)) for _, g in entries], int(max(len(t.split()) for ts in templates.values() for t in ts) * (2 - threshold) / threshold))
+    near, runs = _runs([g for _, g in entries], [-(-len(g) * threshold // (2 - threshold)) for _, g in entries], longest_run(templates, threshold))
     base = base.withColumn("near", near(F.lower("text")))
     base = base.select("doc_id", "text", F.when(F.col("near"), F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+|\n[^a-z0-9]*"), F.lit(0))).alias("tokens"))
     units = base.select("doc_id", "tokens", F.filter(F.array_union(F.array_union(F.array(text), lines), blocks), lambda u: F.length(u) >= least).alias("u"))

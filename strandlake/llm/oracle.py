@@ -80,15 +80,19 @@ SELECT doc_id, count(*) FILTER (WHERE seen)::BIGINT AS n_lines, count(*) FILTER
 
 
 def license_scan() -> str:
-    t = licenses.THRESHOLD
-    rows = [(name, g) for name, texts in sorted(licenses.TEMPLATES.items()) for g in map(licenses.bigrams_of, texts) if g]
+    t, most = licenses.THRESHOLD, licenses.longest_run()
+    rows = [(name, g) for name, texts in sorted(licenses.ALL_TEMPLATES.items()) for g in map(licenses.bigrams_of, texts) if g]
     values = ", ".join(f"({_text(name)}, [{', '.join(map(_text, g))}])" for name, g in rows)
+    least = min(len(g) for _, g in rows) * t / (2 - t)
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 m(name, g) AS (VALUES {values}),
-u AS (SELECT rid, unnest(list_distinct(list_concat(list_concat([t], string_split(t, chr(10))), string_split_regex(t, '\\n[\\x20\\t\\r]*\\n')))) AS u FROM d),
+l AS (SELECT rid, i, ls[i] AS l, len(regexp_extract_all(lower(ls[i]), '[a-z0-9]+')) AS n FROM (SELECT rid, string_split(t, chr(10)) AS ls, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d)),
+c AS (SELECT rid, i, l, n, sum(n) OVER (PARTITION BY rid ORDER BY i) AS upto FROM l),
+r AS (SELECT a.rid, string_agg(x.l, chr(10) ORDER BY x.i) AS u FROM c a JOIN c b ON a.rid = b.rid AND a.i < b.i AND a.n > 0 AND b.n > 0 AND b.upto - a.upto + a.n BETWEEN {least} AND {most} JOIN c x ON x.rid = a.rid AND x.i BETWEEN a.i AND b.i GROUP BY a.rid, a.i, b.i),
+u AS (SELECT DISTINCT rid, u FROM (SELECT rid, unnest(list_concat(list_concat([t], string_split(t, chr(10))), string_split_regex(t, '\\n[\\x20\\t\\r]*\\n'))) AS u FROM d UNION ALL SELECT rid, u FROM r)),
 w AS (SELECT rid, regexp_extract_all(lower(u), '[a-z0-9]+') AS w FROM u),
 a AS (SELECT rid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM w WHERE len(w) > 1),
-s AS (SELECT rid, name, max(2.0::DOUBLE * len(list_intersect(a, g)) / (len(a) + len(g))) AS s FROM a JOIN m ON len(a) BETWEEN {t / (2 - t)} * len(g) - 1 AND {(2 - t) / t} * len(g) + 1 GROUP BY 1, 2),
+s AS (SELECT rid, name, max(2.0::DOUBLE * len(list_intersect(a, g)) / (len(a) + len(g))) AS s FROM a JOIN m ON len(a) BETWEEN {t / (2 - t)} * len(g) - 1 AND {(2 - t) / t} * len(g) + 1 AND list_has_any(a, g) GROUP BY 1, 2),
 b AS (SELECT rid, max(s) AS score, min({{'s': -s, 'name': name}}).name AS license, string_agg(name, ',' ORDER BY name) AS licenses FROM s WHERE s >= {t} GROUP BY 1)
 SELECT doc_id, license, coalesce(score, 0.0::DOUBLE)::DOUBLE AS score, coalesce(licenses, '') AS licenses FROM d LEFT JOIN b USING (rid)"""
 

@@ -62,9 +62,9 @@ def test_quality_keeps_prose_and_drops_noise(spark, docs):
 
 
 def test_licenses(spark):
-    from strandlake.llm.licenses import TEMPLATES, bigrams_of, scan_licenses
+    from strandlake.llm.licenses import ALL_TEMPLATES, TEMPLATES, bigrams_of, scan_licenses
 
-    texts = [t for ts in TEMPLATES.values() for t in ts]
+    texts = [t for ts in ALL_TEMPLATES.values() for t in ts]
     full = TEMPLATES["MIT"][1]
     texts += [None, "", "nothing here", "prose\nReleased under the MIT License.\nmore prose", "a b\n\n" + full.replace(". ", ".\n") + "\n\nmore text " * 50, "Licensed under the Artistic Licence"] + ODD
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -74,10 +74,12 @@ def test_licenses(spark):
     for i, t in enumerate(texts):
         best = (0.0, None)
         t = t or ""
-        for u in {t, *t.split("\n"), *re.split("\n[ \t\r]*\n", t)}:
+        lines = t.split("\n")
+        runs = {"\n".join(lines[a : b + 1]) for a in range(len(lines)) for b in range(a, len(lines))}
+        for u in {t, *runs, *re.split("\n[ \t\r]*\n", t)}:
             a = set(bigrams_of(u))
-            for name in sorted(TEMPLATES):
-                for x in TEMPLATES[name]:
+            for name in sorted(ALL_TEMPLATES):
+                for x in ALL_TEMPLATES[name]:
                     b = set(bigrams_of(x))
                     s = 2 * len(a & b) / (len(a) + len(b))
                     if s >= 0.8 and (s > best[0] or s == best[0] and name < best[1]):
@@ -95,6 +97,8 @@ def test_licenses_of_several_paragraphs_inside_a_document(spark):
         "BSD": cut(bsd3, bsd3.index("1. "), bsd3.index("2. "), bsd3.index("3. "), bsd3.index("THIS")),
         "ISC": cut(isc, isc.index("THE SOFTWARE")).replace(", ", ",\n"),
         "BSD 2": cut(bsd2, bsd2.index("THIS")),
+        **{name: cut(texts[-1], texts[-1].index(" is distributed") - 12) for name, texts in FULL_TEMPLATES.items() if "GPL" in name},
+        "Apache-2.0": TEMPLATES["Apache-2.0"][1].replace(" You may obtain", "\nYou may obtain").replace(" Unless", "\n\nUnless"),
     }
     prose = "\n\n".join(f"Line {i} of prose about the river\nand its banks, number {i}." for i in range(60))
     d = spark.createDataFrame([*((k, f"{prose}\n\n{t}\n\n{prose}") for k, t in texts.items()), ("none", f"{prose} software license")], "name string, text string")
