@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import kmer
 from .operators.index import build_index, search_index, statistics
-from .operators.search import expand_strands, limit_queries, prepare, search, search_collapsed, strand_counts
+from .operators.search import expand_strands, limit_queries, prepare, strand_counts
 from .operators.simulate import simulate_reads
 from .operators.suffix import export_suffix_arrays
-from .plans import planner, schemes
+from .plans import schemes
 from .sources.fasta import read_fasta, write_fasta
 from .sources.tables import Report, read_meta, write_hits
 
@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--no-reverse", action="store_true")
             continue
         p.add_argument("-g", "--generator", default="h2-k2", help="search scheme that chooses the seeds")
-        p.add_argument("--dynamic_generator", action="store_true", help="report costs with part sizes chosen by weighted node count")
+        p.add_argument("--dynamic_generator", action="store_true", help="report costs with part sizes chosen by weighted node count; hits are the same")
         p.add_argument("-e", "--errors", type=int, default=0)
         p.add_argument("-m", "--search_mode", choices=["all", "besthits"], default="all")
         p.add_argument("--max_hits", type=int, default=0)
@@ -131,16 +131,7 @@ def _search(spark: SparkSession, a: argparse.Namespace) -> None:
         print(f"partition: {sizes}\nnode count: {schemes.node_count(cost, meta['sigma'], metric == 'edit'):.0f}\nweighted node count: {schemes.node_count(cost, meta['sigma'], metric == 'edit', float(meta['total_size'])):.0f}")
     ignore = getattr(a, "ignore_unknown", False)
     with report.phase("search"):
-        if scheme is not None and errors and planner.usable(scheme, errors):
-            refs = spark.read.parquet(f"{a.index}/sequences")
-            ready = prepare(queries, meta["alphabet"], ignore)
-            own = limit_queries(expand_strands(ready, reverse), limit)
-            find = search_collapsed if kind == "rbi" else search
-            more = {"alphabet": meta["alphabet"]} if kind == "rbi" else {"metric": metric, "scheme": scheme}
-            hits = find(refs, own, errors, mode=mode, max_hits=top, **more)
-        else:
-            hits = search_index(spark, a.index, queries, errors, metric, mode, top, reverse, limit, ignore)
-        hits = hits.cache()
+        hits = search_index(spark, a.index, queries, errors, metric, mode, top, reverse, limit, ignore, scheme).cache()
         n = hits.count()
     with report.phase("result"):
         write_hits(hits, a.output)
@@ -179,9 +170,9 @@ def _schemes(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.all:
         schemes.schemes_table(spark, a.min_error, a.max_error, dynamic=True, **figures).orderBy("position").show(100, False)
     elif a.tikz:
-        print("\n".join(schemes.write_tikz(a.tikz, schemes.generate(a.generator, a.min_error, a.max_error))))
+        print("\n".join(schemes.write_tikz(a.tikz, schemes.generate(a.generator, a.min_error, a.max_error), a.length)))
     else:
-        d = schemes.describe(a.generator, a.min_error, a.max_error, mode=a.expansion_mode, **figures)
+        d = schemes.describe(a.generator, a.min_error, a.max_error, mode=a.expansion_mode, dynamic=True, **figures)
         for k, v in d.items():
             if k in ("scheme", "expanded", "hamming"):
                 print(f"{k}:")

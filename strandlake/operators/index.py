@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import letters, sigma
 from ..sources.tables import read_meta, write_meta
-from .search import _starts, expand_strands, grams, limit_queries, prepare, search, select_hits, verify_candidates
+from ..plans.planner import seed_regions, usable
+from ..plans.schemes import Scheme
+from .search import _seeds, _starts, expand_strands, grams, limit_queries, prepare, search, select_hits, verify_candidates
 
-GRAM_LEN = 8
+#: Least and greatest gram length; in between it grows with the collection, so that a gram stands at few places of it.
+MIN_GRAM, MAX_GRAM = 8, 24
 KINDS = ("bi", "uni", "rbi")
 
 
@@ -18,8 +21,20 @@ def statistics(refs: DataFrame, alphabet: str = "dna5") -> DataFrame:
     return refs.agg(F.count(F.lit(1)).alias("n_seqs"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("total_size")).withColumn("sigma", F.lit(sigma(alphabet)))
 
 
-def build_index(refs: DataFrame, path: str, alphabet: str = "dna5", kind: str | None = None, ignore_unknown: bool = False, gram_len: int = GRAM_LEN, seed: int = 0) -> dict:
-    """Write sequences, grams sorted by gram, and a description. Raises ValueError for an empty collection."""
+def gram_length(total_size: int, alphabet: str) -> int:
+    """Letters of a gram that random text of this size has about once."""
+    symbols = min(len(letters(alphabet).replace("N", "")), 4)
+    n, reach = MIN_GRAM, symbols**MIN_GRAM
+    while reach < total_size and n < MAX_GRAM:
+        n, reach = n + 1, reach * symbols
+    return n
+
+
+def build_index(refs: DataFrame, path: str, alphabet: str = "dna5", kind: str | None = None, ignore_unknown: bool = False, gram_len: int | None = None, seed: int = 0) -> dict:
+    """Write sequences, grams sorted by gram, and a description. Raises ValueError for an empty collection.
+
+    The length of grams follows from the collection's size, unless it is given.
+    """
     letters(alphabet)
     kind = kind or ("rbi" if alphabet.startswith("dr_") else "bi")
     if kind not in KINDS:
@@ -30,18 +45,21 @@ def build_index(refs: DataFrame, path: str, alphabet: str = "dna5", kind: str |
     ready = prepare(refs, alphabet, ignore_unknown, seed)
     ready.select("seq_id", "id" if "id" in refs.columns else F.lit(None).cast("string").alias("id"), "seq").write.mode("overwrite").parquet(f"{path}/sequences")
     ready = spark.read.parquet(f"{path}/sequences")
+    facts = statistics(ready, alphabet).first()
+    gram_len = gram_len or gram_length(facts.total_size, alphabet)
     # Range-partitioned and sorted by gram, files and row groups hold narrow gram ranges, which scans skip by.
     grams(ready, gram_len).repartitionByRange("gram", "seq_id").sortWithinPartitions("gram", "seq_id", "p").write.mode("overwrite").parquet(f"{path}/grams")
-    facts = statistics(ready, alphabet).first()
     meta = {"kind": kind, "alphabet": alphabet, "gram_len": gram_len, "n_seqs": facts.n_seqs, "total_size": facts.total_size, "sigma": facts.sigma}
     write_meta(spark, path, **meta)
     return meta
 
 
-def search_index(spark: SparkSession, path: str, queries: DataFrame, errors: int = 0, metric: str = "edit", mode: str = "all", max_hits: int = 0, reverse: bool = True, limit: int | None = None, ignore_unknown: bool = False) -> DataFrame:
+def search_index(spark: SparkSession, path: str, queries: DataFrame, errors: int = 0, metric: str = "edit", mode: str = "all", max_hits: int = 0, reverse: bool = True, limit: int | None = None, ignore_unknown: bool = False, scheme: Scheme | None = None) -> DataFrame:
     """Hits of queries (src_id, seq) in a stored index. Uni indexes answer exact searches only; rbi ones take no reverse.
 
-    Queries whose seeds are shorter than the index's grams are searched in the stored sequences.
+    Seeds, from a scheme that covers all errors or else from errors + 1 parts, are looked up among the stored grams; files
+    and row groups without them are skipped. Queries whose seeds are shorter than the grams are searched in the stored
+    sequences. Hits are the same with any scheme.
     """
     meta = read_meta(spark, path, *KINDS)
     if meta["kind"] == "uni" and errors:
@@ -54,14 +72,14 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, errors: int
     metric = "edit" if collapsed else metric
     own = limit_queries(expand_strands(ready, reverse and not collapsed), limit)
     g = meta["gram_len"]
-    long = own.filter(F.length("seq") >= g * (errors + 1))
-    part = F.floor(F.length("seq") / (errors + 1)).cast("int")
-    probes = long.select("query_id", part.alias("part"), "seq", F.explode(F.sequence(F.lit(0), F.lit(errors))).alias("j"))
-    probes = probes.select("query_id", (F.col("j") * F.col("part")).alias("offset"), F.substring(F.col("seq").cast("binary"), F.col("j") * F.col("part") + 1, F.lit(g)).alias("gram"))
+    regions, parts = seed_regions(scheme) if scheme and errors and usable(scheme, errors) else ([(j, j + 1) for j in range(errors + 1)], errors + 1)
+    long = own.filter(F.length("seq") >= g * parts)
+    probes = _seeds(long, regions, parts, (g,)).select("query_id", "offset", "gram")
     used = "hamming" if errors == 0 else metric
     found = _starts(spark.read.parquet(f"{path}/grams").join(probes, "gram"), errors, used).select("query_id", "seq_id", "pos").distinct()
+    # A query has a hit at a place once, with its least errors: candidates are distinct.
     hits = verify_candidates(found, refs, long, errors, used)
-    rest = own.filter(F.length("seq") < g * (errors + 1))
+    rest = own.filter(F.length("seq") < g * parts)
     if not rest.isEmpty():
         hits = hits.union(search(refs, rest, errors, metric))
     return select_hits(hits, mode, max_hits)

@@ -27,8 +27,8 @@ GRAMS = (1, 2, 4, 8, 12, 16, 20, 24, 32)
 BROADCAST_SEEDS = 50_000
 #: Longer sequences are cut into chunks of this many letters, which overlap by the longest query and the errors.
 CHUNK = 1_000_000
-#: Queries with fewer letters than errors + 1 have no seed; that many at most are held against every place.
-MAX_SHORT = 1_000
+#: Queries with fewer letters than errors + 1 have no seed; so many different ones are held against every place at once.
+SHORT_BATCH = 500
 METRICS, MODES = ("hamming", "edit"), ("all", "best")
 
 
@@ -75,15 +75,22 @@ def seeds(queries: DataFrame, errors: int, scheme: Scheme | None = None) -> Data
     return out
 
 
-def _seeds(queries: DataFrame, regions: list[tuple[int, int]], parts: int) -> DataFrame:
+def _seeds(queries: DataFrame, regions: list[tuple[int, int]], parts: int, lengths: tuple[int, ...] = GRAMS) -> DataFrame:
     m = F.length("seq")
     start = lambda i: (i * F.floor(m / parts) + F.least(F.lit(i), m % parts)).cast("int")
     spans = F.array(*[F.struct(start(a).alias("offset"), (start(b) - start(a)).alias("n")) for a, b in regions])
-    g = F.lit(0)
-    for n in GRAMS:
-        g = F.when(F.col("x.n") >= n, n).otherwise(g)
-    rows = queries.select("query_id", "seq", F.explode(spans).alias("x")).select("query_id", "seq", g.alias("g"), F.col("x.offset").alias("offset")).filter("g > 0")
-    return rows.withColumn("gram", F.substring(F.col("seq").cast("binary"), F.col("offset") + 1, F.col("g")))
+
+    def length(n) -> F.Column:
+        g = F.lit(0)
+        for x in lengths:
+            g = F.when(n >= x, x).otherwise(g)
+        return g
+
+    cut = lambda at, g: F.substring(F.col("seq").cast("binary"), at + 1, g)
+    each = F.transform(spans, lambda x: F.struct(x["offset"].alias("offset"), length(x["n"]).alias("g"), cut(x["offset"], length(x["n"])).alias("gram")))
+    rows = queries.select("query_id", "seq", each.alias("every")).select("query_id", "seq", "every", F.posexplode("every").alias("nth", "x"))
+    # The seeds before this one: a place that one of them gives too isn't verified twice.
+    return rows.select("query_id", "seq", "x.g", "x.offset", "x.gram", F.slice("every", F.lit(1), F.col("nth")).alias("sooner")).filter("g > 0")
 
 
 def grams(refs: DataFrame, g: int, keep_seq: bool = False) -> DataFrame:
@@ -115,7 +122,7 @@ def _verify(candidates: DataFrame, errors: int, metric: str) -> DataFrame:
     pos, m = F.col("pos"), F.length("seq")
     if metric == "hamming":
         inside = candidates.filter((pos >= 0) & (pos + m <= F.length("b")))
-        distance = F.lit(0) if errors == 0 else hamming(F.col("seq"), F.col("b"), pos)
+        distance = F.lit(0) if errors == 0 else hamming(F.col("seq"), F.col("b"), pos, errors)
         if errors == 0:
             inside = inside.filter(F.substring("b", pos + 1, m) == F.col("seq").cast("binary"))
     else:
@@ -129,8 +136,10 @@ def _verify(candidates: DataFrame, errors: int, metric: str) -> DataFrame:
 def _by_grams(refs: DataFrame, own: DataFrame, g: int, errors: int, metric: str, small: bool) -> DataFrame:
     own = own.filter(F.col("g") == g)
     if small:
-        joined = grams(refs, g, keep_seq=True).join(F.broadcast(own), "gram")
-        return _verify(_starts(joined, errors, metric), errors, metric)
+        starts = _starts(grams(refs, g, keep_seq=True).join(F.broadcast(own), "gram"), errors, metric)
+        if metric == "hamming":
+            starts = starts.filter(~F.exists("sooner", lambda x: (x["g"] > 0) & (F.substring("b", F.col("pos") + x["offset"] + 1, x["g"]) == x["gram"])))
+        return _verify(starts, errors, metric)
     joined = grams(refs, g).join(own.select("gram", "query_id", "offset"), "gram")
     return verify_candidates(_starts(joined, errors, metric).select("query_id", "seq_id", "base", "pos").distinct(), refs, own.select("query_id", "seq").distinct(), errors, metric)
 
@@ -143,17 +152,23 @@ def verify_candidates(starts: DataFrame, refs: DataFrame, queries: DataFrame, er
 
 
 def _short(refs: DataFrame, queries: DataFrame, errors: int, metric: str) -> DataFrame | None:
-    """Queries of at most `errors` letters against every place: a stated, counted query set, streamed past by the references."""
+    """Queries of at most `errors` letters, of which there are few different ones, held against every place in batches.
+
+    Their hits then go to all queries of those letters; in edit distance nearly every place is one.
+    """
     few = queries.filter(F.length("seq").between(1, errors))
-    n = few.limit(MAX_SHORT + 1).count()
-    if n > MAX_SHORT:
-        raise ValueError(f"more than {MAX_SHORT} queries are no longer than {errors} letters")
-    if not n:
+    texts = sorted(r.seq for r in few.select("seq").distinct().collect())
+    if not texts:
         return None
     places = refs.filter(F.length("seq") > 0).select("seq_id", F.col("seq").cast("binary").alias("b"), "base", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos"))
-    rows = [(r.query_id, r.seq) for r in few.select("query_id", "seq").collect()]
-    held = F.array(*[F.struct(F.lit(q).cast("long").alias("query_id"), F.lit(s).alias("seq")) for q, s in rows])
-    return _verify(places.select("seq_id", "base", "b", "pos", F.inline(held)), errors, metric)
+    parts = []
+    for a in range(0, len(texts), SHORT_BATCH):
+        held = F.array(*[F.struct(F.lit(a + i).cast("long").alias("query_id"), F.lit(s).alias("seq")) for i, s in enumerate(texts[a : a + SHORT_BATCH])])
+        parts.append(_verify(places.select("seq_id", "base", "b", "pos", F.inline(held)), errors, metric))
+    number = F.array_position(F.array(*[F.lit(s) for s in texts]), F.col("seq")) - 1
+    own = few.select("query_id", number.alias("text_id"))
+    hits = reduce(DataFrame.union, parts).withColumnRenamed("query_id", "text_id")
+    return hits.join(own, "text_id").select("query_id", "seq_id", "pos", "errors")
 
 
 def search(refs: DataFrame, queries: DataFrame, errors: int = 0, metric: str = "edit", mode: str = "all", max_hits: int = 0, broadcast: bool | None = None, scheme: Scheme | None = None) -> DataFrame:

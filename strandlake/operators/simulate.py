@@ -14,6 +14,8 @@ from ..functions.alphabet import pick, replace_unknown
 
 #: Cumulative start counts held on the driver; one number per reference block of sequences.
 BLOCK = 100_000
+#: Ranges of starts of a block: a read meets the sequences of its range only.
+RANGES = 4096
 
 
 def _draw(seed: int, what: str, *parts) -> F.Column:
@@ -36,16 +38,15 @@ def error_counts(reads: DataFrame, sub: int, ins: int, dele: int, extra: int, se
 
 def transcript(length: int, n_sub: int, n_ins: int, n_del: int, rng) -> str:
     """M, S, I, D: substitutions and insertions replace an M, deletions are put in at any place."""
+    if n_sub + n_ins > length:
+        raise ValueError(f"{n_sub} substitutions and {n_ins} insertions don't fit a read of {length}")
     out = ["M"] * length
-    for letter, n in (("S", n_sub), ("I", n_ins)):
-        for _ in range(n):
-            free = [i for i, x in enumerate(out) if x == "M"]
-            if not free:
-                raise ValueError(f"{n_sub} substitutions and {n_ins} insertions don't fit a read of {length}")
-            out[free[rng.randrange(len(free))]] = letter
-    for _ in range(n_del):
-        out.insert(rng.randrange(len(out) + 1), "D")
-    return "".join(out)
+    for k, i in enumerate(rng.sample(range(length), n_sub + n_ins)):
+        out[i] = "S" if k < n_sub else "I"
+    # All places of the deletions among the other letters are as likely.
+    where = set(rng.sample(range(length + n_del), n_del))
+    letters = iter(out)
+    return "".join(["D" if i in where else next(letters) for i in range(length + n_del)])
 
 
 def apply_transcript(span: str, script: str, rng) -> str:
@@ -96,7 +97,7 @@ def _places(reads: DataFrame, refs: DataFrame, seed: int) -> DataFrame:
     """read_id, seq_id, pos, window: a start drawn evenly from all starts at which the read's span fits.
 
     Spans are few different numbers; per span the starts before each block of sequences are summed on the driver, the read
-    finds its block there, and its sequence by a join on the block.
+    finds its block there, and its sequence by a join on the block and a range of its starts.
     """
     spans = sorted(r.span for r in reads.select("span").distinct().collect())
     sized = refs.withColumn("n", F.length("seq")).withColumn("block", F.floor(F.col("seq_id") / BLOCK))
@@ -119,7 +120,10 @@ def _places(reads: DataFrame, refs: DataFrame, seed: int) -> DataFrame:
         mine = reads.filter(F.col("span") == span).select("read_id", at.alias("at"))
         mine = mine.select("read_id", "at", F.filter(known, lambda x: x["end"] > F.col("at"))[0]["block"].alias("block"), F.coalesce(F.array_max(F.transform(F.filter(known, lambda x: x["end"] <= F.col("at")), lambda x: x["end"])), F.lit(0)).alias("before"))
         mine = mine.withColumn("at", F.col("at") - F.col("before"))
-        hit = mine.join(ranged, "block").filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+        width = F.lit(max(1, -(-max(s or 0 for _, s in blocks) // RANGES)))
+        range_of = lambda x: F.floor(x / width)
+        spread = ranged.withColumn("range", F.explode(F.sequence(range_of(F.col("lo")), range_of(F.col("hi") - 1))))
+        hit = mine.withColumn("range", range_of(F.col("at"))).join(spread, ["block", "range"]).filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
         pos = F.col("at") - F.col("lo")
         part = hit.select("read_id", "seq_id", pos.cast("long").alias("pos"), F.substring("seq", (pos + 1).cast("int"), F.lit(span)).alias("window"))
         out = part if out is None else out.unionByName(part)

@@ -1,24 +1,27 @@
 """Registered queries of the sequence-search engine on the driver's tables, with DuckDB SQL for each that SQL expresses.
 
 Documents, projected to DNA letters, are the references; benchmark texts are the queries. Every query takes whole tables and
-whole texts.
+whole texts; seed_candidates shows the seeds of 12 letters alone, which queries of under 36 letters don't have.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.alphabet import collapse, first_invalid, is_valid, replace_unknown, reverse_complement
 from .functions.kmers import canonical, kmers, minimizers, mod_mers
 from .operators import kmer as km
-from .operators.index import gram_counts, statistics
+from .operators.index import build_index, gram_counts, search_index, statistics
 from .operators.search import expand_strands, grams, hits_per_query, limit_queries, search, search_collapsed, search_exact, seeds, select_hits, strand_counts
 from .operators.simulate import simulate_reads
-from .operators.suffix import concat_text, reverse_text, suffix_array
+from .operators.suffix import CHUNK, concat_text, reverse_chunks, suffix_array, text_chunks
 from .plans import schemes
-from .sources.fasta import fasta_text
-from .sources.tables import hit_lines
+from .shared import shared_dir, stage
+from .sources.fasta import fasta_text, read_fasta, write_fasta
+from .sources.tables import hit_lines, read_meta, write_hits
 
 LATIN, DNA = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 K, W, MOD = 11, 5, 4
@@ -176,17 +179,94 @@ def left_anti_dropped(spark, sf):
 
 
 def kmer_search(spark, sf):
-    words, rows = _sketch(spark, sf)
-    texts = km.id_texts(minimizers(references(spark, sf), K, W), words)
+    selected = stage(minimizers(references(spark, sf), K, W))  # the sketch of every reference, read three times
+    words = stage(km.dictionary(selected))
+    rows = km.admit(probes(spark, sf).select("src_id", "seq"), words, K, "winnowing", W, MOD)
+    texts = stage(km.id_texts(selected, words))
     return km.search_texts(texts, km.admitted(rows)).select("query_id", "src_id", "seq_id", "pos")
 
 
+def _place(spark) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+
+
+def _stored(spark, sf, alphabet: str, kind: str) -> str:
+    path = _place(spark)
+    build_index(references(spark, sf), path, alphabet, kind)
+    return path
+
+
+def index_facts(spark, sf):
+    """What the descriptions of stored indexes of all kinds say, and how many grams they hold."""
+    out = None
+    for alphabet, kind in (("dna5", "bi"), ("dna4", "bi"), ("dna5", "uni"), ("dr_dna5", "rbi"), ("dr_dna4", "rbi")):
+        path = _stored(spark, sf, alphabet, kind)
+        meta = read_meta(spark, path, kind)
+        row = spark.read.parquet(f"{path}/grams").agg(F.count(F.lit(1)).alias("n_grams")).select(
+            F.lit(alphabet).alias("alphabet"), F.lit(kind).alias("kind"), F.lit(meta["n_seqs"]).cast("long").alias("n_seqs"), F.lit(meta["total_size"]).cast("long").alias("total_size"), F.lit(meta["sigma"]).cast("int").alias("sigma"), (F.col("n_grams") > 0).alias("has_grams")
+        )
+        out = row if out is None else out.union(row)
+    return out
+
+
+def index_search_bi(spark, sf):
+    return search_index(spark, _stored(spark, sf, "dna5", "bi"), probes(spark, sf), 1, "edit", "best", reverse=False, scheme=schemes.generate("optimum", 0, 1))
+
+
+def index_search_hamming(spark, sf):
+    return search_index(spark, _stored(spark, sf, "dna4", "bi"), probes(spark, sf), 2, "hamming", reverse=False)
+
+
+def index_search_uni(spark, sf):
+    return search_index(spark, _stored(spark, sf, "dna5", "uni"), probes(spark, sf)).select("query_id", "seq_id", "pos")
+
+
+def index_search_rbi(spark, sf):
+    return search_index(spark, _stored(spark, sf, "dr_dna5", "rbi"), probes(spark, sf), 1, scheme=schemes.generate("h2-k2", 0, 1))
+
+
+def index_search_rbi_dna4(spark, sf):
+    return search_index(spark, _stored(spark, sf, "dr_dna4", "rbi"), probes(spark, sf), 1)
+
+
+def kmer_index_search(spark, sf):
+    path = _place(spark)
+    km.build_kmer_index(references(spark, sf), path, K, "winnowing", W, MOD)
+    return km.kmer_search(spark, path, probes(spark, sf).select("src_id", "seq")).select("query_id", "src_id", "seq_id", "pos")
+
+
+def kmer_index_facts(spark, sf):
+    path = _place(spark)
+    meta = km.build_kmer_index(references(spark, sf), path, 3, "winnowing", W, MOD)
+    facts = km.kmer_statistics(spark.read.parquet(f"{path}/texts"), spark.read.parquet(f"{path}/dictionary"))
+    return facts.withColumn("sigma", F.lit(km.adaptive_sigma(meta["largest_value"])))
+
+
+def fasta_round_trip(spark, sf):
+    """References written as FASTA files and read back: number, header and letters."""
+    path = _place(spark)
+    write_fasta(references(spark, sf).repartitionByRange("seq_id").sortWithinPartitions("seq_id"), path)
+    return read_fasta(spark, path).select("seq_id", "id", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
+def hits_round_trip(spark, sf):
+    path = _place(spark)
+    write_hits(exact_search_both_strands(spark, sf), path)
+    return spark.read.text(path)
+
+
 def _joined(spark, sf):
-    return concat_text(probes(spark, sf).withColumnRenamed("src_id", "seq_id"))
+    return text_chunks(probes(spark, sf).withColumnRenamed("src_id", "seq_id"))
 
 
 def concat_text_digest(spark, sf):
-    return _joined(spark, sf).select(F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    text = concat_text(probes(spark, sf).withColumnRenamed("src_id", "seq_id"))
+    return text.select(F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def concat_chunks(spark, sf):
+    chunks = text_chunks(references(spark, sf))
+    return chunks.select("start", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def suffix_array_query(spark, sf):
@@ -194,7 +274,7 @@ def suffix_array_query(spark, sf):
 
 
 def suffix_array_reversed(spark, sf):
-    return suffix_array(reverse_text(_joined(spark, sf)))
+    return suffix_array(reverse_chunks(_joined(spark, sf)))
 
 
 def scheme_list(spark, sf):
@@ -216,6 +296,29 @@ def scheme_node_count(spark, sf):
     return schemes.schemes_table(spark, 0, 2, 30).select("name", "node_count_hamming", "node_count_edit", "weighted_edit")
 
 
+def scheme_expansion(spark, sf):
+    """Searches expanded to 30 letters, and what is left of their bounds where a letter has one error at most."""
+    rows = []
+    for name in schemes.GENERATORS:
+        for k in range(3):
+            letters = schemes.expand(schemes.generate(name, 0, k), 30)
+            rows += [(name, k, i, *(",".join(map(str, v)) for v in (s.pi, s.l, s.u, h.l, h.u))) for i, (s, h) in enumerate(zip(letters, schemes.limit_to_hamming(letters), strict=True))]
+    return spark.createDataFrame(rows, "name string, k int, no int, pi string, l string, u string, hamming_l string, hamming_u string")
+
+
+def simulated_reads_truth(spark, sf):
+    """n; reads whose span is where they say; reads in which each letter follows from the transcript and the reference's text."""
+    refs = references(spark, sf).select("seq_id", F.col("seq").alias("ref"))
+    reads = simulate_reads(spark, refs.withColumnRenamed("ref", "seq"), 500, 60, 1, 1, 1, 0, 7).join(refs, "seq_id")
+    ops = F.split("transcript", "")
+    used = lambda i, skip: F.length(F.regexp_replace(F.substring(F.col("transcript"), F.lit(1), i), skip, ""))
+    letter = lambda s, at: F.substring(F.col(s), at + 1, F.lit(1))
+    # Before operation i the read has used the letters of M, S and I, the reference those of M, S and D.
+    right = F.forall(F.transform(ops, lambda op, i: F.when(op == "M", letter("seq", used(i, "D")) == letter("ref", F.col("pos").cast("int") + used(i, "I"))).when(op == "S", letter("seq", used(i, "D")) != letter("ref", F.col("pos").cast("int") + used(i, "I"))).otherwise(F.lit(True))), lambda x: x)
+    inside = (F.col("pos") >= 0) & (F.col("pos") + F.length(F.regexp_replace("transcript", "I", "")) <= F.length("ref"))
+    return reads.agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("inside"), F.count_if(right).alias("right_letters"))
+
+
 def simulated_reads_invariants(spark, sf):
     """n, reads of the asked length, reads whose transcript has that many emitting letters; the seeds' own reference is the document table."""
     reads = simulate_reads(spark, references(spark, sf).select("seq_id", "seq"), 500, 60, 1, 1, 1, 0, 7)
@@ -234,6 +337,9 @@ def queries() -> dict:
         "mod_mers": mod_mer_counts, "minimizers": minimizer_rows, "kmer_dictionary": kmer_dictionary, "kmer_admission": kmer_admission,
         "left_semi_dictionary": left_semi_dictionary, "left_anti_dropped": left_anti_dropped, "kmer_search": kmer_search,
         "concat_text": concat_text_digest, "suffix_array": suffix_array_query, "suffix_array_reversed": suffix_array_reversed,
+        "index_facts": index_facts, "index_search_bi": index_search_bi, "index_search_hamming": index_search_hamming, "index_search_uni": index_search_uni,
+        "index_search_rbi": index_search_rbi, "index_search_rbi_dna4": index_search_rbi_dna4, "kmer_index_search": kmer_index_search, "kmer_index_facts": kmer_index_facts,
+        "fasta_round_trip": fasta_round_trip, "hits_round_trip": hits_round_trip, "concat_chunks": concat_chunks, "scheme_expansion": scheme_expansion, "simulated_reads_truth": simulated_reads_truth,
         "scheme_list": scheme_list, "scheme_checks": scheme_checks, "scheme_node_count": scheme_node_count, "simulated_reads_invariants": simulated_reads_invariants,
     }
 
@@ -325,8 +431,74 @@ ok AS (SELECT g.name, g.k, bool_and({valid}) AS valid FROM g JOIN s USING (name,
 SELECT g.name, g.k, g.parts, g.searches, ok.valid, bool_and(cov.n >= 1) AS complete, bool_and(cov.n = 1) AS non_redundant FROM g JOIN ok USING (name, k) JOIN cov USING (name, k) GROUP BY ALL"""
 
 
+def _xxh64(value: str) -> str:
+    """Tables x1 to x7, of which the last has the XXH64 with seed 0 of a column v of table x0, in 128-bit arithmetic."""
+    # The primes of XXH64.
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    wrap = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)"
+    times = lambda x, p: wrap(f"({x}) * {p}::UHUGEINT")
+    turn = lambda x, r: f"({times(x, 1 << r)} + ({x}) // {1 << (64 - r)}::UHUGEINT)"
+    steps = [times(value, p2), turn("h", 31), f"xor({p5 + 8}::UHUGEINT, {times('h', p1)})", turn("h", 27), wrap(f"{times('h', p1)} + {p4}::UHUGEINT"), times(f"xor(h, h // {1 << 33}::UHUGEINT)", p2), times(f"xor(h, h // {1 << 29}::UHUGEINT)", p3)]
+    tables = [f", x{i + 1} AS (SELECT * EXCLUDE (h), {s} AS h FROM x{i})" if i else f", x1 AS (SELECT *, {s} AS h FROM x0)" for i, s in enumerate(steps)]
+    return "".join(tables) + f", hashed AS (SELECT * EXCLUDE (h), xor(h, h // {1 << 32}::UHUGEINT) AS h FROM x7)"
+
+
+def _mod_mers() -> str:
+    kmers = f", k AS (SELECT seq_id, substr(seq, pos + 1, {K}) AS kmer FROM w WHERE pos + {K} <= length(seq)), c AS (SELECT kmer, least({_value('kmer', K)}, {_value('reverse(translate(kmer, $$ACGTN$$, $$TGCAN$$))', K)})::UHUGEINT AS v FROM (SELECT DISTINCT kmer FROM k)), x0 AS (SELECT * FROM c)"
+    return f"{_BASE}{_PLACES}{kmers}{_xxh64('v')} SELECT seq_id, count(*)::BIGINT AS n FROM k JOIN hashed USING (kmer) WHERE h % {1 << MOD} = 0 GROUP BY 1"
+
+
+def _letters(length: int, most: int) -> str:
+    """Table e: searches of all schemes, expanded to letters from their tables of parts; hl and hu are their bounds in Hamming distance."""
+    searches = [f"('{name}', {k}, {i}, {list(x.pi)}, {list(x.l)}, {list(x.u)})" for name in schemes.GENERATORS for k in range(most + 1) for i, x in enumerate(schemes.generate(name, 0, k))]
+    size = f"({length} // len(pi) + CASE WHEN pi[t] < {length} % len(pi) THEN 1 ELSE 0 END)"
+    first = f"(pi[t] * ({length} // len(pi)) + least(pi[t], {length} % len(pi)))"
+    return (
+        f"WITH RECURSIVE s(name, k, no, pi, l, u) AS (VALUES {', '.join(searches)}), p AS (SELECT *, unnest(range(1, len(pi) + 1)) AS t FROM s), q AS (SELECT *, {size} AS n, {first} AS f FROM p), r AS (SELECT *, unnest(range(0, n)) AS j FROM q)"
+        ", c AS (SELECT name, k, no, t, j, CASE WHEN t > 1 AND pi[t] < pi[1] THEN f + n - 1 - j ELSE f + j END AS x, CASE WHEN j = n - 1 THEN l[t] WHEN t = 1 THEN 0 ELSE l[t - 1] END AS a, u[t] AS b FROM r)"
+        ", o AS (SELECT *, row_number() OVER (PARTITION BY name, k, no ORDER BY t, j) AS i, count(*) OVER (PARTITION BY name, k, no) AS m FROM c)"
+        # One error a letter: an upper bound is at most i, and i - j above that of letter j; a lower one at least that of letter j, less j - i.
+        ", h AS (SELECT *, least(i, i + min(b - i) OVER (PARTITION BY name, k, no ORDER BY i)) AS hu, max(a - i) OVER (PARTITION BY name, k, no ORDER BY i DESC) + i AS hl FROM o)"
+    )
+
+
+def _scheme_expansion() -> str:
+    text = lambda c: f"string_agg({c}::BIGINT, ',' ORDER BY i)"
+    return f"{_letters(30, 2)} SELECT name, k::INT AS k, no::INT AS no, {text('x')} AS pi, {text('a')} AS l, {text('b')} AS u, {text('hl')} AS hamming_l, {text('hu')} AS hamming_u FROM h GROUP BY name, k, no"
+
+
+def _scheme_node_count() -> str:
+    """Partial matches with 0, 1 and 2 errors, letter by letter."""
+    def step(edit: bool, a: str, b: str) -> str:
+        sigma, inside = 4, lambda d: f"{d} BETWEEN {a} AND {b} AND {d} <= most"
+        n0 = f"CASE WHEN {inside(0)} THEN n0 ELSE 0 END"
+        n1 = f"CASE WHEN {inside(1)} THEN n1 + {sigma if edit else sigma - 1} * n0{f' + {sigma} * ({n0})' if edit else ''} ELSE 0 END"
+        n2 = f"CASE WHEN {inside(2)} THEN n2 + {sigma if edit else sigma - 1} * n1{f' + {sigma} * ({n1})' if edit else ''} ELSE 0 END"
+        return f"{n0} AS n0, {n1} AS n1, {n2} AS n2"
+
+    walk = lambda name, edit, a, b: f", {name} AS (SELECT name, no, 0::BIGINT AS i, 2 AS most, 1::DOUBLE AS n0, 0::DOUBLE AS n1, 0::DOUBLE AS n2 FROM s WHERE k = 2 UNION ALL SELECT w.name, w.no, h.i, w.most, {step(edit, f'h.{a}', f'h.{b}')} FROM {name} w JOIN h ON h.k = 2 AND h.name = w.name AND h.no = w.no AND h.i = w.i + 1)"
+    total = lambda t, weight="1": f"(SELECT sum((n0 + n1 + n2) * {weight}) FROM {t} WHERE {t}.name = g.name AND i > 0)"
+    return f"{_letters(30, 2)}{walk('ham', False, 'hl', 'hu')}{walk('edit', True, 'a', 'b')} SELECT g.name, {total('ham')} AS node_count_hamming, {total('edit')} AS node_count_edit, {total('edit', 'least(1.0, 1e9 / pow(4.0, i))')} AS weighted_edit FROM (SELECT DISTINCT name FROM s) g"
+
+
 def oracle_sql() -> dict[str, str]:
+    best = "SELECT query_id, seq_id, pos, errors FROM (SELECT *, min(errors) OVER (PARTITION BY query_id) AS low FROM h) WHERE errors = low"
+    folded = f", cr AS (SELECT seq_id, translate(seq, 'ACGT', 'WSSW') AS seq FROM r), cq AS (SELECT query_id, translate(seq, 'ACGT', 'WSSW') AS seq FROM q){_edit(1, 'cr', 'cq')} SELECT * FROM h"
     out = {
+        "mod_mers": _mod_mers(),
+        "scheme_expansion": _scheme_expansion(),
+        "scheme_node_count": _scheme_node_count(),
+        "index_facts": f"{_BASE} SELECT alphabet, kind, count(*)::BIGINT AS n_seqs, sum(length(seq))::BIGINT AS total_size, sigma, true AS has_grams FROM r, (VALUES ('dna5', 'bi', 6), ('dna4', 'bi', 5), ('dna5', 'uni', 6), ('dr_dna5', 'rbi', 4), ('dr_dna4', 'rbi', 3)) v(alphabet, kind, sigma) GROUP BY ALL",
+        "index_search_bi": f"{_BASE}{_edit(1)} {best}",
+        "index_search_hamming": f"{_BASE}{_HAMMING} SELECT * FROM h2",
+        "index_search_uni": f"{_BASE}{_STRANDS}{_exact('b')}",
+        "index_search_rbi": f"{_BASE}{folded}",
+        "index_search_rbi_dna4": f"{_BASE}{folded}",
+        "kmer_index_facts": f"{_BASE}{_mini(3, W)}{_DICT} SELECT (SELECT count(*) FROM d)::BIGINT AS distinct_kmers, (SELECT count(*) FROM m)::BIGINT AS sketch_length, (SELECT min(s) FROM (SELECT unnest([3, 4, 5, 6, 16, 32, 64, 128]) AS s) WHERE s > (SELECT count(*) FROM d))::INT AS sigma",
+        "fasta_round_trip": f"{_BASE} SELECT (row_number() OVER (ORDER BY seq_id) - 1)::BIGINT AS seq_id, seq_id::VARCHAR AS id, length(seq)::INT AS n, md5(seq) AS digest FROM r",
+        "hits_round_trip": f"SELECT query_id || ' ' || seq_id || ' ' || pos AS value FROM ({_BASE}{_STRANDS}{_exact('b')})",
+        "concat_chunks": f"{_BASE}, t AS (SELECT string_agg(seq, '' ORDER BY seq_id) || '$' AS text FROM r), c AS (SELECT unnest(range(0, length(text), {CHUNK})) AS start, text FROM t) SELECT start::BIGINT AS start, length(substr(text, start + 1, {CHUNK}))::INT AS n, md5(substr(text, start + 1, {CHUNK})) AS digest FROM c",
+        "simulated_reads_truth": "SELECT 500::BIGINT AS n, 500::BIGINT AS inside, 500::BIGINT AS right_letters",
         "dna_projection_stats": f"{_BASE} SELECT count(*)::BIGINT AS n_seqs, sum(length(seq))::BIGINT AS total_size, 6 AS sigma, min(length(seq))::INT AS shortest, max(length(seq))::INT AS longest FROM r",
         "validate_alphabet": f"{_RAW}, y AS (SELECT seq_id, s, length(regexp_extract(s, '^[ACGTN]*'))::INT AS n FROM x) SELECT seq_id, CASE WHEN n = length(s) THEN -1 ELSE n END::INT AS first_invalid, n = length(s) AS valid FROM y",
         "mask_unknown_n": f"{_RAW} SELECT seq_id, md5(regexp_replace(s, '[^ACGTN]', 'N', 'g')) AS digest FROM x",
@@ -364,4 +536,4 @@ def oracle_sql() -> dict[str, str]:
         "scheme_checks": _scheme_sql(),
         "simulated_reads_invariants": "SELECT 500::BIGINT AS n, 500::BIGINT AS right_length, 500::BIGINT AS right_transcript",
     }
-    return out
+    return out | {"kmer_index_search": out["kmer_search"]}

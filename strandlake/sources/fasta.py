@@ -27,18 +27,19 @@ def number_rows(df: DataFrame, name: str, *order: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, seq_name: str = "seq_id") -> DataFrame:
-    """(seq_id, id, seq): records in file order, numbered from 0; sequences over several lines are joined.
+    """(seq_id, id, seq): records in file order (files by name), numbered from 0; sequences over several lines are joined.
 
     A '>' inside a header doesn't split; Windows line ends are accepted. Raises ValueError if there is no record.
     """
     raw = spark.read.option("lineSep", "\n>").text(path)
     body = F.regexp_replace("value", "^>", "")
-    parts = raw.select("value", F.monotonically_increasing_id().alias("__at"), body.alias("r")).filter(F.trim(F.regexp_replace("r", "[\r\n]", "")) != "")
-    rec = parts.select("__at", F.regexp_extract("r", "^([^\r\n]*)", 1).alias("id"), F.regexp_replace(F.regexp_replace("r", "^[^\r\n]*", ""), "[\r\n ]", "").alias("seq"))
+    # A place is a file, where its split begins, and a number within the split.
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__begin"), F.monotonically_increasing_id().alias("__at")]
+    parts = raw.select("value", *place, body.alias("r")).filter(F.trim(F.regexp_replace("r", "[\r\n]", "")) != "")
+    rec = parts.select("__file", "__begin", "__at", F.regexp_extract("r", "^([^\r\n]*)", 1).alias("id"), F.regexp_replace(F.regexp_replace("r", "^[^\r\n]*", ""), "[\r\n ]", "").alias("seq"))
     if rec.isEmpty():
         raise ValueError(f"{path} has no FASTA record")
-    # Read order: Spark numbers rows of each file split in order, splits in file order.
-    return number_rows(rec, seq_name, "__at").select(seq_name, "id", "seq")
+    return number_rows(rec, seq_name, "__file", "__begin", "__at").select(seq_name, "id", "seq")
 
 
 def fasta_text(df: DataFrame, line_length: int = 80) -> DataFrame:

@@ -58,6 +58,42 @@ def test_suffix_array(spark, tmp_path):
     assert (read(".txt"), read(".sa"), read(".rev.txt"), read(".rev.sa")) == ("ACGT$", "4 0 1 2 3", "$TGCA", "0 4 3 2 1")
 
 
+def test_text_chunks(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.operators.suffix import reverse_chunks, text_chunks
+
+    rng = random.Random(8)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (0, 3, 50, 1, 0, 7, 120, 2)]
+    refs = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string").repartition(3)
+    whole = "".join(seqs) + "$"
+    for size in (9, 16, 64, 1000):
+        chunks = text_chunks(refs, size=size)
+        rows = sorted((r.start, r.text) for r in chunks.collect())
+        assert [t for _, t in rows] == [whole[i : i + size] for i in range(0, len(whole), size)] and [s for s, _ in rows] == list(range(0, len(whole), size))
+        assert [p for _, p in sorted((r.rank, r.pos) for r in suffix_array(chunks).collect())] == sorted(range(len(whole)), key=lambda i: whole[i:])
+        back = reverse_chunks(chunks)
+        assert "".join(t for _, t in sorted((r.start, r.text) for r in back.collect())) == whole[::-1]
+        assert [p for _, p in sorted((r.rank, r.pos) for r in suffix_array(back).collect())] == sorted(range(len(whole)), key=lambda i: whole[::-1][i:])
+    assert text_chunks(refs.filter(F.lit(False))).first().text == "$"
+
+
+def test_fasta_of_several_files_is_in_file_order(spark, tmp_path):
+    for k, n in enumerate((3, 400, 20)):  # Spark would read the largest first
+        (tmp_path / f"p{k}.fa").write_text("".join(f">{k}-{i}\nACGT\n" for i in range(n)))
+    rows = sorted((r.seq_id, r.id) for r in read_fasta(spark, str(tmp_path)).collect())
+    assert [x for _, x in rows] == [f"{k}-{i}" for k, n in enumerate((3, 400, 20)) for i in range(n)]
+
+
+def test_simulated_places_are_spread_over_all_sequences(spark):
+    rng = random.Random(5)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (200, 9, 10, 11, 40)]
+    refs = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")
+    rows = simulate_reads(spark, refs, 3000, 10, seed=2).collect()
+    assert len(rows) == 3000 and all(seqs[r.seq_id][r.pos : r.pos + 10] == r.seq for r in rows)
+    assert {r.seq_id for r in rows} == {0, 2, 3, 4} and 280 < sum(r.seq_id == 4 for r in rows) < 520
+
+
 def test_transcripts():
     for seed in range(50):
         rng = random.Random(seed)
