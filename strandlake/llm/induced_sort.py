@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Entries that an array, or a queue, holds in memory; larger ones are in files.
-ENTRIES = 8_000_000
+ENTRIES = 6_000_000
 #: Symbols of a text that is sorted: 0 ends it, bytes are one more than in the text, SEPARATOR is free for callers.
 SEPARATOR, _PAD = 0xF6, 0xFF
 _GROUPS, _WINDOW = 64, 512

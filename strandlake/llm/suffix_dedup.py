@@ -1,9 +1,11 @@
 """Removal of long byte strings that an earlier document has too, by external induced suffix sorting of what can repeat.
 
-Documents are dealt into blocks. Each window of `min_len` bytes has an anchor: its least-hashed 24-byte string. Equal
+Documents are dealt into blocks, those with the same least-hashed 24-byte string, as near copies have, into the same block as
+far as it holds them. Each window of `min_len` bytes has an anchor: its least-hashed 24-byte string. Equal
 windows have equal anchors, so a window whose anchor is in one document only can't repeat: a first round, a shuffle of packed
 anchor hashes answered with packed bits, leaves such windows out. Windows with the same anchor occurrence form a cell; equal
-cells of a block, compared byte by byte, are one. In a second round the bytes of all cells left meet in shards by anchor.
+cells of a block, compared byte by byte, are one, and if an anchor has no other cells they are done with. In a second round
+the bytes of all cells left meet in shards by anchor.
 Every shard is suffix-sorted by external induced sorting, and runs of suffixes whose common prefixes reach min_len give each
 window its earliest document. Whether a window repeats is decided by its bytes alone, never by a hash.
 """
@@ -18,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, U64, PrefixHash, Stages, drop_stage, mix64, pick_id_text, release, shared_dir, stage, tidy, utf8_bytes
+from .common import SLICE_BYTES, U64, PrefixHash, Stages, broadcast_if, drop_stage, mix64, pick_id_text, release, shared_dir, stage, text_slices, tidy, utf8_bytes
 from .induced_sort import ENTRIES, SEPARATOR, Pile, Scratch, blocks, sorted_suffixes
 
 MIN_LEN, ANCHOR = 50, 24
 BLOCK_BYTES = 8 << 20
 #: An anchor with more cells than this (equal ones of a block count once) is dealt out with the bytes beside it.
 HOT_CELLS = 4_096
+#: Keys of large groups of near copies that may be broadcast, by count.
+BROADCAST_ROWS = 400_000
 #: Buckets of the table of blocks, and tasks that sort shards; a bucket holds several blocks, and a task has several shards, beyond it.
 MAX_BUCKETS = 20_000
 LAST = (1 << 63) - 1
@@ -105,6 +109,14 @@ def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
+def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the ranges of raw from a on are equal to those from b on; ranges have eight bytes at least."""
+    words = np.ndarray((max(len(raw) - 7, 0),), "<u8", raw, strides=(1,))
+    count = -(-size // 8)
+    at = np.minimum(8 * _ragged(np.zeros_like(count), count), np.repeat(size - 8, count))
+    return np.logical_and.reduceat(words[np.repeat(a, count) + at] == words[np.repeat(b, count) + at], np.cumsum(count) - count)
+
+
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Positions of all ranges in turn."""
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
@@ -145,7 +157,8 @@ class _Block:
     def use_anchors(self) -> None:
         """Cells whose anchor is in two documents or more; equal ones under one number, with their least document."""
         c = self.cells
-        shared = self.several | _bits(self.answers, self.order, self.bounds, 1, 0)
+        elsewhere = _bits(self.answers, self.order, self.bounds, 1, 0)
+        shared = self.several | elsewhere
         self.hot = _bits(self.answers, self.order, self.bounds, 1, 1)
         self.live = np.flatnonzero(shared[self.anchor_of])
         keys, self.key_of, _, _ = c.distinct(c.content[self.live], self.live)
@@ -154,18 +167,49 @@ class _Block:
         # Cells of one hash are equal to its sample byte by byte, or get a number of their own.
         other = np.flatnonzero(self.sample[self.key_of] != self.live)
         differ = np.zeros(len(other), bool)
-        for x, y in blocks(len(other), 20_000):
+        for x, y in blocks(len(other), 50_000):
             i, j = self.live[other[x:y]], self.sample[self.key_of[other[x:y]]]
             size = c.b[i] - c.a[i] + self.min_len
             odd = (c.b[j] - c.a[j] + self.min_len != size) | (c.place[i] - c.a[i] != c.place[j] - c.a[j])
-            j = np.where(odd, i, j)
-            unlike = c.raw[_ragged(c.a[i], size)] != c.raw[_ragged(c.a[j], size)]
-            differ[x:y] = odd | np.logical_or.reduceat(unlike, np.cumsum(size) - size)
+            differ[x:y] = odd | ~_equal(c.raw, c.a[i], c.a[np.where(odd, i, j)], size)
         odd = other[differ]
         self.key_of[odd] = len(keys) + np.arange(len(odd))
         self.sample = np.concatenate((self.sample, self.live[odd]))
         self.low = np.full(len(self.sample), LAST)
         np.minimum.at(self.low, self.key_of, c.doc[self.live])
+        # If all cells of an anchor anywhere are equal, their windows are in no other cell: nothing is left to sort.
+        anchor = self.anchor_of[self.sample]
+        self.open = np.flatnonzero(elsewhere[anchor] | (np.bincount(anchor, minlength=len(self.anchors)) > 1)[anchor])
+
+
+def _keyed(batches):
+    """doc_id, text, key, size: the hash of the least-hashed anchor of every text (of the whole text where it is shorter)."""
+    for batch in batches:
+        for cut in text_slices(batch):
+            raw, off = utf8_bytes(cut.column("text"))
+            size, p = np.diff(off), PrefixHash(raw)
+            key = mix64(p.ranges(off[:-1], off[1:]) + size.astype(U64))
+            long = np.flatnonzero(size >= ANCHOR)
+            if len(long):
+                start = np.arange(max(len(raw) - ANCHOR + 1, 0))
+                h = mix64(p.ranges(start, start + ANCHOR))
+                # Least between the first and the last place of each long text: every other range of reduceat is in between.
+                ends = np.minimum(off[1:][long] - ANCHOR + 1, len(h))
+                edges = np.stack((off[:-1][long], ends), 1).ravel()
+                edges = edges[:-1] if edges[-1] == len(h) else edges
+                key[long] = np.minimum.reduceat(h, edges)[::2]
+            yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("text"), pa.array(key.view(np.int64)), pa.array(size)], names=["doc_id", "text", "key", "size"])
+
+
+def _in_blocks(base: DataFrame, n: int, block_bytes: int, work: Stages) -> DataFrame:
+    """doc_id, text, block. Documents with the same key go to the same block; a key with many bytes is dealt out in pieces."""
+    keyed = work.stage(base.mapInArrow(_keyed, "doc_id long, text string, key long, size long"))
+    piece = max(block_bytes // 4, 1)
+    # At most four keys a block have so many bytes.
+    large = keyed.groupBy("key").agg(F.ceil(F.sum("size") / piece).alias("pieces")).filter("pieces > 1")
+    both = keyed.join(broadcast_if(large, BROADCAST_ROWS), "key", "left")
+    salt = F.pmod(F.xxhash64("doc_id", "text"), F.coalesce("pieces", F.lit(1)))
+    return both.select("doc_id", "text", F.pmod(F.xxhash64("key", salt), F.lit(n)).cast("int").alias("block"))
 
 
 def _send_anchors(n: int, min_len: int):
@@ -212,7 +256,7 @@ def _snippets(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A cell is dealt by its anchor. One of a hot anchor is cut in two: windows with half of their other bytes before the
     anchor are dealt by those and the anchor, the others by the anchor and as many bytes after it.
     """
-    c, own, m = b.cells, b.sample, b.min_len
+    c, own, m = b.cells, b.sample[b.open], b.min_len
     a, e, place, anchor = c.a[own], c.b[own], c.place[own], c.anchor[own]
     near = (m - ANCHOR) // 2
     hot = b.hot[b.anchor_of[own]]
@@ -224,7 +268,7 @@ def _snippets(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         (np.flatnonzero(hot & (e > place - near)), np.maximum(a, place - near + 1), e, place, m - near + 1),
     ):
         snip = np.zeros(len(rows), _SNIP)
-        snip["index"], snip["doc"] = rows, b.low[rows]
+        snip["index"], snip["doc"] = b.open[rows], b.low[b.open[rows]]
         snip["shift"], snip["length"] = first[rows] - a[rows], last[rows] - first[rows] + m
         spread = anchor[rows]
         if begin is not None and len(rows):
@@ -273,15 +317,20 @@ class Shard:
         with self.scratch as scratch:
             self.text.append(np.zeros(1, np.uint8))
             text, snip = self.text.array(), self.snips.array()
-            start = scratch.array(len(snip), np.int64)
+            # The snippet of every place at which a window begins, else -1.
+            start, owners = scratch.array(len(snip), np.int64), scratch.array(len(text), np.int32)
             at = 0
-            for a, b in blocks(len(snip), scratch.entries):
+            for a, b in blocks(len(snip), max(scratch.entries // 128, 1)):
                 size = snip["length"][a:b].astype(np.int64) + 1
                 start[a:b] = at + np.cumsum(size) - size
-                at += int(size.sum())
+                own = np.repeat(np.arange(a, b, dtype=np.int32), size)
+                own[np.arange(len(own)) + at + self.min_len >= np.repeat(start[a:b] + size, size)] = -1
+                owners[at : at + len(own)] = own
+                at += len(own)
+            owners[at:] = -1
             mask = scratch.array(len(snip), np.uint64)
-            for place in repeated_windows(text, start, snip, self.min_len, scratch):
-                owner = np.searchsorted(start, place, side="right") - 1
+            for place in repeated_windows(text, owners, snip["doc"], self.min_len, scratch):
+                owner = owners[place]
                 np.bitwise_or.at(mask, owner, U64(1) << (place - start[owner] + snip["shift"][owner]).astype(U64))
             out, at = [], 0
             for block, n in self.messages:
@@ -297,21 +346,20 @@ class Shard:
 _MARK = np.dtype([("index", "<u4"), ("mask", "<u8")])
 
 
-def repeated_windows(text: np.ndarray, start: np.ndarray, snip: np.ndarray, min_len: int, scratch: Scratch):
+def repeated_windows(text: np.ndarray, owners: np.ndarray, doc: np.ndarray, min_len: int, scratch: Scratch):
     """Places of windows of snippets that a snippet of an earlier document has too, part by part."""
     # Equal windows stand side by side, with common prefixes of min_len or more; other suffixes hold a separator before that.
     places, begins = Pile(scratch), Pile(scratch, dtype=bool)
     n_groups = 0
     for place, lcp in sorted_suffixes(text, min_len, scratch):
-        owner = np.searchsorted(start, place, side="right") - 1
-        inside = place + min_len <= start[owner] + snip["length"][owner]
+        inside = owners[place] >= 0
         places.append(place[inside])
         begins.append(lcp[inside] < min_len)
         n_groups += int(np.count_nonzero(lcp[inside] < min_len))
     places, begins = places.array(), begins.array()
     first = scratch.array(n_groups, np.int64)
     first[:] = LAST
-    docs = lambda p: snip["doc"][np.searchsorted(start, p, side="right") - 1]
+    docs = lambda p: doc[owners[p]]
     at = -1
     for a, b in blocks(len(places), scratch.entries):
         group = at + np.cumsum(begins[a:b])
@@ -402,11 +450,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
     n_buckets = min(n, max_buckets)
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    dealing = Stages()
+    dealt = _in_blocks(base, n, block_bytes, dealing)
     # Bucketed by block, so that no later round shuffles the texts again.
     name = f"strandlake_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     dealt.repartition(n_buckets, "block").write.bucketBy(n_buckets, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
+    dealing.drop()
+    tidy(spark)
     table = spark.table(name)
     table._strandlake_path = path
     try:
