@@ -129,9 +129,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = 2 * min(a for a, _ in spans) + 1
     lines, blocks = F.split(text, "\n", -1), F.split(text, "\n[\\x20\\t\\r]*\n", -1)
     near, runs = _runs([g for _, g in entries], [-(-len(g) * threshold // (2 - threshold)) for _, g in entries], longest_run(templates, threshold))
-    base = base.withColumn("near", near(F.lower("text")))
-    base = base.select("doc_id", "text", F.when(F.col("near"), F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+|\n[^a-z0-9]*"), F.lit(0))).alias("tokens"))
-    units = base.select("doc_id", "tokens", F.filter(F.array_union(F.array_union(F.array(text), lines), blocks), lambda u: F.length(u) >= least).alias("u"))
+    # A text that has none of a few words has no unit that matches: nothing of it is cut or compared.
+    base = base.withColumn("low", F.lower("text")).withColumn("near", near(F.col("low")))
+    base = base.select("doc_id", F.when(F.col("near"), text).alias("text"), F.when(F.col("near"), F.regexp_extract_all("low", F.lit(r"[a-z0-9]+|\n[^a-z0-9]*"), F.lit(0))).alias("tokens"))
+    every = F.coalesce(F.array_union(F.array_union(F.array(text), lines), blocks), F.array().cast("array<string>"))
+    units = base.select("doc_id", "tokens", F.filter(every, lambda u: F.length(u) >= least).alias("u"))
     words = units.select("doc_id", "tokens", F.transform("u", normalised).alias("u"))
     # Distinct bigrams can't exceed words - 1; far longer units that repeat little are cut by the count of distinct words,
     # as n distinct words have at least n - 1 distinct bigrams.
@@ -185,7 +187,7 @@ def _runs(templates: list[list[str]], least: list[float], most: int):
     chosen: list[str] = []
     while any(map(short, range(len(templates)))):
         gain = {w: sum(1 / len(templates[k]) for k, x in xs if short(k) and x not in touched[k]) for w, xs in of.items()}
-        w = max(gain, key=lambda w: ((len(w) > 5 or w.isdigit()) and gain[w] > 0, gain[w], w))
+        w = max(gain, key=lambda w: (len(w) > 4 and gain[w] > 0, gain[w], w))  # short words and numbers are in most texts
         chosen.append(w)
         for k, x in of.pop(w):
             touched[k].add(x)
@@ -195,8 +197,12 @@ def _runs(templates: list[list[str]], least: list[float], most: int):
 
     mark = lambda x: F.startswith(x, F.lit("\n"))
     words = lambda a: F.filter(a, lambda x: ~mark(x))
-    enough = lambda g: _any([F.size(F.array_intersect(g, F.array(*map(F.lit, t)))) >= int(n) for t, n in zip(templates, least, strict=True)])
-    held = lambda a, f: F.size(F.filter(F.transform(F.array(a), lambda x: _pairs(words(x))), f)) > 0
+    # Bigrams of any template are picked out first: few are left to be compared with every template.
+    every = F.array(*map(F.lit, sorted({x for t in templates for x in t})))
+    few = lambda g: F.size(g) >= int(min(least))
+    enough = lambda g: few(g) & _any([F.size(F.array_intersect(g, F.array(*map(F.lit, t)))) >= int(n) for t, n in zip(templates, least, strict=True)])
+    # Words are bound by a lambda of their own: inside another one they would be picked out anew for every pair.
+    held = lambda a, f: F.size(F.filter(F.transform(F.transform(F.array(a), words), lambda w: F.array_intersect(_pairs(w), every)), f)) > 0
 
     def step(rows: DataFrame) -> DataFrame:
         tokens = F.col("tokens")
