@@ -42,12 +42,14 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 def quality_rules() -> str:
     q = quality
     count = lambda keep: f"length(regexp_replace(t, '{keep}', '', 'g'))::BIGINT"
-    lists = "CASE lang " + " ".join(f"WHEN {_text(c)} THEN [{', '.join(map(_text, ws))}]" for c, ws in q.COMMON.items()) + " END"
     js = lambda p, r: f"(SELECT CASE WHEN list_sum({p}) > 0 AND list_sum({r}) > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: {_js_term(p, r)})) / 2, 0)) ELSE 0 END)"
     n_char, n_word = len(q.CHAR_CLASSES), q.N_WORDS + 1
     sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(n)) + "]"
     return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '{q.WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, {lists} AS listed FROM d),
+cw AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(list_distinct(regexp_extract_all(lower(t), '\p{{L}}+'))) AS w FROM d WHERE lang IS NOT NULL) GROUP BY 1, 2),
+ck AS (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS k FROM cw),
+cl AS (SELECT lang, list(w ORDER BY k) AS listed FROM ck WHERE k <= {q.N_WORDS} GROUP BY 1),
+w AS (SELECT *, regexp_extract_all(t, '{q.WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d LEFT JOIN cl USING (lang)),
 g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
 h AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g),
 p AS (SELECT rid, count(DISTINCT x)::BIGINT AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS x FROM h WHERE n > 1) GROUP BY 1),

@@ -61,6 +61,42 @@ def test_quality_keeps_prose_and_drops_noise(spark, docs):
     assert not got[10**6].base_failed and not got[10**6].kept
 
 
+def test_quality_guards(spark, docs):
+    from strandlake.llm.quality import GUARD_WORDS, judge_quality
+
+    d = docs.select("doc_id", "text", "lang")
+    noise = lambda n: " ".join(f"#{i}%XQ9!" for i in range(n))
+    more = [(10**6, noise(GUARD_WORDS - 1), "en"), (10**6 + 1, noise(GUARD_WORDS), "en"), (10**6 + 2, noise(300), "rare"), (10**6 + 3, noise(300), None)]
+    got = {r.doc_id: r for r in judge_quality(d.union(spark.createDataFrame(more, d.schema))).collect()}
+    assert not any(got[10**6 + k].base_failed for k in range(4))
+    # Below the guards the base verdict holds; at the guard the divergence decides.
+    assert [got[10**6 + k].kept for k in range(4)] == [True, False, True, True]
+    assert {r.n_words for r in got.values() if r.kept and r.n_words < GUARD_WORDS}
+
+
+def test_quality_limits_are_calibrated(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.llm.quality import CHAR_LIMIT, WORD_LIMIT, calibrated_limits, judge_quality
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    char, word = calibrated_limits(docs, labels)
+    judged = judge_quality(docs).join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("n")).collect()
+    kept, total = {r.quality: r.kept for r in judged}, {r.quality: r.n for r in judged}
+    print(char, word, kept, total)
+    assert char <= CHAR_LIMIT and word <= WORD_LIMIT
+    assert kept[1] >= 0.999 * total[1] and kept.get(0, 0) <= 0.3 * total[0]
+
+
+def test_quality_learns_common_words(spark):
+    from strandlake.llm.quality import N_WORDS, common_words
+
+    rows = [(f"uno dos {i} tres{chr(97 + i)}", "es") for i in range(5)] + [("Uno uno", "es"), ("zig", None), (None, "xx"), ("", "xx")]
+    got = {r.common_lang: r.listed for r in common_words(spark.createDataFrame(rows, "text string, lang string")).collect()}
+    assert got == {"es": ["uno", "dos", "tresa", "tresb", "tresc", "tresd", "trese"]} and N_WORDS == 16
+
+
 def test_licenses(spark):
     from strandlake.llm.licenses import ALL_TEMPLATES, TEMPLATES, bigrams_of, scan_licenses
 
