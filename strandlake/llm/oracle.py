@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, secrets
+from . import decontaminate, licenses, quality, secrets
 from .line_dedup import MIN_FUZZY
 
 
@@ -67,6 +67,22 @@ def _js_term(p: str, r: str) -> str:
     return f"CASE WHEN {p}[i] > 0 THEN {x} * log2({x} / {m}) ELSE 0 END + CASE WHEN {r}[i] > 0 THEN {y} * log2({y} / {m}) ELSE 0 END"
 
 
+def decontamination() -> str:
+    """Exact: every window of an item's length that shares a shingle with it, by weighted Jaccard similarity."""
+    words = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\p{M}]+'), lambda x: x <> '')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+i AS (SELECT DISTINCT item_id, {words} AS w, least({decontaminate.SHINGLE}, len({words})) AS size FROM benchmark WHERE text IS NOT NULL),
+ig AS (SELECT item_id, size, len(w) AS n, array_to_string(w[p:p + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p FROM i WHERE len(w) > 0)),
+ic AS (SELECT item_id, size, n, g, count(*) AS c FROM ig GROUP BY ALL),
+dg AS (SELECT rid, len(w) AS m, size, p, array_to_string(w[p:p + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p FROM d, (SELECT DISTINCT size FROM i WHERE size > 0) WHERE len(w) >= size)),
+h AS (SELECT rid, m, item_id, size, n, p, g, c FROM dg JOIN ic USING (size, g)),
+s AS (SELECT DISTINCT rid, m, item_id, size, n, unnest(range(greatest(p - (n - size), 1), greatest(least(p, m - n + 1), greatest(p - (n - size), 1)) + 1)) AS s FROM h),
+b AS (SELECT s.rid, s.item_id, s.size, s.s, least(s.n, s.m - s.s + 1) - s.size + 1 AS own, s.n - s.size + 1 AS span, h.g, least(count(*), any_value(h.c)) AS k FROM s JOIN h ON h.rid = s.rid AND h.item_id = s.item_id AND h.p BETWEEN s.s AND s.s + s.n - s.size GROUP BY ALL),
+j AS (SELECT rid, item_id, size, s, own, sum(k) / (own + any_value(span) - sum(k)) AS sim FROM b GROUP BY rid, item_id, size, s, own),
+t AS (SELECT *, row_number() OVER (PARTITION BY rid, item_id ORDER BY sim DESC, s) AS r FROM j WHERE sim >= {decontaminate.THRESHOLD}::DOUBLE)
+SELECT doc_id, item_id, sim::DOUBLE AS similarity, (s - 1)::BIGINT AS first_word, (own + size - 1)::BIGINT AS n_words FROM t JOIN d USING (rid) WHERE r = 1"""
+
+
 def line_dedup() -> str:
     n = MIN_FUZZY
     keys = "SELECT l, d0, l0, {n} AS n, 1 AS side, substr(l, 1, ({n}) // 2) AS h FROM q UNION ALL SELECT l, d0, l0, {n}, 2, right(l, ({n}) - ({n}) // 2) FROM q"
@@ -100,4 +116,4 @@ SELECT doc_id, license, coalesce(score, 0.0::DOUBLE)::DOUBLE AS score, coalesce(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": jaccard(), "op2_secret_scan": secret_scan(), "op5_quality_rules": quality_rules(), "op9_line_dedup": line_dedup(), "op10_license_scan": license_scan()}
+    return {"op1_ngram_jaccard": jaccard(), "op2_secret_scan": secret_scan(), "op5_quality_rules": quality_rules(), "op6_decontamination": decontamination(), "op9_line_dedup": line_dedup(), "op10_license_scan": license_scan()}
