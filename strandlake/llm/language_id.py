@@ -391,7 +391,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = [f"{_HASH}_{c}" for c in ("lang_pred", "entropy", "bucket")]
     schema = StructType(list(docs.schema.fields))
-    for c, t in zip(names, ("string", "double", "int"), strict=True):
+    for c, t in zip(names, ("string", "double", "integer"), strict=True):
         schema = schema.add(c, t)
 
     def run(batches):
