@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import broadcast_if, stage
 
 # The base patterns, in their order.
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -22,6 +22,8 @@ KINDS = ("assign", "access", "hex", "opaque")
 MIN_ASSIGN = 12
 #: A value held by at most this many distinct owners and repositories is owner-specific.
 MAX_OWNERS, MAX_REPOS = 2, 2
+#: Hashes of widely copied values that may be broadcast, by count; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 #: Distinct characters that a live-looking value has at least.
 MIN_DISTINCT = 10
 
@@ -68,7 +70,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans holds the base spans and the added ones (opaque values of few owners that look live and overlap no base span);
     n_owned and n_copied count all candidate spans, base ones too, whose value is owner-specific and live-looking, or
     widely copied. Without owner_col the repository counts as the owner; a null repository or owner is one unknown owner.
-    Null text is empty; repeated rows give repeated results; an empty table gives no rows.
+    Null and empty texts have no spans; texts are whole however long; repeated rows give repeated results; other columns of
+    docs are ignored; an empty table gives no rows.
     """
     owner = F.col(owner_col or repo_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"))
@@ -94,9 +97,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     holders = each.select("hash", "repo", "owner").distinct()
     owners = holders.select("hash", "owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"))
     repos = holders.select("hash", "repo").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_repos"))
-    few = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
-    spread = owners.join(repos, "hash").select("hash", few.alias("few"))
-    judged = each.join(spread, "hash")
+    # Values that many hold are few; all other values are owner-specific. So a value in very many documents, which is one of
+    # the few, is not shuffled with all its documents.
+    wide = stage(owners.join(repos, "hash").filter((F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos)).select("hash"))
+    wide = broadcast_if(wide, BROADCAST_ROWS).withColumn("wide", F.lit(True))
+    judged = each.join(wide, "hash", "left").withColumn("few", F.col("wide").isNull())
     per_doc = judged.groupBy("rid").agg(
         F.count_if(F.col("few") & F.col("live")).alias("n_owned"),
         F.count_if(~F.col("few")).alias("n_copied"),
