@@ -9,15 +9,14 @@ from .alphabet import window
 
 
 def hamming(query: Column, ref: Column, pos: Column, k: int | None = None) -> Column:
-    """Mismatches of the query with the window of its length at pos; with k, null where there are more.
+    """Mismatches of the query with the window of its length at pos; with k, null where the edit distance is greater.
 
     An edit distance is never above the number of mismatches, and levenshtein() stops beyond k: with k, few windows have
     their letters compared one by one.
     """
     m = F.length(query)
     if k is not None:
-        own = hamming(query, ref, pos)
-        return F.when(F.levenshtein(query, window(ref, pos, m), k) >= 0, F.when(own <= k, own))
+        return F.when(F.levenshtein(query, window(ref, pos, m), k) >= 0, hamming(query, ref, pos))
     q, w = query.cast("binary"), F.substring(ref.cast("binary"), (pos + 1).cast("int"), m)
     return F.aggregate(F.sequence(F.lit(1), m), F.lit(0), lambda a, i: a + F.when(F.substring(q, i, F.lit(1)) == F.substring(w, i, F.lit(1)), 0).otherwise(1))
 

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import is_valid, normalise, replace_unknown, require_valid, reverse_complement
+from ..functions.alphabet import normalise, replace_unknown, require_valid, reverse_complement
 from ..functions.distance import edit, hamming
 from ..plans.planner import seed_regions
 from ..plans.schemes import Scheme
@@ -41,10 +41,6 @@ def prepare(seqs: DataFrame, alphabet: str = "dna5", ignore_unknown: bool = Fals
     return seqs.withColumn("seq", require_valid(F.col("seq"), name, F.col(key), alphabet) if check else normalise(F.col("seq"), alphabet))
 
 
-def valid_only(seqs: DataFrame, alphabet: str = "dna5") -> DataFrame:
-    return seqs.filter(is_valid(F.col("seq"), alphabet))
-
-
 def expand_strands(queries: DataFrame, reverse: bool = True) -> DataFrame:
     """query_id, src_id, strand, seq: forward is 2*src_id, reverse complement 2*src_id+1; src_id itself without reverse."""
     if not reverse:
@@ -88,9 +84,7 @@ def _seeds(queries: DataFrame, regions: list[tuple[int, int]], parts: int, lengt
 
     cut = lambda at, g: F.substring(F.col("seq").cast("binary"), at + 1, g)
     each = F.transform(spans, lambda x: F.struct(x["offset"].alias("offset"), length(x["n"]).alias("g"), cut(x["offset"], length(x["n"])).alias("gram")))
-    rows = queries.select("query_id", "seq", each.alias("every")).select("query_id", "seq", "every", F.posexplode("every").alias("nth", "x"))
-    # The seeds before this one: a place that one of them gives too isn't verified twice.
-    return rows.select("query_id", "seq", "x.g", "x.offset", "x.gram", F.slice("every", F.lit(1), F.col("nth")).alias("sooner")).filter("g > 0")
+    return queries.select("query_id", "seq", F.explode(each).alias("x")).select("query_id", "seq", "x.g", "x.offset", "x.gram").filter("g > 0")
 
 
 def grams(refs: DataFrame, g: int, keep_seq: bool = False) -> DataFrame:
@@ -112,7 +106,9 @@ def _starts(joined: DataFrame, errors: int, metric: str) -> DataFrame:
     """Candidate starts: the seed's place less its offset, within `errors` for edit distance."""
     at = F.col("p") - F.col("offset")
     if metric == "hamming":
-        return joined.withColumn("pos", at)
+        # A generator keeps the comparison of letters, which has no generated code, out of the join's condition: there it would
+        # have all grams joined row by row.
+        return joined.withColumn("pos", F.explode(F.array(at)) if errors else at)
     return joined.withColumn("pos", F.explode(F.sequence(at - errors, at + errors)))
 
 
@@ -136,10 +132,8 @@ def _verify(candidates: DataFrame, errors: int, metric: str) -> DataFrame:
 def _by_grams(refs: DataFrame, own: DataFrame, g: int, errors: int, metric: str, small: bool) -> DataFrame:
     own = own.filter(F.col("g") == g)
     if small:
-        starts = _starts(grams(refs, g, keep_seq=True).join(F.broadcast(own), "gram"), errors, metric)
-        if metric == "hamming":
-            starts = starts.filter(~F.exists("sooner", lambda x: (x["g"] > 0) & (F.substring("b", F.col("pos") + x["offset"] + 1, x["g"]) == x["gram"])))
-        return _verify(starts, errors, metric)
+        joined = grams(refs, g, keep_seq=True).join(F.broadcast(own), "gram")
+        return _verify(_starts(joined, errors, metric), errors, metric)
     joined = grams(refs, g).join(own.select("gram", "query_id", "offset"), "gram")
     return verify_candidates(_starts(joined, errors, metric).select("query_id", "seq_id", "base", "pos").distinct(), refs, own.select("query_id", "seq").distinct(), errors, metric)
 

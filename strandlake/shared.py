@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as set on the session or context; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir as set on the session or context; where it is unset, a temporary folder if all runs on this machine.
+
+    ValueError on a cluster: executors would not see a folder of the driver's.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
         path = spark.sparkContext.getCheckpointDir()
     return path
