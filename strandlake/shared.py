@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
         path = spark.sparkContext.getCheckpointDir()
