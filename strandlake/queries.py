@@ -293,7 +293,7 @@ def scheme_checks(spark, sf):
 
 
 def scheme_node_count(spark, sf):
-    return schemes.schemes_table(spark, 0, 2, 30).select("name", "node_count_hamming", "node_count_edit", "weighted_edit")
+    return schemes.schemes_table(spark, 0, 2, 30).select("name", "node_count_hamming", "node_count_edit", F.round("weighted_edit", 3).alias("weighted_edit"))
 
 
 def scheme_expansion(spark, sf):
@@ -478,7 +478,7 @@ def _scheme_node_count() -> str:
 
     walk = lambda name, edit, a, b: f", {name} AS (SELECT name, no, 0::BIGINT AS i, 2 AS most, 1::DOUBLE AS n0, 0::DOUBLE AS n1, 0::DOUBLE AS n2 FROM s WHERE k = 2 UNION ALL SELECT w.name, w.no, h.i, w.most, {step(edit, f'h.{a}', f'h.{b}')} FROM {name} w JOIN h ON h.k = 2 AND h.name = w.name AND h.no = w.no AND h.i = w.i + 1)"
     total = lambda t, weight="1": f"(SELECT sum((n0 + n1 + n2) * {weight}) FROM {t} WHERE {t}.name = g.name AND i > 0)"
-    return f"{_letters(30, 2)}{walk('ham', False, 'hl', 'hu')}{walk('edit', True, 'a', 'b')} SELECT g.name, {total('ham')} AS node_count_hamming, {total('edit')} AS node_count_edit, {total('edit', 'least(1.0, 1e9 / pow(4.0, i))')} AS weighted_edit FROM (SELECT DISTINCT name FROM s) g"
+    return f"{_letters(30, 2)}{walk('ham', False, 'hl', 'hu')}{walk('edit', True, 'a', 'b')} SELECT g.name, {total('ham')} AS node_count_hamming, {total('edit')} AS node_count_edit, round({total('edit', 'least(1.0, 1e9 / pow(4.0, i))')}, 3) AS weighted_edit FROM (SELECT DISTINCT name FROM s) g"
 
 
 def oracle_sql() -> dict[str, str]:
