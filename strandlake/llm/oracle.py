@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, quality, secrets
+from . import decontaminate, fingerprints, licenses, quality, secrets
 from .line_dedup import MIN_FUZZY
 
 
@@ -115,5 +115,72 @@ b AS (SELECT rid, max(s) AS score, min({{'s': -s, 'name': name}}).name AS licens
 SELECT doc_id, license, coalesce(score, 0.0::DOUBLE)::DOUBLE AS score, coalesce(licenses, '') AS licenses FROM d LEFT JOIN b USING (rid)"""
 
 
+def fingerprint() -> str:
+    # The primes of XXH64.
+    p = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+    m, ctes = 1 << 64, []
+    n = lambda x: f"{x % m}::UHUGEINT"
+    low = lambda x: f"(({x}) & {m - 1}::UHUGEINT)"
+    down = lambda x, k: f"(({x}) >> {k}::UHUGEINT)"
+    times = lambda x, y: low(f"({x}) * {n(y)}")
+    plus = lambda *xs: low(" + ".join(xs))
+    rotl = lambda x, k: f"({times(x, 1 << k)} + {down(x, 64 - k)})"
+
+    def step(source: str, name: str, **columns: str) -> str:
+        ctes.append(f"{name} AS MATERIALIZED (SELECT *, {', '.join(f'{v} AS {k}' for k, v in columns.items())} FROM {source})")
+        return name
+
+    def mixed(source: str, name: str, column: str, out: str) -> str:
+        """The last steps of a hash."""
+        a = step(source, f"{name}a", **{f"{out}1": times(f"xor({column}, {down(column, 33)})", p[1])})
+        b = step(a, f"{name}b", **{f"{out}2": times(f"xor({out}1, {down(out + '1', 29)})", p[2])})
+        return step(b, f"{name}c", **{out: f"xor({out}2, {down(out + '2', 32)})"})
+
+    def of_long(source: str, name: str, value: str, seed: str, out: str) -> str:
+        a = step(source, f"{name}x", **{f"{out}_a": times(value, p[1])})
+        b = step(a, f"{name}y", **{f"{out}_b": f"xor({plus(seed, n(p[4] + 8))}, {times(rotl(f'{out}_a', 31), p[0])})"})
+        c = step(b, f"{name}z", **{f"{out}_c": plus(times(rotl(f"{out}_b", 27), p[0]), n(p[3]))})
+        return mixed(c, name, f"{out}_c", out)
+
+    # Words: the XXH64 of the 32 characters of their MD5.
+    seeds = (42 + p[0] + p[1], 42 + p[1], 42, 42 - p[0])
+    own = step("v0", "v1", r="hex(reverse(md5(x)))")
+    own = step(own, "v2", **{f"l{k}": plus(n(seeds[k]), times(f"('0x' || substr(r, {49 - 16 * k}, 16))::UBIGINT::UHUGEINT", p[1])) for k in range(4)})
+    own = step(own, "v3", **{f"s{k}": times(rotl(f"l{k}", 31), p[0]) for k in range(4)})
+    own = step(own, "v4", z0=plus(rotl("s0", 1), rotl("s1", 7), rotl("s2", 12), rotl("s3", 18)), **{f"u{k}": times(f"s{k}", p[1]) for k in range(4)})
+    own = step(own, "v5", **{f"q{k}": times(rotl(f"u{k}", 31), p[0]) for k in range(4)})
+    for k in range(4):
+        own = step(own, f"v6{k}", **{f"z{k + 1}": plus(times(f"xor(z{k}, q{k})", p[0]), n(p[3]))})
+    own = step(own, "v7", y=plus("z4", n(32)))
+    own = mixed(own, "v8", "y", "word")
+    # Terms: five words' hashes, each with the one before as its seed; the second half hashes the first.
+    terms = "t0"
+    for k in range(fingerprints.SHINGLE):
+        terms = of_long(terms, f"t{k + 1}", f"w{k}", f"e{k - 1}" if k else n(42), f"e{k}")
+    terms = of_long(terms, "tg", f"e{fingerprints.SHINGLE - 1}", n(42), "g")
+    split = r"list_filter(string_split_regex(lower(x), '[\x20\x09-\x0D]'), lambda w: w <> '')"
+    cut = ctes
+    words, hashed = cut[: next(i for i, c in enumerate(cut) if c.startswith("t1x "))], cut[next(i for i, c in enumerate(cut) if c.startswith("t1x ")) :]
+    half = lambda e: "(" + " + ".join(f"CASE WHEN 2 * sum(({e} >> {b}) & 1) > count(*) THEN {n(1 << b)} ELSE 0::UHUGEINT END" for b in range(64)) + ")"
+    bits = lambda a, b: f"(bit_count(xor({a}.hi, {b}.hi)::UBIGINT) + bit_count(xor({a}.lo, {b}.lo)::UBIGINT))"
+    digits = lambda a: f"(lpad(lower(to_hex({a}.hi::UBIGINT)), 16, '0') || lpad(lower(to_hex({a}.lo::UBIGINT)), 16, '0'))"
+    joins = " ".join(f"LEFT JOIN {own} j{k} ON j{k}.x = w[p + {k}]" for k in range(fingerprints.SHINGLE))
+    word = ", ".join(f"coalesce(j{k}.word, 0::UHUGEINT) AS w{k}" for k in range(fingerprints.SHINGLE))
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, ''))) AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+e AS MATERIALIZED (SELECT rid, doc_id, t, left(t, (length(t) - length(t) // 2)::INT) || left(coalesce(lead(t) OVER (ORDER BY rid), first_value(t) OVER (ORDER BY rid)), (length(t) // 2)::INT) AS edited FROM d),
+x AS (SELECT rid, 0 AS side, t AS x FROM e UNION ALL SELECT rid, 1, edited FROM e),
+w AS MATERIALIZED (SELECT rid, side, {split} AS w FROM x),
+v0 AS (SELECT DISTINCT unnest(w) AS x FROM w),
+{(","+chr(10)).join(words)},
+s AS (SELECT rid, side, w, unnest(range(1, greatest(len(w) - {fingerprints.SHINGLE - 1}, 1) + 1)) AS p FROM w),
+t0 AS (SELECT rid, side, {word} FROM s {joins}),
+{(","+chr(10)).join(hashed)},
+f AS MATERIALIZED (SELECT rid, side, {half('e')} AS hi, {half('g')} AS lo FROM (SELECT rid, side, e{fingerprints.SHINGLE - 1}::UBIGINT AS e, g::UBIGINT AS g FROM {terms}) GROUP BY 1, 2),
+u AS (SELECT hi, lo, count(*) AS n_same FROM f WHERE side = 0 GROUP BY 1, 2),
+y AS (SELECT a.hi, a.lo, any_value(a.n_same) AS n_same, count(b.hi) AS n_near FROM u a LEFT JOIN u b ON (a.hi <> b.hi OR a.lo <> b.lo) AND {bits('a', 'b')} <= {fingerprints.RADIUS} GROUP BY 1, 2)
+SELECT e.doc_id, length(e.t)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, {digits('a')} AS fingerprint, {digits('b')} AS edited_fingerprint, (128 - {bits('a', 'b')}) / 128.0::DOUBLE AS near_edited, (128 - {bits('a', 'c')}) / 128.0::DOUBLE AS near_next, y.n_same::BIGINT AS n_same, y.n_near::BIGINT AS n_near
+FROM e JOIN f a ON a.rid = e.rid AND a.side = 0 JOIN f b ON b.rid = e.rid AND b.side = 1 JOIN f c ON c.side = 0 AND c.rid = e.rid % (SELECT count(*) FROM d) + 1 JOIN y ON y.hi = a.hi AND y.lo = a.lo"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": jaccard(), "op2_secret_scan": secret_scan(), "op5_quality_rules": quality_rules(), "op6_decontamination": decontamination(), "op9_line_dedup": line_dedup(), "op10_license_scan": license_scan()}
+    return {"op1_ngram_jaccard": jaccard(), "op2_secret_scan": secret_scan(), "op5_quality_rules": quality_rules(), "op6_decontamination": decontamination(), "op9_line_dedup": line_dedup(), "op10_license_scan": license_scan(), "op12_document_fingerprints": fingerprint()}
