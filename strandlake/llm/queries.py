@@ -85,8 +85,14 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_language_id, op4_token_store, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_best_fit_packing, op9_line_dedup, op10_license_scan, op12_document_fingerprints)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_language_id, op4_token_store, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_best_fit_packing, op9_line_dedup, op10_license_scan, op12_document_fingerprints, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
