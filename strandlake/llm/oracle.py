@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, licenses, quality, secrets
+from . import collocations, decontaminate, fingerprints, licenses, quality, secrets
 from .line_dedup import MIN_FUZZY
 
 
@@ -182,5 +182,20 @@ SELECT e.doc_id, length(e.t)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha2
 FROM e JOIN f a ON a.rid = e.rid AND a.side = 0 JOIN f b ON b.rid = e.rid AND b.side = 1 JOIN f c ON c.side = 0 AND c.rid = e.rid % (SELECT count(*) FROM d) + 1 JOIN y ON y.hi = a.hi AND y.lo = a.lo"""
 
 
+def phrases() -> str:
+    upper, q = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", collocations
+    return rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f FROM o, (VALUES (1), (2), (3), (4)) AS v(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= {q.MIN_COUNT}),
+c AS (SELECT lang, g, k, f, string_split(g, ' ') AS s, unnest(range(1, k)) AS j FROM g WHERE k > 1),
+x AS (SELECT c.lang, c.g, c.f AS a, a.f AS l, b.f AS r, j, ({q.FACTOR}::HUGEINT * c.f) // (a.f + b.f) AS score FROM c JOIN g a ON a.lang = c.lang AND a.g = array_to_string(s[1:j], ' ') JOIN g b ON b.lang = c.lang AND b.g = array_to_string(s[j + 1:], ' ')),
+y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS nth FROM x) WHERE nth = 1),
+i AS (SELECT lang, f, array_to_string(s[b:b + m - 1], ' ') AS g FROM (SELECT lang, f, string_split(g, ' ') AS s, k, m, unnest(range(1, k - m + 2)) AS b FROM g, (VALUES (2), (3)) AS v(m) WHERE m < k)),
+z AS (SELECT y.*, row_number() OVER (PARTITION BY y.lang ORDER BY score DESC, a DESC, y.g) AS rank FROM y LEFT JOIN (SELECT lang, g, max(f) AS f FROM i GROUP BY 1, 2) i ON i.lang = y.lang AND i.g = y.g WHERE i.f IS NULL OR 100 * i.f < {q.COVERED} * a)
+SELECT lang, rank::BIGINT AS rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM z JOIN t USING (lang) WHERE rank <= {q.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": jaccard(), "op2_secret_scan": secret_scan(), "op5_quality_rules": quality_rules(), "op6_decontamination": decontamination(), "op9_line_dedup": line_dedup(), "op10_license_scan": license_scan(), "op12_document_fingerprints": fingerprint()}
+    return {"op1_ngram_jaccard": jaccard(), "op2_secret_scan": secret_scan(), "op5_quality_rules": quality_rules(), "op6_decontamination": decontamination(), "op9_line_dedup": line_dedup(), "op10_license_scan": license_scan(), "op11_phrase_collocations": phrases(), "op12_document_fingerprints": fingerprint()}

@@ -79,6 +79,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprint_documents
 
@@ -92,7 +98,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_language_id, op4_token_store, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_best_fit_packing, op9_line_dedup, op10_license_scan, op12_document_fingerprints, op13_embedding_whitening)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_language_id, op4_token_store, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_best_fit_packing, op9_line_dedup, op10_license_scan, op11_phrase_collocations, op12_document_fingerprints, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
