@@ -23,6 +23,17 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def stage_alone(df: DataFrame) -> DataFrame:
+    """stage(), whose shuffle files go as soon as the table is written, not when the driver next collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return stage(df)
+    finally:
+        conf.set(key, before) if before is not None else conf.unset(key)
+
+
 def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows, by count; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -24,7 +24,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stage, stage, tidy
+from .common import drop_stage, stage_alone, tidy
 
 #: Words of a term; they are lower-cased runs without white space.
 SHINGLE = 5
@@ -110,7 +110,7 @@ def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = own.select("hi", "lo", F.inline(keys))
     key = ["t", *[f"k{i}" for i in range(FREE)]]
     counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    live = stage(rows.join(counted, key).withColumn("m", F.ceil(F.col("n") / BUCKET).cast("int")).withColumn("part", F.pmod(F.xxhash64("hi", "lo"), F.col("m")).cast("int")))
+    live = stage_alone(rows.join(counted, key).withColumn("m", F.ceil(F.col("n") / BUCKET).cast("int")).withColumn("part", F.pmod(F.xxhash64("hi", "lo"), F.col("m")).cast("int")))
     held = live.groupBy(*key, "part").agg(F.collect_list(F.struct("hi", "lo")).alias("others"))
     asked = live.select("hi", "lo", *key, F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("part"))
 
@@ -167,7 +167,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     order = [F.col("doc_id").desc_nulls_last(), F.md5(F.col("text").cast("binary"))]
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = stage(plain.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("uid", F.monotonically_increasing_id()))
+    rows = stage_alone(plain.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("uid", F.monotonically_increasing_id()))
     tidy(docs.sparkSession)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
@@ -176,7 +176,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     halves = [F.max(F.when(F.col("side") == s, F.col(h))).alias(name) for s, h, name in ((0, "hi", "hi"), (0, "lo", "lo"), (1, "hi", "ehi"), (1, "lo", "elo"))]
     prints = fingerprints(both, "run", "uid", "side").groupBy("run", "uid").agg(*halves).drop("run")
     facts = pairs.select("uid", "next_uid", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    done = stage(facts.join(prints, "uid").join(rows.select("uid", "doc_id"), "uid"))
+    done = stage_alone(facts.join(prints, "uid").join(rows.select("uid", "doc_id"), "uid"))
     drop_stage(rows)
     tidy(docs.sparkSession)
     same = done.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_same"))
