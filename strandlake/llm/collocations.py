@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.fasta import number_rows
-from .common import Stages, broadcast_if, drop_stage, release, small_batches, tidy
+from .common import broadcast_if, drop_stage, release, small_batches, stage_alone, tidy
 
 #: Words of a section, text gathered before it is cut into sections, and the longest phrase.
 SECTION, GATHER, LONGEST = 1 << 20, 8 << 20, 4
@@ -270,8 +270,8 @@ def _parts(k1: str, k2: str) -> list[Column]:
 def count_phrases(sections: DataFrame, ids: DataFrame, hot: int, least: int = MIN_COUNT) -> DataFrame:
     """k1, k2, a: phrases of two to four words with at least `least` occurrences. ids: id, lang, word, by falling count; the first `hot` ids are hot."""
     words = sections.select("section", "lang", F.posexplode("words").alias("local", "word"))
-    own = words.join(broadcast_if(ids.select("id", "lang", "word"), SMALL), ["lang", "word"]).select("section", "local", "id")
-    runs = sections.select("section", "ids").groupBy("section").cogroup(own.groupBy("section")).applyInArrow(_count, "k1 long, k2 long, c long")
+    own = words.join(broadcast_if(ids.select("id", "lang", "word"), SMALL), ["lang", "word"]).select(F.col("section").alias("of"), "local", "id")
+    runs = sections.select("section", "ids").groupBy("section").cogroup(own.groupBy("of")).applyInArrow(_count, "k1 long, k2 long, c long")
     w = _parts("k1", "k2")
     spread = F.when((w[0] <= hot) & (w[1] <= hot), F.when(w[2].between(1, hot), F.xxhash64("k2")).otherwise(F.xxhash64(w[2]))).otherwise(F.lit(0).cast("long"))
     dealt = runs.withColumn("salt", F.pmod(spread, F.lit(SALTS))).repartition("k1", "salt").sortWithinPartitions("k1", "k2").drop("salt")
@@ -285,16 +285,16 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     a counts the phrase, l and r the two parts of its lowest-scoring cut, n all words of the language; score is
     floor(2000000 * a / (l + r)). Phrases inside a longer one with 80 % of their occurrences or more are dropped.
     """
-    spark, stages = docs.sparkSession, Stages()
+    spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sections = stages.stage(texts.mapInArrow(_sections, _SECTIONS))
+    sections = stage_alone(texts.mapInArrow(_sections, _SECTIONS))
     counted = sections.select("lang", F.inline(F.arrays_zip("words", "counts"))).withColumnsRenamed({"words": "word", "counts": "f"}).groupBy("lang", "word").agg(F.sum("f").alias("f"))
-    totals = stages.stage(sections.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")))
+    totals = stage_alone(sections.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")))
     total = totals.agg(F.sum("n")).first()[0] or 0
     ids = number_rows(counted.filter(F.col("f") >= least), "id", F.desc("f"), "lang", "word").withColumn("id", F.col("id") + 1)
     hot = ids.filter(F.col("f") * HOT >= total).count()
-    phrases = stages.stage(count_phrases(sections, ids, hot, least))
+    phrases = stage_alone(count_phrases(sections, ids, hot, least))
     drop_stage(sections)
     tidy(spark)
     return _best(phrases, ids, totals, top)
