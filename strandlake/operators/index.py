@@ -1,19 +1,44 @@
-"""Persisted gram indexes and searches on them (IDX1-IDX4, IDX9, CMD1-CMD8)."""
+"""Persisted gram indexes and searches on them (IDX1-IDX4, IDX9, CMD1-CMD8).
+
+An index holds, beside its sequences, three tables in buckets of their key's hash, a file each, sorted by key:
+
+* `grams`: a row for each place, by `cell`. A cell is a gram; grams with very many places have cells with a number after it.
+* `counts`: how many places and cells the common grams have, by gram.
+* `parts`: sequences in parts of PART letters that reach into the next, by part.
+
+The keys that a search needs tell the buckets, so Spark opens the files of those alone; beyond LITERALS keys, a join with the
+tables takes their buckets as they are. Neither way are stored rows shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import letters, sigma
-from ..sources.tables import read_meta, write_meta
 from ..plans.planner import seed_regions, usable
 from ..plans.schemes import Scheme
-from .search import _seeds, _starts, expand_strands, grams, limit_queries, prepare, search, select_hits, verify_candidates
+from ..shared import Stages
+from ..sources.tables import read_meta, write_meta
+from .search import METRICS, MODES, _seeds, _verify_windows, by_strata, cut_windows, expand_strands, grams, limit_queries, prepare, search, select_hits
 
 #: Least and greatest gram length; in between it grows with the collection, so that a gram stands at few places of it.
 MIN_GRAM, MAX_GRAM = 8, 24
 KINDS = ("bi", "uni", "rbi")
+#: Rows of a bucket that a large index aims at, the least that is worth one, and the buckets that even a small index has by then.
+BUCKET_ROWS, LEAST_ROWS, BUCKETS = 4_000_000, 2_000, 256
+#: Places of a gram that share a cell, and of a gram that is counted: the others have hardly any.
+CELL, COMMON = 1_000_000, 4
+#: Letters of a part, and how far it reaches into the next; longer queries are searched in the stored sequences.
+PART, REACH = 1 << 16, 1 << 12
+#: Keys that are looked up by their buckets; more are joined with all of them, sent to every task as far as BROADCAST.
+LITERALS, BROADCAST = 2_000, 50_000
+_TABLES = {"grams": ("cell", "cell binary, seq_id bigint, p bigint"), "counts": ("gram", "gram binary, n bigint, cells int"), "parts": ("part", "part bigint, seq_id bigint, base bigint, seq string")}
 
 
 def statistics(refs: DataFrame, alphabet: str = "dna5") -> DataFrame:
@@ -30,8 +55,45 @@ def gram_length(total_size: int, alphabet: str) -> int:
     return n
 
 
+def bucket_count(rows: int) -> int:
+    return max(1, min(BUCKETS, rows // LEAST_ROWS), -(-rows // BUCKET_ROWS))
+
+
+def _whole(spark: SparkSession, path: str) -> str:
+    """The path as the file system has it: tables would take a relative one from the warehouse."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def _write_buckets(rows: DataFrame, path: str, name: str, buckets: int) -> None:
+    """A file for each bucket of the table's key. Only a passing entry is made in the session's catalog."""
+    key = _TABLES[name][0]
+    table = f"strandlake_{uuid.uuid4().hex}"
+    spark = rows.sparkSession
+    try:
+        rows.repartition(buckets, key).write.mode("overwrite").option("path", f"{_whole(spark, path)}/{name}").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def stored(spark: SparkSession, path: str, name: str, buckets: int) -> DataFrame:
+    """A table of an index, with its buckets known to the planner."""
+    key, schema = _TABLES[name]
+    table = f"strandlake_{uuid.uuid4().hex}"
+    quoted = _whole(spark, path).replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{quoted}/{name}'")
+    try:
+        return spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+
+
+def _cell(gram: Column, number: Column) -> Column:
+    return F.concat(gram, F.encode(F.lpad(number.cast("string"), 10, "0"), "utf-8"))
+
+
 def build_index(refs: DataFrame, path: str, alphabet: str = "dna5", kind: str | None = None, ignore_unknown: bool = False, gram_len: int | None = None, seed: int = 0) -> dict:
-    """Write sequences, grams sorted by gram, and a description. Raises ValueError for an empty collection.
+    """Write sequences, the tables of the index and a description. Raises ValueError for an empty collection.
 
     The length of grams follows from the collection's size, unless it is given.
     """
@@ -43,46 +105,161 @@ def build_index(refs: DataFrame, path: str, alphabet: str = "dna5", kind: str |
         raise ValueError("the reference collection is empty")
     spark = refs.sparkSession
     ready = prepare(refs, alphabet, ignore_unknown, seed)
-    ready.select("seq_id", "id" if "id" in refs.columns else F.lit(None).cast("string").alias("id"), "seq").write.mode("overwrite").parquet(f"{path}/sequences")
+    ready.select(F.col("seq_id").cast("long").alias("seq_id"), "id" if "id" in refs.columns else F.lit(None).cast("string").alias("id"), "seq").write.mode("overwrite").parquet(f"{path}/sequences")
     ready = spark.read.parquet(f"{path}/sequences")
     facts = statistics(ready, alphabet).first()
     gram_len = gram_len or gram_length(facts.total_size, alphabet)
-    # Range-partitioned and sorted by gram, files and row groups hold narrow gram ranges, which scans skip by.
-    grams(ready, gram_len).repartitionByRange("gram", "seq_id").sortWithinPartitions("gram", "seq_id", "p").write.mode("overwrite").parquet(f"{path}/grams")
-    meta = {"kind": kind, "alphabet": alphabet, "gram_len": gram_len, "n_seqs": facts.n_seqs, "total_size": facts.total_size, "sigma": facts.sigma}
+    buckets = bucket_count(facts.total_size)
+    places = grams(ready, gram_len).select("gram", "seq_id", F.col("p").cast("long").alias("p"))
+    counts = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON).withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
+    _write_buckets(counts, path, "counts", buckets)
+    # Few grams have more than one cell: at most one in CELL places.
+    hot = stored(spark, path, "counts", buckets).filter("cells > 1").select("gram", "cells")
+    if not hot.isEmpty():
+        number = F.pmod(F.xxhash64("seq_id", "p"), F.col("cells"))
+        places = places.join(hot, "gram", "left").withColumn("gram", F.when(F.col("cells") > 1, _cell(F.col("gram"), number)).otherwise(F.col("gram")))
+    _write_buckets(places.select(F.col("gram").alias("cell"), "seq_id", "p"), path, "grams", buckets)
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(PART))
+    cut = ready.select("seq_id", F.col("seq").cast("binary").alias("b"), F.posexplode(starts).alias("k", "base"))
+    parts = cut.select(_part(F.col("seq_id"), F.col("k")).alias("part"), "seq_id", F.col("base").cast("long").alias("base"), F.substring("b", F.col("base") + 1, F.lit(PART + REACH)).cast("string").alias("seq"))
+    _write_buckets(parts, path, "parts", buckets)
+    meta = {"kind": kind, "alphabet": alphabet, "gram_len": gram_len, "n_seqs": facts.n_seqs, "total_size": facts.total_size, "sigma": facts.sigma, "buckets": buckets}
     write_meta(spark, path, **meta)
     return meta
 
 
+def _part(seq_id: Column, k: Column) -> Column:
+    return F.xxhash64(seq_id.cast("long"), k.cast("int"))
+
+
+def few(keys: DataFrame, column: str) -> list | None:
+    """The distinct keys, if there are at most LITERALS."""
+    got = keys.select(column).distinct().limit(LITERALS + 1).collect()
+    return [bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in got] if len(got) <= LITERALS else None
+
+
+def look_up(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """rows joined with a stored table on its key; few keys open their buckets only."""
+    keys = few(rows, key)
+    if keys is not None:
+        return table.filter(F.col(key).isin(keys)).join(F.broadcast(rows), key) if rows.limit(BROADCAST + 1).count() <= BROADCAST else table.filter(F.col(key).isin(keys)).join(rows, key)
+    return table.join(F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows, key)
+
+
+def cheapest_seeds(counts: np.ndarray, seeds: int, g: int) -> list[int]:
+    """Offsets of `seeds` disjoint grams of length g with the fewest places in all, the first such ones; counts: places by offset."""
+    n = len(counts)
+    best, steps = np.zeros(n + g, np.int64), []
+    for _ in range(seeds):
+        # here[i]: the cost of this seed at i and of those before it, which end by i; low: the least over places up to i.
+        here = counts + best[:n]
+        low = np.minimum.accumulate(here)
+        steps.append((here, low))
+        best = np.concatenate((np.full(g, np.iinfo(np.int64).max // 4), low))
+    out, upto = [], n
+    for here, low in reversed(steps):
+        at = int(np.flatnonzero(here[:upto] == low[upto - 1])[0])
+        out.append(at)
+        upto = at - g + 1
+    return out[::-1]
+
+
+def frequent_seeds(spark: SparkSession, path: str, meta: dict, queries: DataFrame, errors: int) -> DataFrame:
+    """query_id, offset, gram, cells: errors + 1 disjoint grams of each query with the fewest stored places; grams that aren't common count as one."""
+    g = meta["gram_len"]
+    every = queries.select("query_id", F.col("seq").cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.length("seq") - g)).alias("offset"))
+    every = every.select("query_id", "offset", F.substring("b", F.col("offset") + 1, F.lit(g)).alias("gram"))
+    known = look_up(stored(spark, path, "counts", meta["buckets"]), every.select("gram").distinct(), "gram")
+    counted = every.join(known, "gram").groupBy("query_id").agg(F.collect_list(F.struct("offset", "n", "cells")).alias("x"))
+
+    def pick(length: pd.Series, offsets: pd.Series, numbers: pd.Series) -> pd.Series:
+        out = []
+        for m, at, n in zip(length, offsets, numbers, strict=True):
+            counts = np.ones(m - g + 1, np.int64)
+            if at is not None:
+                counts[at] = n
+            out.append(cheapest_seeds(counts, errors + 1, g))
+        return pd.Series(out)
+
+    chosen = F.pandas_udf(pick, "array<int>")(F.length("seq"), F.col("x.offset"), F.col("x.n"))
+    cells = F.map_from_entries(F.transform("x", lambda e: F.struct(e["offset"], e["cells"])))
+    rows = queries.join(counted, "query_id", "left").withColumn("cell_of", cells).select("query_id", F.col("seq").cast("binary").alias("b"), "cell_of", F.explode(chosen).alias("offset"))
+    return rows.select("query_id", "offset", F.substring("b", F.col("offset") + 1, F.lit(g)).alias("gram"), F.coalesce(F.try_element_at("cell_of", F.col("offset")), F.lit(1)).alias("cells"))
+
+
+def probe_cells(spark: SparkSession, path: str, meta: dict, queries: DataFrame, errors: int, scheme: Scheme | None = None) -> DataFrame:
+    """query_id, offset, cell: what a search for the queries looks up."""
+    if scheme:
+        regions, parts = seed_regions(scheme)
+        seeds = _seeds(queries, regions, parts, (meta["gram_len"],)).select("query_id", "offset", "gram")
+        known = look_up(stored(spark, path, "counts", meta["buckets"]), seeds.select("gram").distinct(), "gram")
+        seeds = seeds.join(known.drop("n"), "gram", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    else:
+        seeds = frequent_seeds(spark, path, meta, queries, errors)
+    numbers = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("number")
+    split = seeds.select("query_id", "offset", "gram", "cells", numbers)
+    return split.select("query_id", "offset", F.when(F.col("cells") > 1, _cell(F.col("gram"), F.col("number"))).otherwise(F.col("gram")).alias("cell"))
+
+
+def buckets_read(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:
+    """cells, buckets, of_buckets: how much of the grams a search for these cells opens."""
+    n = read_meta(spark, path, *KINDS)["buckets"]
+    return cells.select("cell").distinct().agg(F.count(F.lit(1)).alias("cells"), F.count_distinct(F.pmod(F.hash("cell"), F.lit(n))).alias("buckets")).select("cells", F.when(F.col("cells") > LITERALS, n).otherwise(F.col("buckets")).cast("long").alias("buckets"), F.lit(n).cast("long").alias("of_buckets"))
+
+
+def _find(spark: SparkSession, path: str, meta: dict, queries: DataFrame, errors: int, metric: str, scheme: Scheme | None, stages: Stages) -> DataFrame:
+    """All hits of queries that are long enough to have seeds."""
+    probes = stages.stage(probe_cells(spark, path, meta, queries, errors, scheme))
+    shift = errors if metric == "edit" else 0
+    found = look_up(stored(spark, path, "grams", meta["buckets"]), probes, "cell").select("query_id", F.col("seq_id").alias("of"), (F.col("p") - F.col("offset")).alias("place")).filter(F.col("place") >= -shift).distinct()
+    # The part with the place has all starts but those before it, which the part before has.
+    base = lambda at: F.floor(F.greatest(at, F.lit(0).cast("long")) / PART)
+    found = found.select("query_id", "of", "place", F.explode(F.array_distinct(F.array(base(F.col("place") - shift), base(F.col("place"))))).alias("k"))
+    found = stages.stage(found.select("query_id", "of", "place", (F.col("k") * PART).alias("from"), _part(F.col("of"), F.col("k")).alias("part")))
+    near = look_up(stored(spark, path, "parts", meta["buckets"]), found, "part").filter((F.col("seq_id") == F.col("of")) & (F.col("base") == F.col("from")))
+    wide = near.select("query_id", "seq_id", "base", (F.col("place") - F.col("base")).cast("int").alias("at"), F.col("seq").cast("binary").alias("b")).join(queries.select("query_id", "seq"), "query_id")
+    windows = cut_windows(wide, errors, metric)
+    return _verify_windows(windows, errors, metric).groupBy("query_id", "seq_id", "pos").agg(F.min("errors").alias("errors"))
+
+
 def search_index(spark: SparkSession, path: str, queries: DataFrame, errors: int = 0, metric: str = "edit", mode: str = "all", max_hits: int = 0, reverse: bool = True, limit: int | None = None, ignore_unknown: bool = False, scheme: Scheme | None = None) -> DataFrame:
     """Hits of queries (src_id, seq) in a stored index. Uni indexes answer exact searches only; rbi ones take no reverse.
 
-    Seeds, from a scheme that covers all errors or else from errors + 1 parts, are looked up among the stored grams; files
-    and row groups without them are skipped. Queries whose seeds are shorter than the grams are searched in the stored
-    sequences. Hits are the same with any scheme.
+    Seeds are errors + 1 disjoint grams of a query with the fewest stored places, or those of a scheme that covers all
+    errors; only the buckets that hold them are read, and only the parts of sequences with candidates. Best hits are sought
+    by rising errors, each time for the queries that have none yet. Queries shorter than their seeds' grams, and very long
+    ones, are searched in the stored sequences. Hits are the same with any scheme.
     """
+    if metric not in METRICS or mode not in MODES or errors < 0 or max_hits < 0:
+        raise ValueError(f"metric must be of {METRICS}, mode of {MODES}; errors and max_hits must not be negative")
     meta = read_meta(spark, path, *KINDS)
     if meta["kind"] == "uni" and errors:
         raise ValueError("a uni index answers exact searches only")
     if queries.isEmpty():
         raise ValueError("the query collection is empty")
-    refs = spark.read.parquet(f"{path}/sequences")
     collapsed = meta["alphabet"].startswith("dr_")
     ready = prepare(queries.withColumn("src_id", F.col("src_id").cast("long")), meta["alphabet"], ignore_unknown)
     metric = "edit" if collapsed else metric
-    own = limit_queries(expand_strands(ready, reverse and not collapsed), limit)
-    g = meta["gram_len"]
-    regions, parts = seed_regions(scheme) if scheme and errors and usable(scheme, errors) else ([(j, j + 1) for j in range(errors + 1)], errors + 1)
-    long = own.filter(F.length("seq") >= g * parts)
-    probes = _seeds(long, regions, parts, (g,)).select("query_id", "offset", "gram")
-    used = "hamming" if errors == 0 else metric
-    found = _starts(spark.read.parquet(f"{path}/grams").join(probes, "gram"), errors, used).select("query_id", "seq_id", "pos").distinct()
-    # A query has a hit at a place once, with its least errors: candidates are distinct.
-    hits = verify_candidates(found, refs, long, errors, used)
-    rest = own.filter(F.length("seq") < g * parts)
-    if not rest.isEmpty():
-        hits = hits.union(search(refs, rest, errors, metric))
-    return select_hits(hits, mode, max_hits)
+    stages = Stages()
+    own = stages.stage(limit_queries(expand_strands(ready, reverse and not collapsed), limit).select("query_id", "seq"))
+    refs = spark.read.parquet(f"{path}/sequences")
+
+    def find(left: DataFrame, k: int) -> DataFrame:
+        plan = scheme if scheme and k and usable(scheme, k) else None
+        parts = max(len(plan[0].pi) if plan else 0, k + 1)
+        fits = (F.length("seq") >= meta["gram_len"] * parts) & (F.length("seq") + 3 * k <= REACH)
+        used = "hamming" if k == 0 else metric
+        out = []
+        if not (long := left.filter(fits)).isEmpty():
+            out.append(_find(spark, path, meta, long, k, used, plan, stages))
+        if not (rest := left.filter(~fits)).isEmpty():
+            out.append(search(refs, rest, k, used))
+        return reduce(DataFrame.union, out)
+
+    if own.isEmpty():
+        return spark.createDataFrame([], "query_id long, seq_id long, pos long, errors int")
+    hits = by_strata(own, errors, find) if mode == "best" else find(own, errors)
+    return select_hits(hits, "all", max_hits)
 
 
 def gram_counts(refs: DataFrame, g: int) -> DataFrame:

@@ -5,6 +5,8 @@ which meet the references' grams in an equi-join; candidates are verified by dis
 seq_id, pos) with the least errors; reference engines may report an edit hit more than once or leave out starts that begin
 with a gap.
 
+Best hits are sought by rising errors: candidates of queries that have a hit already are not verified with more.
+
 Two plans give the same hits. If the seeds are small by count (`BROADCAST_SEEDS`), they are broadcast, and references
 stream past them: nothing of the references is shuffled, and candidates are verified where the sequence is at hand. If not,
 narrow gram rows (gram, seq_id, pos) and seeds are shuffled by gram, and sequences join the candidates last.
@@ -12,6 +14,7 @@ narrow gram rows (gram, seq_id, pos) and seeds are shuffled by gram, and sequenc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -21,6 +24,8 @@ from ..functions.alphabet import normalise, replace_unknown, require_valid, reve
 from ..functions.distance import edit, hamming
 from ..plans.planner import seed_regions
 from ..plans.schemes import Scheme
+from ..shared import Stages
+from .align import alignments, least_errors
 
 #: Gram lengths: a query takes the longest that its seeds reach. Few lengths mean few passes over the references.
 GRAMS = (1, 2, 4, 8, 12, 16, 20, 24, 32)
@@ -102,16 +107,6 @@ def chunked(refs: DataFrame, overlap: int) -> DataFrame:
     return rows.select("seq_id", F.col("base").cast("long").alias("base"), piece.alias("seq"))
 
 
-def _starts(joined: DataFrame, errors: int, metric: str) -> DataFrame:
-    """Candidate starts: the seed's place less its offset, within `errors` for edit distance."""
-    at = F.col("p") - F.col("offset")
-    if metric == "hamming":
-        # A generator keeps the comparison of letters, which has no generated code, out of the join's condition: there it would
-        # have all grams joined row by row.
-        return joined.withColumn("pos", F.explode(F.array(at)) if errors else at)
-    return joined.withColumn("pos", F.explode(F.sequence(at - errors, at + errors)))
-
-
 def _verify(candidates: DataFrame, errors: int, metric: str) -> DataFrame:
     """Hits among candidates (query_id, seq, seq_id, pos, b, and base where b is a chunk that begins there)."""
     base = F.col("base") if "base" in candidates.columns else F.lit(0)
@@ -129,13 +124,46 @@ def _verify(candidates: DataFrame, errors: int, metric: str) -> DataFrame:
     return hits.filter(F.col("errors") <= errors).withColumnRenamed("place", "pos")
 
 
-def _by_grams(refs: DataFrame, own: DataFrame, g: int, errors: int, metric: str, small: bool) -> DataFrame:
+def _windows(refs: DataFrame, own: DataFrame, g: int, errors: int, metric: str, small: bool) -> DataFrame:
+    """query_id, seq, seq_id, base, at, b: for each seed's place, letters b of the sequence from `base` on, in which the query would start at `at`.
+
+    For edit distance the letters reach far enough for all starts and ends within `errors`.
+    """
     own = own.filter(F.col("g") == g)
     if small:
-        joined = grams(refs, g, keep_seq=True).join(F.broadcast(own), "gram")
-        return _verify(_starts(joined, errors, metric), errors, metric)
-    joined = grams(refs, g).join(own.select("gram", "query_id", "offset"), "gram")
-    return verify_candidates(_starts(joined, errors, metric).select("query_id", "seq_id", "base", "pos").distinct(), refs, own.select("query_id", "seq").distinct(), errors, metric)
+        near = grams(refs, g, keep_seq=True).join(F.broadcast(own), "gram").withColumn("at", F.col("p") - F.col("offset"))
+    else:
+        narrow = grams(refs, g).join(own.select("gram", "query_id", "offset"), "gram").select("query_id", "seq_id", "base", (F.col("p") - F.col("offset")).alias("at")).distinct()
+        near = narrow.join(own.select("query_id", "seq").distinct(), "query_id").join(refs.select("seq_id", "base", F.col("seq").cast("binary").alias("b")), ["seq_id", "base"])
+    return cut_windows(near, errors, metric)
+
+
+def cut_windows(near: DataFrame, errors: int, metric: str) -> DataFrame:
+    """Of (query_id, seq, seq_id, base, at, b), only the letters that matter; rows that can't be hits go."""
+    shift = errors if metric == "edit" else 0
+    m, at = F.length("seq"), F.col("at")
+    first = F.greatest(at - shift, F.lit(0))
+    whole = near.filter((at >= 0) & (at + m <= F.length("b"))) if metric == "hamming" else near.filter(at + shift >= 0)
+    cut = F.substring("b", first + 1, at + m + 2 * shift - first)
+    return whole.select("query_id", "seq", "seq_id", (F.col("base") + first).cast("long").alias("base"), (at - first).cast("int").alias("at"), cut.alias("b"))
+
+
+def _verify_windows(windows: DataFrame, errors: int, metric: str) -> DataFrame:
+    if metric == "edit" and errors:
+        return least_errors(windows, errors)
+    return _verify(windows.withColumn("pos", F.explode(F.array("at")) if errors else F.col("at")), errors, "hamming")
+
+
+def by_strata(queries: DataFrame, errors: int, find: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Best hits: find(queries, k) gives all hits of queries with up to k errors; it is asked for k = 0, 1, ... and the queries without a hit so far."""
+    stages, left, out = Stages(), queries, []
+    for k in range(errors + 1):
+        out.append(stages.stage(find(left, k)))
+        if k < errors:
+            left = stages.stage(left.join(out[-1].select("query_id").distinct(), "query_id", "left_anti"))
+            if left.isEmpty():
+                break
+    return reduce(DataFrame.union, out)
 
 
 def verify_candidates(starts: DataFrame, refs: DataFrame, queries: DataFrame, errors: int, metric: str) -> DataFrame:
@@ -180,16 +208,37 @@ def search(refs: DataFrame, queries: DataFrame, errors: int = 0, metric: str = "
     longest = queries.agg(F.max(F.length("seq"))).first()[0] or 0
     refs = chunked(refs, longest + errors)
     small = own.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS if broadcast is None else broadcast
-    parts = [_by_grams(refs, own, g, errors, metric, small) for g in lengths]
     short = _short(refs, queries, errors, metric) if errors else None
-    parts += [short] if short is not None else []
-    if not parts:
+    least = lambda parts: reduce(DataFrame.union, parts).groupBy("query_id", "seq_id", "pos").agg(F.min("errors").alias("errors"))
+    parts = [_windows(refs, own, g, errors, metric, small) for g in lengths]
+    if parts and mode == "best" and errors:
+        windows = Stages().stage(reduce(DataFrame.union, parts))
+        asked = windows.select("query_id").distinct()
+        found = [by_strata(asked, errors, lambda left, k: least([_verify_windows(windows.join(left.select("query_id"), "query_id", "left_semi"), k, metric)]))]
+    else:
+        found = [_verify_windows(w, errors, metric) for w in parts]
+    found += [short] if short is not None else []
+    if not found:
         hits = refs.sparkSession.createDataFrame([], "query_id long, seq_id long, pos long, errors int")
     else:
-        hits = reduce(DataFrame.union, parts).groupBy("query_id", "seq_id", "pos").agg(F.min("errors").alias("errors"))
+        hits = least(found)
     return select_hits(hits, mode, max_hits)
 
 
+def search_alignments(refs: DataFrame, queries: DataFrame, errors: int) -> DataFrame:
+    """query_id, seq_id, pos, end, errors, transcript: every start and end of a reference that a query fits with at most `errors` edits.
+
+    Queries must have more letters than `errors`; shorter ones, which fit nearly everywhere, have no rows.
+    """
+    own = seeds(queries.filter(F.length("seq") > errors), errors)
+    lengths = sorted(r.g for r in own.select("g").distinct().collect())
+    if not lengths:
+        return refs.sparkSession.createDataFrame([], "query_id long, seq_id long, pos long, end long, errors int, transcript string")
+    refs = chunked(refs, (queries.agg(F.max(F.length("seq"))).first()[0] or 0) + 2 * errors)
+    small = own.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
+    return alignments(reduce(DataFrame.union, [_windows(refs, own, g, errors, "edit", small) for g in lengths]), errors)
+
+
 def select_hits(hits: DataFrame, mode: str = "all", max_hits: int = 0) -> DataFrame:
     """Best stratum, then top n. A minimum per query joined back, so that no window gathers all hits of a query."""
     if mode == "best":

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .functions.alphabet import collapse, first_invalid, is_valid, replace_unknown, reverse_complement
 from .functions.kmers import canonical, kmers, minimizers, mod_mers
 from .operators import kmer as km
-from .operators.index import build_index, gram_counts, search_index, statistics
-from .operators.search import expand_strands, grams, hits_per_query, limit_queries, search, search_collapsed, search_exact, seeds, select_hits, strand_counts
+from .operators.index import COMMON, MAX_GRAM, MIN_GRAM, build_index, frequent_seeds, gram_counts, look_up, search_index, statistics, stored
+from .operators.search import expand_strands, grams, hits_per_query, limit_queries, search, search_alignments, search_collapsed, search_exact, seeds, select_hits, strand_counts
 from .operators.simulate import simulate_reads
 from .operators.suffix import CHUNK, concat_text, reverse_chunks, suffix_array, text_chunks
 from .plans import schemes
@@ -105,6 +105,27 @@ def edit_search_k2(spark, sf):
     return search(references(spark, sf), one_strand(spark, sf), 2, "edit")
 
 
+def edit_alignments(spark, sf):
+    """Every start and end of every hit, with what its transcript says of letters of the query and the reference, and of errors."""
+    found = search_alignments(references(spark, sf), one_strand(spark, sf), 1)
+    letters = lambda ops: F.aggregate(F.transform(F.regexp_extract_all("transcript", F.lit(f"(\\d+)[{ops}]")), lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("query_id", "seq_id", "pos", F.col("end").alias("stop"), "errors", letters("=XI").alias("query_letters"), letters("=XD").alias("reference_letters"), letters("XID").alias("cost"))
+
+
+def indexed_best_hits(spark, sf):
+    return search_index(spark, _stored(spark, sf, "dna5", "bi"), probes(spark, sf), 2, "edit", "best", reverse=False)
+
+
+def index_seeds(spark, sf):
+    """Of each query, how many seeds a search with one error looks up, and how often the index says that they stand (uncommon grams count once)."""
+    path = _stored(spark, sf, "dna5", "bi")
+    meta = read_meta(spark, path)
+    own = one_strand(spark, sf).filter(F.length("seq") >= 2 * meta["gram_len"]).select("query_id", "seq")
+    chosen = stage(frequent_seeds(spark, path, meta, own, 1))
+    counts = look_up(stored(spark, path, "counts", meta["buckets"]), chosen.select("gram").distinct(), "gram").select("gram", "n")
+    return chosen.join(counts, "gram", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("seeds"), F.sum(F.coalesce("n", F.lit(1))).cast("long").alias("cost"))
+
+
 def best_hits(spark, sf):
     return search(references(spark, sf), one_strand(spark, sf), 2, "edit", "best")
 
@@ -332,6 +353,7 @@ def queries() -> dict:
         "reverse_complement": _digest(reverse_complement), "collapse_dr4": _digest(lambda s: collapse(s, "dr_dna4")), "collapse_dr5": _digest(lambda s: collapse(s, "dr_dna5")),
         "strand_expand": strand_expand, "strand_count": strand_count, "limit_queries": limited_queries, "gram_index": gram_index,
         "exact_search": exact_search, "exact_search_both_strands": exact_search_both_strands, "hamming_search_k2": hamming_search_k2, "edit_search_k2": edit_search_k2,
+        "edit_alignments": edit_alignments, "indexed_best_hits": indexed_best_hits, "index_seeds": index_seeds,
         "best_hits": best_hits, "top_n_hits": top_n_hits, "best_n_hits": best_n_hits, "hits_per_query": query_hits, "collapsed_search": collapsed_search,
         "seed_candidates": seed_candidates, "hit_lines": hit_text, "fasta_format": fasta_format, "kmer_counts": kmer_counts, "canonical_kmers": canonical_kmers,
         "mod_mers": mod_mer_counts, "minimizers": minimizer_rows, "kmer_dictionary": kmer_dictionary, "kmer_admission": kmer_admission,
@@ -513,6 +535,8 @@ def oracle_sql() -> dict[str, str]:
         "exact_search_both_strands": f"{_BASE}{_STRANDS}{_exact('b')}",
         "hamming_search_k2": f"{_BASE}{_HAMMING} SELECT * FROM h2",
         "edit_search_k2": f"{_BASE}{_edit(2)} SELECT * FROM h",
+        "edit_alignments": f"{_BASE}{_edit(1)} SELECT DISTINCT query_id, seq_id, pos, pos + length(t) AS stop, levenshtein(q, t)::INT AS errors, length(q)::BIGINT AS query_letters, length(t)::BIGINT AS reference_letters, levenshtein(q, t)::BIGINT AS cost FROM (SELECT *, substr(seq, pos + 1, n) AS t FROM n) WHERE t <> '' AND levenshtein(q, t) <= 1",
+        "index_seeds": f"{_BASE}{_PLACES}, g AS (SELECT coalesce(min(n), {MAX_GRAM}) AS g FROM range({MIN_GRAM}, {MAX_GRAM}) t(n) WHERE 4::HUGEINT ** n >= (SELECT sum(length(seq)) FROM r)), c AS (SELECT substr(seq, pos + 1, g) AS gram, count(*) AS n FROM w, g WHERE pos + g <= length(seq) GROUP BY 1 HAVING count(*) >= {COMMON}), e AS (SELECT query_id, i, g, coalesce(n, 1) AS cost FROM (SELECT query_id, g, i, substr(seq, i + 1, g) AS gram FROM (SELECT *, unnest(range(0, length(seq) - g + 1)) AS i FROM q, g WHERE length(seq) >= 2 * g)) LEFT JOIN c USING (gram)) SELECT a.query_id, 2::BIGINT AS seeds, min(a.cost + b.cost)::BIGINT AS cost FROM e a JOIN e b ON a.query_id = b.query_id AND b.i >= a.i + a.g GROUP BY 1",
         "best_hits": f"{_BASE}{_edit(2)} SELECT query_id, seq_id, pos, errors FROM (SELECT *, min(errors) OVER (PARTITION BY query_id) AS low FROM h) WHERE errors = low",
         "top_n_hits": f"{_BASE}{_edit(2)} SELECT query_id, seq_id, pos, errors FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY errors, seq_id, pos) AS k FROM h) WHERE k <= 3",
         "best_n_hits": f"{_BASE}{_edit(2)} SELECT query_id, seq_id, pos, errors FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY errors, seq_id, pos) AS k FROM h) WHERE k <= 1",
@@ -536,4 +560,4 @@ def oracle_sql() -> dict[str, str]:
         "scheme_checks": _scheme_sql(),
         "simulated_reads_invariants": "SELECT 500::BIGINT AS n, 500::BIGINT AS right_length, 500::BIGINT AS right_transcript",
     }
-    return out | {"kmer_index_search": out["kmer_search"]}
+    return out | {"kmer_index_search": out["kmer_search"], "indexed_best_hits": out["best_hits"]}
