@@ -111,14 +111,19 @@ def build_index(refs: DataFrame, path: str, alphabet: str = "dna5", kind: str |
     gram_len = gram_len or gram_length(facts.total_size, alphabet)
     buckets = bucket_count(facts.total_size)
     places = grams(ready, gram_len).select("gram", "seq_id", F.col("p").cast("long").alias("p"))
-    counts = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON).withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
-    _write_buckets(counts, path, "counts", buckets)
-    # Few grams have more than one cell: at most one in CELL places.
-    hot = stored(spark, path, "counts", buckets).filter("cells > 1").select("gram", "cells")
-    if not hot.isEmpty():
-        number = F.pmod(F.xxhash64("seq_id", "p"), F.col("cells"))
-        places = places.join(hot, "gram", "left").withColumn("gram", F.when(F.col("cells") > 1, _cell(F.col("gram"), number)).otherwise(F.col("gram")))
-    _write_buckets(places.select(F.col("gram").alias("cell"), "seq_id", "p"), path, "grams", buckets)
+    cells = places.withColumn("cells", F.lit(1))
+    # A gram with more than one cell has a beginning with as many places, and there are few beginnings to count.
+    begin = F.substring("gram", 1, MIN_GRAM)
+    full = places.groupBy(begin.alias("begin")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL).select("begin")
+    if facts.total_size > CELL and not full.isEmpty():
+        hot = places.join(F.broadcast(full), begin == F.col("begin"), "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+        cells = places.join(hot.select("gram", F.ceil(F.col("n") / CELL).cast("int").alias("cells")), "gram", "left")
+    number = F.pmod(F.xxhash64("seq_id", "p"), F.col("cells"))
+    _write_buckets(cells.select(F.when(F.col("cells") > 1, _cell(F.col("gram"), number)).otherwise(F.col("gram")).alias("cell"), "seq_id", "p"), path, "grams", buckets)
+    # Cells are counted where they lie; only those of hot grams are added up.
+    lying = stored(spark, path, "grams", buckets).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= COMMON) | (F.length("cell") > gram_len))
+    counts = lying.groupBy(F.substring("cell", 1, gram_len).alias("gram")).agg(F.sum("n").alias("n"))
+    _write_buckets(counts.withColumn("cells", F.when(F.col("n") > CELL, F.ceil(F.col("n") / CELL)).otherwise(1).cast("int")), path, "counts", buckets)
     starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(PART))
     cut = ready.select("seq_id", F.col("seq").cast("binary").alias("b"), F.posexplode(starts).alias("k", "base"))
     parts = cut.select(_part(F.col("seq_id"), F.col("k")).alias("part"), "seq_id", F.col("base").cast("long").alias("base"), F.substring("b", F.col("base") + 1, F.lit(PART + REACH)).cast("string").alias("seq"))

@@ -27,8 +27,9 @@ from ..plans.schemes import Scheme
 from ..shared import Stages
 from .align import alignments, least_errors
 
-#: Gram lengths: a query takes the longest that its seeds reach. Few lengths mean few passes over the references.
-GRAMS = (1, 2, 4, 8, 12, 16, 20, 24, 32)
+#: Gram lengths: a query takes the longest that its seeds reach. Few lengths mean few passes over the references, so those
+#: that are selective enough are cut to the shortest of them.
+GRAMS, SELECTIVE = (1, 2, 4, 8, 12, 16, 20, 24, 32), 16
 BROADCAST_SEEDS = 50_000
 #: Longer sequences are cut into chunks of this many letters, which overlap by the longest query and the errors.
 CHUNK = 1_000_000
@@ -92,6 +93,15 @@ def _seeds(queries: DataFrame, regions: list[tuple[int, int]], parts: int, lengt
     return queries.select("query_id", "seq", F.explode(each).alias("x")).select("query_id", "seq", "x.g", "x.offset", "x.gram").filter("g > 0")
 
 
+def _one_pass(own: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Seeds with their selective lengths made one, and the lengths that are left."""
+    lengths = sorted(r.g for r in own.select("g").distinct().collect())
+    shortest = min((g for g in lengths if g >= SELECTIVE), default=0)
+    long = F.col("g") > shortest if shortest else F.lit(False)
+    own = own.withColumn("gram", F.when(long, F.substring("gram", 1, shortest or 1)).otherwise(F.col("gram"))).withColumn("g", F.when(long, shortest).otherwise(F.col("g")))
+    return own, [g for g in lengths if g <= shortest or not shortest]
+
+
 def grams(refs: DataFrame, g: int, keep_seq: bool = False) -> DataFrame:
     """gram, seq_id, p (and the sequence) of every place; slices are taken from bytes."""
     more = ["base"] if "base" in refs.columns else []
@@ -203,8 +213,7 @@ def search(refs: DataFrame, queries: DataFrame, errors: int = 0, metric: str = "
     if metric not in METRICS or mode not in MODES or errors < 0 or max_hits < 0:
         raise ValueError(f"metric must be of {METRICS}, mode of {MODES}; errors and max_hits must not be negative")
     metric = "hamming" if errors == 0 else metric
-    own = seeds(queries, errors, scheme)
-    lengths = sorted(r.g for r in own.select("g").distinct().collect())
+    own, lengths = _one_pass(seeds(queries, errors, scheme))
     longest = queries.agg(F.max(F.length("seq"))).first()[0] or 0
     refs = chunked(refs, longest + errors)
     small = own.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS if broadcast is None else broadcast
@@ -230,8 +239,7 @@ def search_alignments(refs: DataFrame, queries: DataFrame, errors: int) -> DataF
 
     Queries must have more letters than `errors`; shorter ones, which fit nearly everywhere, have no rows.
     """
-    own = seeds(queries.filter(F.length("seq") > errors), errors)
-    lengths = sorted(r.g for r in own.select("g").distinct().collect())
+    own, lengths = _one_pass(seeds(queries.filter(F.length("seq") > errors), errors))
     if not lengths:
         return refs.sparkSession.createDataFrame([], "query_id long, seq_id long, pos long, end long, errors int, transcript string")
     refs = chunked(refs, (queries.agg(F.max(F.length("seq"))).first()[0] or 0) + 2 * errors)
