@@ -26,6 +26,30 @@ MAX_OWNERS, MAX_REPOS = 2, 2
 BROADCAST_ROWS = 400_000
 #: Distinct characters that a live-looking value has at least.
 MIN_DISTINCT = 10
+#: Matches of a text whose places are summed up together.
+BLOCK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: what a lambda takes from outside it would be evaluated for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, plus, zero: Column) -> Column:
+    """array<bigint>: for each of values, those before it taken together by plus, which is associative.
+
+    An array grows by copying, so one of n places would cost n squared: blocks of BLOCK values grow for themselves, from what
+    the blocks before them come to.
+    """
+
+    def grow(items: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(items, start, lambda acc, x: F.struct(plus(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    last = lambda v: F.floor((F.size(v) - 1) / BLOCK).cast("int")
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(last(v), F.lit(0))), lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
+    firsts = lambda blocks: grow(F.transform(blocks, lambda v: F.aggregate(v, zero, plus)), zero)
+    return _let(values, lambda v: _let(cut(v), lambda blocks: F.flatten(F.zip_with(blocks, firsts(blocks), grow))))
 
 
 def _spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -36,17 +60,28 @@ def _spans(text: Column, pattern: str, group: int = 0) -> Column:
     parts = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.arrays_zip(parts.alias("gap"), found.alias("hit"), value.alias("value"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"))
+    zero = F.lit(0).cast("long")
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        stop = begin + F.length(x["hit"])
-        row = F.struct(begin.alias("start"), stop.alias("end"), x["value"].alias("value"))
-        return F.struct(F.coalesce(stop, begin).alias("at"), F.when(x["hit"].isNotNull(), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+    def placed(steps: Column) -> Column:
+        widths = F.transform(steps, lambda x: (F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("long"))
+        row = lambda x, at: F.struct((at + F.length(x["gap"])).alias("start"), (at + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["value"].alias("value"))
+        return F.filter(F.zip_with(steps, _before(widths, lambda a, b: a + b, zero), row), lambda s: s["end"].isNotNull())
 
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(steps, zero, step)["out"]).otherwise(empty)
+    return F.when(text.rlike(pattern), _let(F.arrays_zip(parts.alias("gap"), found.alias("hit"), value.alias("value")), placed)).otherwise(empty)
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """Those of spans that overlap none of base: by rising place, no base span that begins before their end ends after their start."""
+    ends = F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("side"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    starts = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("side"), b["start"].alias("start"), b["end"].alias("end"), F.lit(None).cast("string").alias("value")))
+
+    def pick(events: Column) -> Column:
+        reach = _before(F.transform(events, lambda e: e["side"] * e["end"]), lambda a, b: F.greatest(a, b), F.lit(0).cast("long"))
+        kept = F.filter(F.zip_with(events, reach, lambda e, r: F.struct(e.alias("e"), r.alias("r"))), lambda x: (x["e"]["side"] == 0) & (x["r"] <= x["e"]["start"]))
+        return F.transform(kept, lambda x: F.struct(x["e"]["start"].alias("start"), x["e"]["end"].alias("end"), x["e"]["value"].alias("value")))
+
+    return F.when(F.size(spans) == 0, spans).otherwise(_let(F.array_sort(F.concat(ends, starts)), pick))
 
 
 def _digest(spans: Column) -> Column:
@@ -84,7 +119,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.filter(_spans(text, OPAQUE), lambda s: looks_live(s["value"])).alias("opaque"),
     )
     found = found.withColumn("base", F.concat(_keyed(F.col("assign"), 0), _keyed(F.col("access"), 1), _keyed(F.col("hex"), 2)))
-    found = found.withColumn("opaque", F.filter("opaque", lambda o: ~F.exists(F.col("base"), lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"]))))
+    found = found.withColumn("opaque", _apart(F.col("opaque"), F.col("base")))
     hashed = lambda c, k: F.transform(F.col(c), lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), F.sha2(s["value"].cast("binary"), 256).alias("hash"), looks_live(s["value"]).alias("live")))
     narrow = stage(
         found.select(

@@ -151,3 +151,31 @@ def test_empty(spark):
     none = frame(spark, ["a"]).limit(0)
     for f in (scan_secrets, judge_quality, scan_licenses):
         assert f(none).count() == 0
+
+
+def test_secrets_of_texts_with_very_many_matches(spark):
+    import random
+    import re
+    import time
+
+    from pyspark.sql import functions as F
+
+    from strandlake.llm.secrets import HEX, KINDS, OPAQUE, _apart, _spans, looks_live, scan_secrets
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["%016x" % rng.getrandbits(64), "token = %024x" % rng.getrandbits(96), "Zq%dxY/" % rng.getrandbits(90), "wörd"])
+    texts = ["\n".join(word() for _ in range(n)) for n in (0, 1, 127, 128, 129, 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base, opaque = _spans(F.col("text"), HEX), F.filter(_spans(F.col("text"), OPAQUE), lambda s: looks_live(s["value"]))
+    for r in df.select("text", base.alias("hex"), opaque.alias("opaque"), _apart(opaque, base).alias("apart")).collect():
+        assert [(s.start, s.end, s.value) for s in r.hex] == [(m.start(), m.end(), m[0]) for m in re.finditer(HEX, r.text)]
+        assert r.apart == [o for o in r.opaque if not any(b.start < o.end and o.start < b.end for b in r.hex)]
+    seconds = []
+    for n in (100, 25_000, 100_000):
+        text = " ".join("%032x" % rng.getrandbits(128) for _ in range(n))
+        began = time.perf_counter()
+        got = scan_secrets(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()
+        seconds.append(time.perf_counter() - began)
+        assert got.n_hex == n and got.n_owned + got.n_copied <= 2 * n and got.spans.count(",") == n - 1 and len(KINDS) == 4
+    assert seconds[2] < 6 * seconds[1], seconds
+    print(seconds)
