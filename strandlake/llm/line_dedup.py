@@ -18,9 +18,6 @@ from pyspark.sql.types import StructType
 from .common import U64, PrefixHash, Stages, broadcast_if, code_points, mix64, pick_id_text, stage, text_slices, tidy
 
 MAX_EDITS = 1
-#: The bound is relative: one edit in this many symbols. In shorter lines one edit makes another word or number, so no edit is
-#: allowed, and they must be equal (44 of 404,191 distinct lines of the check's 0.1 GB table are shorter).
-MIN_FUZZY = 8
 #: Rows of narrow tables (keys, line hashes, places) that may be broadcast, by count; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 LAST = (1 << 63) - 1
@@ -132,7 +129,7 @@ def _variants(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((whole, shorter, placed)).view(np.int64)), pa.array(kind), get("doc_id"), get("line"), get("h1")], names=["key", "kind", "doc_id", "line", "h1"])
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_fuzzy: int = MIN_FUZZY) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (hash of the text), line, near: lines that repeat an earlier line, by their first place in the document.
 
     Repeats inside a document aren't listed: removing them needs that document alone.
@@ -144,23 +141,38 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = [F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line")]
     distinct = work.stage(occurrences.groupBy("h1", "h2").agg(*places, *firsts))
     tidy(spark)
-    keys = distinct.filter(F.col("n") >= min_fuzzy).select("h1", "n", "head", "tail", "other").mapInArrow(_half_keys, "key long, h1 long")
+    keys = distinct.select("h1", "n", "head", "tail", "other").mapInArrow(_half_keys, "key long, h1 long")
     shared = work.stage(keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key"))
     maybe = work.stage(keys.join(broadcast_if(shared, BROADCAST_ROWS), "key", "left_semi").select("h1").distinct())
     tidy(spark)
-    wanted = work.stage(distinct.join(broadcast_if(maybe, BROADCAST_ROWS), "h1", "left_semi").filter(F.col("n") >= min_fuzzy).groupBy("doc_id").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted")))
+    wanted = work.stage(distinct.join(broadcast_if(maybe, BROADCAST_ROWS), "h1", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted")))
     pick = F.broadcast(wanted) if maybe.count() <= BROADCAST_ROWS else wanted
     lines = work.stage(base.select("doc_id", "text").join(pick, "doc_id").mapInArrow(_pick_lines, "doc_id long, line int, h1 long, h2 int, text string").dropDuplicates(["h1", "h2"]))
     near = _verified(lines, work)
     tidy(spark)
     several = distinct.select("h1", "h2", "n_docs", F.col("doc_id").alias("d0")).join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    several = work.stage(several.select("h1", "h2", "d0", F.coalesce("near", F.lit(False)).alias("near"), "n_docs").filter("near or n_docs > 1").drop("n_docs"))
-    repeats = occurrences.select("h1", "h2", "doc_id", "th", "line").join(broadcast_if(several, BROADCAST_ROWS), ["h1", "h2"]).filter("near or doc_id <> d0")
+    several = work.stage(several.select("h1", "h2", "d0", F.coalesce("near", F.lit(False)).alias("near"), "n_docs").filter("near or n_docs > 1"))
+    repeats = _places(occurrences.select("h1", "h2", "doc_id", "th", "line"), several).filter("near or doc_id <> d0")
     out = stage(repeats.select("doc_id", "th", "line", (F.col("doc_id") == F.col("d0")).alias("near")))
     work.drop()
     return out
 
 
+def _places(occurrences: DataFrame, several: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """occurrences with the row of several for their line, whichever lines a third of all documents may share.
+
+    Up to limit lines are broadcast. Of more, those in more than a limit-th of all rows are at most limit lines, so they are
+    broadcast, and their occurrences stay where they are; the others are shuffled, and none of them has more rows than that.
+    """
+    keys, lines = ["h1", "h2"], several.drop("n_docs")
+    if several.count() <= limit:
+        return occurrences.join(F.broadcast(lines), keys)
+    common = F.col("n_docs") > occurrences.count() // limit
+    hot = several.filter(common).drop("n_docs")
+    rest = occurrences.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(several.filter(~common).drop("n_docs"), keys)
+    return occurrences.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def _verified(lines: DataFrame, work: Stages) -> DataFrame:
     """h1, h2 of lines whose edit distance to the earlier line they are linked to is within the bound."""
     links = work.stage(_links(lines, work))
@@ -185,16 +197,16 @@ def _links(lines: DataFrame, work: Stages) -> DataFrame:
     return earlier.groupBy("h1").agg(F.min("rival").alias("r")).select("h1", F.col("r.h1").alias("first"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_fuzzy: int = MIN_FUZZY) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the text rewritten, plus n_lines, n_removed and n_near.
 
-    A line with a word goes if an earlier line (by doc_id, then place) of any document is equal to it, or within one edit of
-    it and both have min_fuzzy symbols; lines are judged on the input, not on what is left. Blank lines stay. Null texts stay
+    A line with a word, however short, goes if an earlier line (by doc_id, then place) of any document is equal to it or within
+    one edit of it; lines are judged on the input, not on what is left. Blank lines stay. Null texts stay
     null, empty texts empty; null doc_ids come last; rows with the same doc_id and line are both first, so neither repeats
     the other; texts and lines are whole however long. Other columns of docs stay as they are, but for columns of docs named
     n_lines, n_removed or n_near, in whose place the counts stand. An empty table gives no rows.
     """
-    repeats = find_repeats(docs, id_col, text_col, min_fuzzy)
+    repeats = find_repeats(docs, id_col, text_col)
     lists = repeats.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("line", "near")).alias("__gone"))
     joined = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
     same = (F.col("__key") == F.col("__doc")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__th"))

@@ -242,7 +242,7 @@ def test_decontamination_words_end_at_unicode_marks():
     assert [(r, i, s) for r, i, s, *_ in index.search(pa.array(docs))] == [(0, 7, 1.0), (1, 7, 1.0), (2, 7, 1.0)]
 
 
-def brute_lines(rows, min_fuzzy=8):
+def brute_lines(rows):
     occ = []
     for doc, t in rows:
         for i, line in enumerate((t or "").split("\n")):
@@ -269,10 +269,9 @@ def brute_lines(rows, min_fuzzy=8):
         by_n.setdefault(len(line), []).append(line)
     near = set()
     for line in first:
-        if len(line) >= min_fuzzy:
-            for n in (len(line) - 1, len(line), len(line) + 1):
-                if n >= min_fuzzy and any(first[x] < first[line] and within(x, line) for x in by_n.get(n, ())):
-                    near.add(line)
+        for n in (len(line) - 1, len(line), len(line) + 1):
+            if any(first[x] < first[line] and within(x, line) for x in by_n.get(n, ())):
+                near.add(line)
     out = []
     for doc, t in rows:
         d, kept, seen = doc if doc is not None else 2**63, [], set()
@@ -305,6 +304,32 @@ def test_lines(spark, docs):
     assert any(r.n_near for r in got)
 
 
+def test_short_lines(spark):
+    from strandlake.llm.line_dedup import dedup_lines
+
+    rng = random.Random(12)
+    rows = [(1, "Sign up\nwarning\n}"), (2, "Sign up!\nwarnings\nab"), (3, "{\n \nabc\nb"), (4, "é\nabcd"), (5, None), (6, "")]
+    rows += [(10 + i, "\n".join("".join(rng.choice("abé ") for _ in range(rng.randint(0, 6))) for _ in range(5))) for i in range(40)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, sha((r.text or "").encode())) for r in got) == brute_lines(rows)
+    assert {r.doc_id: r.text for r in got}[2] == "ab"
+
+
+def test_lines_that_most_documents_share(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.llm.line_dedup import _places
+
+    rows = [(h, h, d) for h in range(30) for d in range(200 if h in (4, 9) else 1 + h % 5)]
+    occ = spark.createDataFrame(rows, "h1 long, h2 int, doc_id long")
+    several = occ.groupBy("h1", "h2").agg(F.min("doc_id").alias("d0"), F.count(F.lit(1)).alias("n_docs")).filter("n_docs > 1")
+    want = Counter((h, d) for h, _, d in rows if h in (4, 9) or h % 5)
+    for limit in (100, 24, 10, 3):
+        split = _places(occ, several, limit)
+        assert Counter((r.h1, r.doc_id) for r in split.collect()) == want
+    assert "BroadcastHashJoin" in split._jdf.queryExecution().toString()
+
+
 def test_lines_odd(spark):
     from strandlake.llm.line_dedup import dedup_lines
 
