@@ -83,13 +83,17 @@ SELECT doc_id, item_id, sim::DOUBLE AS similarity, (s - 1)::BIGINT AS first_word
 
 
 def line_dedup() -> str:
+    # levenshtein counts bytes here, and a symbol has up to four: it leaves the pairs of which some place is tried by symbols.
+    gone = lambda x: f"substr({x}, 1, i - 1) || substr({x}, i + 1)"
+    tried = f"CASE WHEN length(a.l) = length(b.l) THEN {gone('a.l')} = {gone('b.l')} WHEN length(a.l) > length(b.l) THEN {gone('a.l')} = b.l ELSE a.l = {gone('b.l')} END"
+    one = f"CASE WHEN levenshtein(a.l, b.l) <= 4 AND abs(length(a.l) - length(b.l)) <= 1 THEN len(list_filter(range(1, greatest(length(a.l), length(b.l)) + 1), lambda i: {tried})) > 0 ELSE false END"
     keys = "SELECT l, d0, l0, {n} AS n, 1 AS side, substr(l, 1, ({n}) // 2) AS h FROM q UNION ALL SELECT l, d0, l0, {n}, 2, right(l, ({n}) - ({n}) // 2) FROM q"
     return f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 o AS (SELECT rid, doc_id, i, ls[i] AS l, regexp_matches(ls[i], '[^\\x20\\x09-\\x0D]') AS seen FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM t)),
 u AS (SELECT l, min({{'d': doc_id, 'i': i}}) AS f FROM o WHERE seen GROUP BY 1),
 q AS (SELECT l, f.d AS d0, f.i AS l0 FROM u),
 k AS ({keys.format(n='length(l)')} UNION ALL {keys.format(n='length(l) - 1')}),
-near AS (SELECT DISTINCT a.l FROM k a JOIN k b ON a.n = b.n AND a.side = b.side AND a.h = b.h AND a.l <> b.l AND (b.d0 < a.d0 OR (b.d0 = a.d0 AND b.l0 < a.l0)) WHERE levenshtein(a.l, b.l) <= 1),
+near AS (SELECT DISTINCT a.l FROM k a JOIN k b ON a.n = b.n AND a.side = b.side AND a.h = b.h AND a.l <> b.l AND (b.d0 < a.d0 OR (b.d0 = a.d0 AND b.l0 < a.l0)) WHERE {one}),
 x AS (SELECT o.*, near.l IS NOT NULL AS near, u.f.d AS d0, row_number() OVER (PARTITION BY rid, o.l ORDER BY o.i) AS nth FROM o LEFT JOIN u ON u.l = o.l LEFT JOIN near ON near.l = o.l),
 y AS (SELECT *, seen AND (near OR d0 <> doc_id OR nth > 1) AS gone FROM x)
 SELECT doc_id, count(*) FILTER (WHERE seen)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_removed, count(*) FILTER (WHERE gone AND near AND d0 = doc_id)::BIGINT AS n_near, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM y GROUP BY rid, doc_id"""
