@@ -50,42 +50,44 @@ def _least_in_window(h: np.ndarray, width: int) -> np.ndarray:
 class Cells:
     """Cells of all documents of a block: anchor hash and place, first and last window, document, and content hash."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, docs: np.ndarray, min_len: int):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, docs: np.ndarray, min_len: int, slice_bytes: int = SLICE_BYTES):
         self.raw, self.off, self.docs, self.min_len = raw, off, docs, min_len
-        parts, i = [], 0
-        while i < len(docs):
-            j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, side="right")) - 1)
-            parts.append(self._slice(i, min(j, len(docs))))
-            i = j
-        names = ("anchor", "place", "a", "b", "row", "content")
-        for k, name in enumerate(names):
-            setattr(self, name, np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, U64 if name in ("anchor", "content") else np.int64))
+        columns, x = {k: [] for k in ("anchor", "place", "a", "b", "row", "content")}, 0
+        while x + min_len <= len(raw):
+            cells, x = self._slice(x, min(x + slice_bytes, len(raw)))
+            for column, part in zip(columns.values(), cells, strict=True):
+                column.append(part)
+        for name in [*columns]:
+            parts = columns.pop(name)
+            setattr(self, name, np.concatenate(parts) if parts else np.zeros(0, U64 if name in ("anchor", "content") else np.int64))
         self.doc = docs[self.row] if len(docs) else np.zeros(0, np.int64)
 
-    def _slice(self, i: int, j: int) -> tuple:
-        begin, raw, off, m = int(self.off[i]), self.raw[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i], self.min_len
-        n = len(raw)
-        if n < m:
-            z = np.zeros(0, np.int64)
-            return np.zeros(0, U64), z, z, z, z, np.zeros(0, U64)
+    def _slice(self, x: int, y: int) -> tuple[tuple, int]:
+        """(cells of the windows in raw[x:y], where the next slice begins); a cell that may go on is left to the next slice."""
+        m, last = self.min_len, y == len(self.raw)
+        raw, n = self.raw[x:y], y - x
         p = PrefixHash(raw)
-        starts = np.arange(n - ANCHOR + 1)
-        h = mix64(p.ranges(starts, starts + ANCHOR))
+        h = mix64(p.ranges(np.arange(n - ANCHOR + 1), np.arange(ANCHOR, n + 1)))
         at = _least_in_window(h, m - ANCHOR + 1)
+        i, j = int(np.searchsorted(self.off, x, side="right")) - 1, int(np.searchsorted(self.off, y, side="left"))
+        begin, end = np.maximum(self.off[i:j], x) - x, np.minimum(self.off[i + 1 : j + 1], y) - x
+        ok = end - begin >= m
         inside = np.zeros(n + 1, np.int32)
-        size = np.diff(off)
-        ok = size >= m
-        np.add.at(inside, off[:-1][ok], 1)
-        np.add.at(inside, off[1:][ok] - m + 1, -1)
+        np.add.at(inside, begin[ok], 1)
+        np.add.at(inside, end[ok] - m + 1, -1)
         v = np.flatnonzero(np.cumsum(inside)[: len(at)] > 0)
         where = at[v]
         first = np.ones(len(v), bool)
         first[1:] = where[1:] != where[:-1]
         k = np.flatnonzero(first)
-        a, b, place = v[k], v[np.append(k[1:], len(v)) - 1] if len(k) else v[:0], where[k]
+        a, b = v[k], v[np.append(k[1:], len(v)) - 1] if len(k) else v[:0]
+        then = y if last else y - m + 1
+        if not last and len(b) and b[-1] == n - m and a[-1]:
+            then, a, b, k = x + int(a[-1]), a[:-1], b[:-1], k[:-1]
+        place = where[k]
         content = mix64(p.ranges(a, b + m) + ((place - a).astype(U64) << U64(32)) + (b - a).astype(U64))
-        row = np.searchsorted(off, a, side="right") - 1 + i
-        return h[place], place + begin, a + begin, b + begin, row, content
+        row = np.searchsorted(self.off, a + x, side="right") - 1
+        return (h[place], place + x, a + x, b + x, row, content), then
 
     def distinct(self, keys: np.ndarray, rows: np.ndarray):
         """(distinct keys, index of each row's key, least and greatest document of each)."""
@@ -122,6 +124,15 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
+def _hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Unmixed hashes of many short ranges of raw, from their own bytes alone."""
+    out = np.zeros(len(start), U64)
+    for x, y in blocks(len(start), 20_000):
+        end = np.cumsum(size[x:y])
+        out[x:y] = PrefixHash(raw[_ragged(start[x:y], size[x:y])]).ranges(end - size[x:y], end)
+    return out
+
+
 SENT = "bucket int, block int, data binary"
 ANSWER = "block int, round int, bucket int, data binary"
 
@@ -187,17 +198,21 @@ def _keyed(batches):
     for batch in batches:
         for cut in text_slices(batch):
             raw, off = utf8_bytes(cut.column("text"))
-            size, p = np.diff(off), PrefixHash(raw)
-            key = mix64(p.ranges(off[:-1], off[1:]) + size.astype(U64))
-            long = np.flatnonzero(size >= ANCHOR)
-            if len(long):
-                start = np.arange(max(len(raw) - ANCHOR + 1, 0))
-                h = mix64(p.ranges(start, start + ANCHOR))
-                # Least between the first and the last place of each long text: every other range of reduceat is in between.
-                ends = np.minimum(off[1:][long] - ANCHOR + 1, len(h))
-                edges = np.stack((off[:-1][long], ends), 1).ravel()
-                edges = edges[:-1] if edges[-1] == len(h) else edges
-                key[long] = np.minimum.reduceat(h, edges)[::2]
+            size = np.diff(off)
+            key = np.full(len(size), U64(0xFFFFFFFFFFFFFFFF))
+            short = np.flatnonzero(size < ANCHOR)
+            key[short] = mix64(_hashes(raw, off[short], size[short]) + size[short].astype(U64))
+            for x, y in blocks(len(raw), SLICE_BYTES):
+                piece = raw[x : y + ANCHOR - 1]
+                starts = np.arange(max(len(piece) - ANCHOR + 1, 0))
+                h = mix64(PrefixHash(piece).ranges(starts, starts + ANCHOR))
+                # Places of each text at which a string of it begins; least between the first and the last of them.
+                begin, end = np.clip(off[:-1] - x, 0, len(h)), np.clip(off[1:] - ANCHOR + 1 - x, 0, len(h))
+                rows = np.flatnonzero(end > begin)
+                if len(rows):
+                    edges = np.stack((begin[rows], end[rows]), 1).ravel()
+                    edges = edges[:-1] if edges[-1] == len(h) else edges
+                    key[rows] = np.minimum(key[rows], np.minimum.reduceat(h, edges)[::2])
             yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("text"), pa.array(key.view(np.int64)), pa.array(size)], names=["doc_id", "text", "key", "size"])
 
 
@@ -272,7 +287,7 @@ def _snippets(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         snip["shift"], snip["length"] = first[rows] - a[rows], last[rows] - first[rows] + m
         spread = anchor[rows]
         if begin is not None and len(rows):
-            spread = mix64(PrefixHash(c.raw).ranges(begin[rows], begin[rows] + size) + U64(size))
+            spread = mix64(_hashes(c.raw, begin[rows], np.full(len(rows), size)) + U64(size))
         parts.append((snip, first[rows], spread))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -411,7 +426,7 @@ def _report(n: int, min_len: int):
             for d in b.marks:
                 pair = np.frombuffer(d, _MARK)
                 np.bitwise_or.at(mask, pair["index"], pair["mask"])
-            edge = np.zeros(len(c.raw) + 1, np.int32)
+            edge = np.zeros(len(c.raw) + 1, np.int16)  # a window begins and ends once at a place, so sums stay below 2 min_len
             # A cell equal to one of an earlier document of its block repeats whole.
             again = c.doc[b.live] > b.low[b.key_of]
             whole = b.live[again]
@@ -422,7 +437,7 @@ def _report(n: int, min_len: int):
                 k = b.live[part[(mask[b.key_of[part]] >> U64(shift) & U64(1)).astype(bool)]]
                 np.add.at(edge, c.a[k] + shift, 1)
                 np.add.at(edge, c.a[k] + shift + min_len, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = np.cumsum(edge[:-1], dtype=np.int16, out=edge[:-1]) > 0
             for i, doc in enumerate(c.docs.tolist()):
                 s, e = c.off[i], c.off[i + 1]
                 g = gone[s:e]
