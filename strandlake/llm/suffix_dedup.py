@@ -29,8 +29,10 @@ BLOCK_BYTES = 8 << 20
 HOT_CELLS = 4_096
 #: Keys of large groups of near copies that may be broadcast, by count.
 BROADCAST_ROWS = 400_000
-#: Buckets of the table of blocks, and tasks that sort shards; a bucket holds several blocks, and a task has several shards, beyond it.
+#: Buckets of the table of blocks; a bucket holds several blocks beyond it.
 MAX_BUCKETS = 20_000
+#: Ranges of anchors, and of shards. A block sends each at most one message a round, so messages grow with the blocks alone; beyond as many blocks a range's keys are sorted in runs, and a range has several shards.
+MAX_RANGES = 4_096
 LAST = (1 << 63) - 1
 _LOW = U64((1 << 40) - 1)
 
@@ -98,11 +100,16 @@ class Cells:
         return uniq, inv, low, high
 
 
-def _deal(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of keys by bucket, bounds of the n buckets)."""
-    bucket = ((keys >> U64(40)) % U64(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+def _deal(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of keys by range, ranges that have keys, bounds of these)."""
+    return _runs(((keys >> U64(40)) % U64(n)).astype(np.int64))
+
+
+def _runs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stable order by number, numbers that occur, bounds of these)."""
+    order = np.argsort(of, kind="stable")
+    found, at = np.unique(of[order], return_index=True)
+    return order, found, np.append(at, len(of))
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -137,13 +144,12 @@ SENT = "bucket int, block int, data binary"
 ANSWER = "block int, round int, bucket int, data binary"
 
 
-def _bits(answers: dict, order: np.ndarray, bounds: np.ndarray, which: int, offset: int = 0) -> np.ndarray:
+def _bits(answers: dict, dealt: tuple, which: int, offset: int = 0) -> np.ndarray:
     """Answer bits put back into key order."""
+    order, found, bounds = dealt
     out = np.zeros(len(order), bool)
-    for k in range(len(bounds) - 1):
-        a, b = bounds[k], bounds[k + 1]
-        if b > a:
-            out[order[a:b]] = np.unpackbits(np.frombuffer(answers[which, k], np.uint8))[offset * (b - a) :][: b - a].astype(bool)
+    for k, a, b in zip(found.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        out[order[a:b]] = np.unpackbits(np.frombuffer(answers[which, k], np.uint8))[offset * (b - a) :][: b - a].astype(bool)
     return out
 
 
@@ -162,15 +168,15 @@ class _Block:
                 self.marks.append(d)
         self.cells = c = Cells(raw, off, docs, min_len)
         self.anchors, self.anchor_of, low, high = c.distinct(c.anchor, np.arange(len(c.a)))
-        self.order, self.bounds = _deal(self.anchors, n)
+        self.dealt = _deal(self.anchors, n)
         self.several = low != high
 
     def use_anchors(self) -> None:
         """Cells whose anchor is in two documents or more; equal ones under one number, with their least document."""
         c = self.cells
-        elsewhere = _bits(self.answers, self.order, self.bounds, 1, 0)
+        elsewhere = _bits(self.answers, self.dealt, 1, 0)
         shared = self.several | elsewhere
-        self.hot = _bits(self.answers, self.order, self.bounds, 1, 1)
+        self.hot = _bits(self.answers, self.dealt, 1, 1)
         self.live = np.flatnonzero(shared[self.anchor_of])
         keys, self.key_of, _, _ = c.distinct(c.content[self.live], self.live)
         _, at = np.unique(self.key_of, return_index=True)
@@ -230,36 +236,114 @@ def _in_blocks(base: DataFrame, n: int, block_bytes: int, work: Stages) -> DataF
 def _send_anchors(n: int, min_len: int):
     def run(left: pa.Table) -> pa.Table:
         b = _Block(left, n, min_len)
-        keys, counts = b.anchors[b.order], np.bincount(b.anchor_of, minlength=len(b.anchors))[b.order]
-        at = [k for k in range(n) if b.bounds[k + 1] > b.bounds[k]]
-        return pa.table({"bucket": pa.array(at, pa.int32()), "block": pa.array([b.block] * len(at), pa.int32()), "data": pa.array([_packed(keys[x:y], counts[x:y]) for x, y in ((b.bounds[k], b.bounds[k + 1]) for k in at)], pa.binary())})
+        order, found, bounds = b.dealt
+        keys, counts = b.anchors[order], np.bincount(b.anchor_of, minlength=len(b.anchors))[order]
+        data = [_packed(keys[x:y], counts[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.table({"bucket": pa.array(found, pa.int32()), "block": pa.array([b.block] * len(found), pa.int32()), "data": pa.array(data, pa.binary())})
 
     return run
 
 
-def _answer_anchors(hot_cells: int):
-    def run(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(d, np.uint8).reshape(-1, 6) for d in table.column("data").to_pylist()]
-        wide = np.zeros((sum(map(len, sent)), 8), np.uint8)
-        wide[:, :6] = np.concatenate(sent)
-        keys, cells = wide.view("<u8")[:, 0] & _LOW, wide[:, 5].astype(np.int64)
+class AnchorRange:
+    """The packed anchors of one range, message by message, in sorted runs that go to files beyond the bound of entries."""
+
+    def __init__(self, bucket: int, hot_cells: int, entries: int):
+        self.bucket, self.hot_cells, self.scratch = bucket, hot_cells, Scratch(entries)
+        self.runs, self.waiting, self.held = [], [], 0
+
+    def add(self, block: int, data: bytes) -> None:
+        self.waiting.append((block, np.frombuffer(data, np.uint8).reshape(-1, 6)))
+        self.held += len(data) // 6
+        if self.held >= self.scratch.entries:
+            self._sort()
+
+    def _sort(self) -> None:
+        """The messages that wait become a run: blocks, message sizes, keys in order, their places, their cells; and room for answers."""
+        if not self.waiting:
+            return
+        sizes = [len(d) for _, d in self.waiting]
+        wide = np.zeros((self.held, 8), np.uint8)
+        wide[:, :6] = np.concatenate([d for _, d in self.waiting])
+        keys = wide.view("<u8")[:, 0] & _LOW
         order = np.argsort(keys)
-        ranked = keys[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(keys)))
-        shared, hot = np.empty(len(keys), bool), np.empty(len(keys), bool)
-        shared[order] = np.repeat(size > 1, size)
-        hot[order] = np.repeat(np.add.reduceat(cells[order], start) > hot_cells, size)
-        out, at = [], 0
-        for s in sent:
-            out.append(np.packbits(np.concatenate((shared[at : at + len(s)], hot[at : at + len(s)]))).tobytes())
-            at += len(s)
-        m = table.num_rows
-        return pa.table({"block": table.column("block"), "round": pa.array([1] * m, pa.int32()), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary())})
+        kept = [self.scratch.array(self.held, t) for t in (U64, np.int64, np.uint8)]
+        for to, part in zip(kept, (keys[order], order, wide[order, 5]), strict=True):
+            to[:] = part
+        self.runs.append(([b for b, _ in self.waiting], sizes, *kept, self.scratch.array(self.held, np.uint8)))
+        self.waiting, self.held = [], 0
+
+    def answers(self):
+        """(block, bits: which of its keys are in another message too, then which are hot)."""
+        with self.scratch as scratch:
+            self._sort()
+            total = sum(len(run[2]) for run in self.runs)
+            # Keys are hashes of 40 bits, so equal stretches of them hold about as many.
+            n = total // scratch.entries + 1
+            edges = [(1 << 40) * k // n for k in range(n + 1)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                at = [np.searchsorted(run[2], np.array([low, high], U64)) for run in self.runs]
+                keys = np.concatenate([run[2][a:b] for run, (a, b) in zip(self.runs, at, strict=True)])
+                cells = np.concatenate([run[4][a:b] for run, (a, b) in zip(self.runs, at, strict=True)]).astype(np.int64)
+                order, _, bounds = _runs(keys)
+                start, size = bounds[:-1], np.diff(bounds)
+                both = np.empty(len(keys), np.uint8)
+                if len(keys):
+                    hot = np.add.reduceat(cells[order], start) > self.hot_cells
+                    both[order] = np.repeat((size > 1).astype(np.uint8) + 2 * hot.astype(np.uint8), size)
+                done = 0
+                for run, (a, b) in zip(self.runs, at, strict=True):
+                    run[5][a:b] = both[done : done + b - a]
+                    done += b - a
+            for message_blocks, sizes, _, place, _, found in self.runs:
+                bits, at = np.empty(len(place), np.uint8), 0
+                bits[place] = found
+                for block, size in zip(message_blocks, sizes, strict=True):
+                    own = bits[at : at + size]
+                    yield block, np.packbits(np.concatenate((own & 1, own >> 1))).tobytes()
+                    at += size
+
+
+def _ranges(batches, begin, finish):
+    """Messages in the order of their ranges: each range is begun, given its messages, and finished."""
+    now = None
+    for batch in batches:
+        bucket, block, data = (batch.column(c) for c in ("bucket", "block", "data"))
+        for i in range(batch.num_rows):
+            k = bucket[i].as_py()
+            if now is None or now.bucket != k:
+                if now is not None:
+                    yield from finish(now)
+                now = begin(k)
+            now.add(block[i].as_py(), data[i].as_py())
+    if now is not None:
+        yield from finish(now)
+
+
+def _answer_rows(rows: list, which: int, bucket: int) -> pa.RecordBatch:
+    m = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([which] * m, pa.int32()), pa.array([bucket] * m, pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "round", "bucket", "data"])
+
+
+def _in_batches(rows, most: int = 1 << 22):
+    """Lists of rows of about `most` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1])
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
-    return run
+
+def _answer_anchors(hot_cells: int, entries: int):
+    def finish(own: AnchorRange):
+        for rows in _in_batches(own.answers()):
+            yield _answer_rows(rows, 1, own.bucket)
+        release()
+
+    return lambda batches: _ranges(batches, lambda k: AnchorRange(k, hot_cells, entries), finish)
 
 
 _SNIP = np.dtype([("index", "<u4"), ("shift", "u1"), ("length", "<u2"), ("doc", "<i8")])
@@ -292,22 +376,23 @@ def _snippets(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _send_snippets(n: int, min_len: int):
+def _send_snippets(n: int, min_len: int, n_subs: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         shards, block, data = [], [], []
         if left.num_rows:
             b = _Block(left, n, min_len, right)
             b.use_anchors()
             snip, start, spread = _snippets(b)
-            shard = (mix64(spread) % U64(n)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(n + 1))
-            for k in range(n):
-                mine = order[bounds[k] : bounds[k + 1]]
-                if len(mine):
-                    shards.append(k)
-                    block.append(b.block)
-                    data.append(len(mine).to_bytes(8, "little") + snip[mine].tobytes() + b.cells.raw[_ragged(start[mine], snip["length"][mine].astype(np.int64))].tobytes())
+            spread = mix64(spread)
+            # A message holds the shards of a range in turn: their number, then number and bytes of each, then its snippets.
+            order, found, bounds = _runs((spread % U64(n) * U64(n_subs) + spread // U64(n) % U64(n_subs)).astype(np.int64))
+            parts: dict[int, list] = {}
+            for k, x, y in zip(found.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                mine = order[x:y]
+                sent = len(mine).to_bytes(8, "little") + snip[mine].tobytes() + b.cells.raw[_ragged(start[mine], snip["length"][mine].astype(np.int64))].tobytes()
+                parts.setdefault(k // n_subs, []).append((k % n_subs, sent))
+            shards, block = [*parts], [b.block] * len(parts)
+            data = [np.array([len(p)] + [v for k, d in p for v in (k, len(d))], "<i8").tobytes() + b"".join(d for _, d in p) for p in parts.values()]
         return pa.table({"bucket": pa.array(shards, pa.int32()), "block": pa.array(block, pa.int32()), "data": pa.array(data, pa.binary())})
 
     return run
@@ -316,8 +401,8 @@ def _send_snippets(n: int, min_len: int):
 class Shard:
     """The snippets of one shard, message by message; what is large is in files."""
 
-    def __init__(self, bucket: int, min_len: int, entries: int):
-        self.bucket, self.min_len, self.scratch, self.messages = bucket, min_len, Scratch(entries), []
+    def __init__(self, min_len: int, entries: int):
+        self.min_len, self.scratch, self.messages = min_len, Scratch(entries), []
         self.snips, self.text = Pile(self.scratch, dtype=_SNIP), Pile(self.scratch, dtype=np.uint8)
 
     def add(self, block: int, data: bytes) -> None:
@@ -359,6 +444,56 @@ class Shard:
 
 
 _MARK = np.dtype([("index", "<u4"), ("mask", "<u8")])
+_PART = np.dtype([("shard", "<i8"), ("block", "<i8"), ("at", "<i8"), ("size", "<i8")])
+
+
+class ShardRange:
+    """The messages of one range, taken apart by shard; the bytes go to a file beyond the bound of entries, those of a shard together in each run."""
+
+    def __init__(self, bucket: int, min_len: int, entries: int):
+        self.bucket, self.min_len, self.entries, self.scratch = bucket, min_len, entries, Scratch(entries)
+        self.index, self.text = Pile(self.scratch, dtype=_PART), Pile(self.scratch, dtype=np.uint8)
+        self.waiting, self.held = [], 0
+
+    def add(self, block: int, data: bytes) -> None:
+        n = int.from_bytes(data[:8], "little")
+        at = 8 + 16 * n
+        for shard, size in np.frombuffer(data, "<i8", 2 * n, 8).reshape(-1, 2).tolist():
+            self.waiting.append((shard, block, data[at : at + size]))
+            at += size
+            self.held += size
+        if self.held > self.entries:
+            self._sort()
+
+    def _sort(self) -> None:
+        self.waiting.sort(key=lambda part: part[0])
+        part = np.zeros(len(self.waiting), _PART)
+        part["size"] = [len(d) for *_, d in self.waiting]
+        part["shard"], part["block"] = [s for s, *_ in self.waiting], [b for _, b, _ in self.waiting]
+        part["at"] = self.text.n + np.cumsum(part["size"]) - part["size"]
+        self.index.append(part)
+        self.text.append(np.frombuffer(b"".join(d for *_, d in self.waiting), np.uint8))
+        self.waiting, self.held = [], 0
+
+    def marks(self):
+        """(block, marks of its cells), shard by shard; few marks of one block are put together."""
+        with self.scratch:
+            self._sort()
+            index, text = self.index.array(), self.text.array()
+            order, _, bounds = _runs(index["shard"])
+            found: dict[int, list] = {}
+            held = 0
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                shard = Shard(self.min_len, self.entries)
+                for _, block, at, size in index[order[x:y]].tolist():
+                    shard.add(block, text[at : at + size].tobytes())
+                for block, data in shard.marks():
+                    found.setdefault(block, []).append(data)
+                    held += len(data)
+                if held > self.entries:
+                    yield from ((block, b"".join(d)) for block, d in found.items())
+                    found, held = {}, 0
+            yield from ((block, b"".join(d)) for block, d in found.items())
 
 
 def repeated_windows(text: np.ndarray, owners: np.ndarray, doc: np.ndarray, min_len: int, scratch: Scratch):
@@ -389,26 +524,12 @@ def repeated_windows(text: np.ndarray, owners: np.ndarray, doc: np.ndarray, min_
 
 
 def _answer_snippets(min_len: int, entries: int):
-    def run(batches):
-        def answer(shard: Shard) -> pa.RecordBatch:
-            rows = shard.marks()
-            release()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([2] * len(rows), pa.int32()), pa.array([shard.bucket] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "round", "bucket", "data"])
-
-        shard = None
-        for batch in batches:
-            bucket, block, data = (batch.column(c) for c in ("bucket", "block", "data"))
-            for i in range(batch.num_rows):
-                k = bucket[i].as_py()
-                if shard is None or shard.bucket != k:
-                    if shard is not None:
-                        yield answer(shard)
-                    shard = Shard(k, min_len, entries)
-                shard.add(block[i].as_py(), data[i].as_py())
-        if shard is not None:
-            yield answer(shard)
+    def finish(own: ShardRange):
+        for rows in _in_batches(own.marks()):
+            yield _answer_rows(rows, 2, own.bucket)
+        release()
 
-    return run
+    return lambda batches: _ranges(batches, lambda k: ShardRange(k, min_len, entries), finish)
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
@@ -450,13 +571,13 @@ def _report(n: int, min_len: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, block_bytes: int = BLOCK_BYTES, hot_cells: int = HOT_CELLS, entries: int = ENTRIES, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, block_bytes: int = BLOCK_BYTES, hot_cells: int = HOT_CELLS, entries: int = ENTRIES, max_buckets: int = MAX_BUCKETS, max_ranges: int = MAX_RANGES) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges).
 
     A byte goes if it is covered by a min_len-byte string that also starts in a document with a smaller doc_id; strings are
     judged on the input. min_len is from ANCHOR to ANCHOR + 63. Null and empty texts have no bytes; texts are whole however
     long; null doc_ids come last; rows that share a doc_id don't repeat each other; other columns of docs are ignored; an
-    empty table gives no rows. entries bounds what a task that sorts a shard holds of an array before it goes to a file.
+    empty table gives no rows. entries bounds what a task that sorts a range holds of an array before it goes to a file.
     """
     if not ANCHOR <= min_len <= ANCHOR + 63:
         raise ValueError(f"min_len must be from {ANCHOR} to {ANCHOR + 63}")
@@ -464,7 +585,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = pick_id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
-    n_buckets = min(n, max_buckets)
+    n_buckets, ranges = min(n, max_buckets), min(n, max_ranges)
     dealing = Stages()
     dealt = _in_blocks(base, n, block_bytes, dealing)
     # Bucketed by block, so that no later round shuffles the texts again.
@@ -476,14 +597,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table = spark.table(name)
     table._strandlake_path = path
     try:
-        sent = table.groupBy("block").applyInArrow(_send_anchors(n, min_len), SENT)
-        answers = work.stage(sent.groupBy("bucket").applyInArrow(_answer_anchors(hot_cells), ANSWER))
+        def by_range(sent: DataFrame) -> DataFrame:
+            return sent.repartitionById(ranges, F.col("bucket")).sortWithinPartitions("bucket", "block")
+
+        sent = table.groupBy("block").applyInArrow(_send_anchors(ranges, min_len), SENT)
+        answers = work.stage(by_range(sent).mapInArrow(_answer_anchors(hot_cells, entries), ANSWER))
         tidy(spark)
-        sent = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_snippets(n, min_len), SENT)
-        shards = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "block")
-        answers = answers.union(work.stage(shards.mapInArrow(_answer_snippets(min_len, entries), ANSWER)))
+        sent = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_snippets(ranges, min_len, -(-n // ranges)), SENT)
+        answers = answers.union(work.stage(by_range(sent).mapInArrow(_answer_snippets(min_len, entries), ANSWER)))
         tidy(spark)
-        out = stage(table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_report(n, min_len), REPORT))
+        out = stage(table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_report(ranges, min_len), REPORT))
         return out
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -85,7 +85,7 @@ def test_repeats(spark):
     rng.shuffle(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
-    for more in ({"block_bytes": 40_000}, {"block_bytes": 20_000, "hot_cells": 1}, {"entries": 2000, "max_buckets": 3, "block_bytes": 30_000}, {}):
+    for more in ({"block_bytes": 40_000}, {"block_bytes": 20_000, "hot_cells": 1}, {"entries": 2000, "max_buckets": 3, "block_bytes": 30_000}, {"entries": 3000, "max_ranges": 2, "block_bytes": 20_000}, {}):
         assert got(dedup_substrings(d, **more)) == want
 
 
@@ -96,3 +96,42 @@ def test_odd(spark):
     rows = [(r.doc_id, r.text) for r in d.collect()]
     assert got(dedup_substrings(d)) == brute(rows)
     assert dedup_substrings(d.limit(0)).count() == 0
+
+
+def test_cells_do_not_depend_on_slices():
+    from strandlake.llm.suffix_dedup import Cells
+
+    rng = np.random.default_rng(0)
+    for t in range(60):
+        sizes = rng.integers(0, 400, rng.integers(0, 12)) * (rng.random() < 0.9)
+        off = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        raw = rng.integers(97, 99 + 20 * (t % 2), off[-1]).astype(np.uint8)
+        docs = np.arange(len(sizes))
+        whole = Cells(raw, off, docs, 50)
+        for size in (110, 137, 300):
+            cut = Cells(raw, off, docs, 50, size)
+            assert all(np.array_equal(getattr(whole, k), getattr(cut, k)) for k in ("anchor", "place", "a", "b", "row", "content", "doc"))
+
+
+def test_messages_grow_with_the_blocks():
+    import pyarrow as pa
+
+    from strandlake.llm.suffix_dedup import _send_anchors
+
+    rng, sent = random.Random(5), []
+    for k in range(2_000):
+        text = "".join(rng.choices("abcdefgh", k=3_000))
+        got = _send_anchors(16, 50)(pa.table({"doc_id": [k], "text": [text], "block": [k]}))
+        sent.append(got.num_rows)
+    assert max(sent) <= 16 and sum(sent) <= 16 * 2_000
+
+
+def test_a_text_in_many_slices(spark):
+    from strandlake.llm.suffix_dedup import dedup_substrings
+
+    rng = random.Random(6)
+    long = "".join(rng.choices("abcdefghij ", k=5 << 20))
+    edge = (1 << 20) - 40  # the copies cross the borders of slices
+    rows = [(1, long), (2, "<" + long[edge : edge + 90] + ">"), (3, "<" + long[:60] + "|" + long[-49:]), (4, "x" * edge + long[3 * edge : 3 * edge + 200])]
+    out = {r.doc_id: (r.n_removed, [(s.start, s.end) for s in r.spans]) for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=1 << 21).collect()}
+    assert out == {1: (0, []), 2: (90, [(1, 91)]), 3: (60, [(1, 61)]), 4: (200, [(edge, edge + 200)])}
