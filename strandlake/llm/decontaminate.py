@@ -29,7 +29,8 @@ _STORED, _PROBED = 2, 1
 #: Items, and bytes of their texts, that travel to the executors at once; more items are searched in further passes over the documents.
 MAX_ITEMS, MAX_ITEM_BYTES = 5_000, 32 << 20
 _FILTER = 20
-_WINDOWS = 1024
+#: Windows looked up at once, and words whose votes are summed at once (more for longer items).
+_WINDOWS, _WORDS = 1_024, 1 << 14
 
 
 def _breaks() -> np.ndarray:
@@ -69,13 +70,25 @@ def shingles_at(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def simhash(features: np.ndarray, live: np.ndarray) -> np.ndarray:
-    """rows x BITS booleans: fingerprints of rows of features; live masks the features that count."""
+def simhash(features: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """rows x BITS booleans: fingerprints of features[start:start + count] of each row; starts and ends ascend.
+
+    Votes are summed once along the features that some row holds; a row's are a difference of two sums.
+    """
+    ends = starts + counts
+    new = np.ones(len(starts), bool)
+    new[1:] = starts[1:] > ends[:-1]
+    run = np.cumsum(new) - 1
+    first = starts[new]
+    size = np.append(ends[np.flatnonzero(new)[1:] - 1], ends[-1:]) - first
+    before = np.cumsum(size) - size
+    used = features[np.arange(size.sum()) + np.repeat(first - before, size)]
+    at = (before - first)[run] + starts
     out = []
     for salt in _SALTS:
-        bits = np.unpackbits(mix64(features ^ salt).view(np.uint8).reshape(*features.shape, 8), axis=-1)
-        votes = np.einsum("wnb,wn->wb", bits, live.astype(np.uint8), dtype=np.int32) if not live.all() else bits.sum(1, dtype=np.int32)
-        out.append(2 * votes > live.sum(1)[:, None])
+        sums = np.zeros((len(used) + 1, 64), np.int32)
+        np.cumsum(np.unpackbits(mix64(used ^ salt).view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int32, out=sums[1:])
+        out.append(2 * (sums[at + counts] - sums[at]) > counts[:, None])
     return np.concatenate(out, 1)
 
 
@@ -130,7 +143,9 @@ class ItemIndex:
             own = [i for i in range(len(ids)) if off[i + 1] - off[i] == n]
             size = min(SHINGLE, n)
             grams = np.stack([shingles_at(words[off[i] : off[i + 1]], size)[: n - size + 1] for i in own])
-            prints = simhash(grams, np.ones(grams.shape, bool))
+            width = grams.shape[1]
+            rows, step = np.arange(len(own)), max(_WORDS // width, 1)
+            prints = np.concatenate([simhash(grams.ravel(), r * width, np.full(len(r), width)) for r in (rows[x : x + step] for x in range(0, len(own), step))])
             every = np.unique(grams)
             # times[i, j]: how often item i has the shingle every[j], for the shingles that it has.
             sets = [np.unique(np.searchsorted(every, g), return_counts=True) for g in grams]
@@ -176,36 +191,59 @@ class ItemIndex:
         own = np.repeat(rows, length)
         if "index" not in g:
             g["index"] = BlockIndex(g["prints"])
-        for a in range(0, len(starts), _WINDOWS):
-            s, r = starts[a : a + _WINDOWS], own[a : a + _WINDOWS]
-            count = np.minimum(n, off[r + 1] - s) - size + 1
-            live = np.arange(span) < count[:, None]
-            features = grams[np.minimum(s[:, None] + np.arange(span), len(grams) - 1)]
-            prints = simhash(features, live)
-            w, k = g["index"].candidates(prints, len(g["ids"]))
-            near = (prints[w] != g["prints"][k]).sum(1) <= self.radius
-            w, k = w[near], k[near]
-            for w, k, sim in zip(w.tolist(), k.tolist(), self._similarity(g, features[w], live[w], k).tolist(), strict=True):
-                key = (int(r[w]), n, k)
-                if sim >= self.threshold and sim > found.get(key, (0.0,))[0]:
-                    found[key] = (sim, int(s[w] - off[r[w]]), int(count[w] + size - 1))
+        counts = np.minimum(n, off[own + 1] - starts) - size + 1
+        ends = starts + counts
+        # Windows are taken together by the words that they add.
+        added = np.cumsum(ends - np.maximum(starts, np.append(0, ends[:-1]))) // max(_WORDS, span)
+        for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(added)) + 1):
+            prints = simhash(grams, starts[part], counts[part])
+            for x in range(0, len(part), _WINDOWS):
+                self._verify(n, g, grams, off, own, starts, counts, part[x : x + _WINDOWS], prints[x : x + _WINDOWS], found)
+
+    def _verify(self, n: int, g: dict, grams: np.ndarray, off: np.ndarray, own: np.ndarray, starts: np.ndarray, counts: np.ndarray, part: np.ndarray, prints: np.ndarray, found: dict) -> None:
+        w, k = g["index"].candidates(prints, len(g["ids"]))
+        near = (prints[w] != g["prints"][k]).sum(1) <= self.radius
+        w, k = part[w[near]], k[near]
+        sims = self._similarity(g, grams, starts[w], counts[w], k)
+        same = sims >= self.threshold
+        for i, item, sim in zip(w[same].tolist(), k[same].tolist(), sims[same].tolist(), strict=True):
+            row = int(own[i])
+            if sim > found.get((row, n, item), (0.0,))[0]:
+                found[row, n, item] = (sim, int(starts[i] - off[row]), int(counts[i] + g["size"] - 1))
 
     @staticmethod
-    def _similarity(g: dict, features: np.ndarray, live: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Weighted Jaccard similarity of each row of features and its item."""
+    def _similarity(g: dict, grams: np.ndarray, starts: np.ndarray, counts: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of each window and its item.
+
+        What a window and its item share is a sum of the lesser counts. The item has a shingle t times: its occurrence at a
+        place counts in a window if the t-th occurrence before that place is outside, so it counts in a range of windows,
+        and windows side by side are counted in one pass over their words.
+        """
         out = np.zeros(len(items))
-        at = np.minimum(np.searchsorted(g["all"], features), len(g["all"]) - 1)
-        known = live & (g["all"][at] == features)
-        total = live.sum(1)
-        for k in np.unique(items).tolist():
-            mine = np.flatnonzero(items == k)
-            shingles, times = g["sets"][k]
-            place = np.minimum(np.searchsorted(shingles, at[mine]), len(shingles) - 1)
-            have = known[mine] & (shingles[place] == at[mine])
-            cell = (np.arange(len(mine))[:, None] * len(shingles) + place)[have]
-            seen = np.bincount(cell, minlength=len(mine) * len(shingles)).reshape(len(mine), -1)
-            both = np.minimum(seen, times).sum(1)
-            out[mine] = both / (total[mine] + times.sum() - both)
+        order = np.lexsort((starts, counts, items))
+        s, c, k = starts[order], counts[order], items[order]
+        new = np.flatnonzero((np.diff(k) != 0) | (np.diff(c) != 0) | (np.diff(s) > _WINDOWS)) + 1
+        for a, b in zip(np.append(0, new).tolist(), np.append(new, len(s)).tolist(), strict=True):
+            if a == b:
+                continue
+            low, width = int(s[a]), int(c[a])
+            text = grams[low : int(s[b - 1]) + width]
+            shingles, times = g["sets"][k[a]]
+            at = np.minimum(np.searchsorted(g["all"], text), len(g["all"]) - 1)
+            place = np.minimum(np.searchsorted(shingles, at), len(shingles) - 1)
+            p = np.flatnonzero((g["all"][at] == text) & (shingles[place] == at))
+            # Places by shingle, and of each the place as many occurrences before it as the item has.
+            p = p[np.argsort(place[p], kind="stable")]
+            which = place[p]
+            earlier = np.arange(len(p)) - times[which]
+            known = (earlier >= 0) & (which[np.maximum(earlier, 0)] == which)
+            first = np.maximum(np.where(known, p[np.maximum(earlier, 0)], -1), p - width) + 1
+            n = int(s[b - 1]) - low + 1
+            edge = np.zeros(n + 1, np.int64)
+            np.add.at(edge, np.clip(first, 0, n), 1)
+            np.add.at(edge, np.minimum(p + 1, n), -1)
+            both = np.cumsum(edge)[s[a:b] - low]
+            out[order[a:b]] = both / (width + times.sum() - both)
         return out
 
 

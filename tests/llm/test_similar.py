@@ -231,6 +231,51 @@ def test_decontamination_recall_near_the_threshold():
     assert got <= {(i, i) for i in range(400)} and len(got) >= 0.95 * 400
 
 
+def test_decontamination_of_an_item_of_20_000_words():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from strandlake.llm.decontaminate import ItemIndex
+
+    rng = random.Random(2)
+    words = lambda n: [f"w{rng.randrange(5_000)}" for _ in range(n)]
+    item, before, after = words(20_000), words(7_000), words(7_000)
+    copy = [*item[:9_000], "other", *item[9_001:]]
+    index = ItemIndex([7], [" ".join(item)], 0.8, 47)
+    tracemalloc.start()
+    got = index.search(pa.array([" ".join(before + copy + after), " ".join(before), None]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # One word differs: it is in 5 of the 19,996 shingles of either.
+    assert got == [(0, 7, 19_991 / (2 * 19_996 - 19_991), 7_000, 20_000)]
+    assert peak < 500 << 20
+
+
+def test_decontamination_counts_repeated_shingles():
+    """Similarities of all windows of texts with few different words equal those of plain multisets."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from strandlake.llm.decontaminate import ItemIndex, shingles_at, words_of
+
+    rng = random.Random(3)
+    for n in (5, 12, 40):
+        item, text = (" ".join(rng.choices("abc" if n > 5 else "ab", k=m)) for m in (n, 300))
+        index = ItemIndex([1], [item], 0.8, 47)
+        g = index.groups[n]
+        grams = shingles_at(words_of(pa.array([text]))[0], 5)
+        starts = np.arange(300 - n + 1)
+        got = index._similarity(g, grams, starts, np.full(len(starts), n - 4), np.zeros(len(starts), np.int64))
+        cut = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        own = cut(item.split())
+        for s, sim in zip(starts.tolist(), got.tolist(), strict=True):
+            there = cut(text.split()[s : s + n])
+            assert sim == (own & there).total() / (own | there).total()
+
+
 def test_decontamination_words_end_at_unicode_marks():
     import pyarrow as pa
 
