@@ -9,6 +9,7 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import kmer
 from .operators.index import build_index, search_index, statistics
@@ -16,8 +17,9 @@ from .operators.search import expand_strands, limit_queries, prepare, strand_cou
 from .operators.simulate import simulate_reads
 from .operators.suffix import export_suffix_arrays
 from .plans import schemes
+from .shared import drop_stage
 from .sources.fasta import read_fasta, write_fasta
-from .sources.tables import Report, read_meta, write_hits
+from .sources.tables import Report, observed_stage, read_meta, write_counted_hits, write_hits
 
 #: Index commands: (alphabet, kind, ending of the index's folder).
 INDEXES = {"index": ("dna5", "bi", ".idx"), "uni-index": ("dna5", "uni", ".single.idx"), "rbi-index": ("dr_dna5", "rbi", ".rbi.idx"), "rbi-index-dna4": ("dr_dna4", "rbi", ".rbi4.idx")}
@@ -131,14 +133,13 @@ def _search(spark: SparkSession, a: argparse.Namespace) -> None:
         print(f"partition: {sizes}\nnode count: {schemes.node_count(cost, meta['sigma'], metric == 'edit'):.0f}\nweighted node count: {schemes.node_count(cost, meta['sigma'], metric == 'edit', float(meta['total_size'])):.0f}")
     ignore = getattr(a, "ignore_unknown", False)
     with report.phase("search"):
-        hits = search_index(spark, a.index, queries, errors, metric, mode, top, reverse, limit, ignore, scheme).cache()
-        n = hits.count()
+        hits, figures = observed_stage(search_index(spark, a.index, queries, errors, metric, mode, top, reverse, limit, ignore, scheme), hits=F.count(F.lit(1)))
     with report.phase("result"):
         write_hits(hits, a.output)
     for name, s in report.phases:
         print(f"{name}: {s:.2f}s")
-    print(f"total: {report.total():.2f}s\nqueries per second: {(counts.forward + counts.backward) / report.total():.0f}\nhits: {n}")
-    hits.unpersist()
+    print(f"total: {report.total():.2f}s\nqueries per second: {(counts.forward + counts.backward) / report.total():.0f}\nhits: {figures['hits']}")
+    drop_stage(hits)
 
 
 def _kmer_index(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -153,10 +154,7 @@ def _kmer_search(spark: SparkSession, a: argparse.Namespace) -> None:
     queries = prepare(_queries(spark, a.query), "dna5")
     rows = kmer.admit(queries, spark.read.parquet(f"{a.index}/dictionary"), meta["k"], meta["mode"], meta["window"], meta["mod_exp"])
     print("\n".join(f"{k}: {v}" for k, v in kmer.admission_report(rows).first().asDict().items()))
-    hits = kmer.kmer_search(spark, a.index, queries, not a.no_reverse).cache()
-    write_hits(hits, a.output)
-    print(f"hits: {hits.count()}")
-    hits.unpersist()
+    print(f"hits: {write_counted_hits(kmer.kmer_search(spark, a.index, queries, not a.no_reverse), a.output)}")
 
 
 def _schemes(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop_stage, stage
+
 FORMAT_VERSION = 1
 
 
@@ -44,6 +47,27 @@ def write_hits(hits: DataFrame, path: str, text: bool = True) -> None:
     (hit_lines(ranged).write.mode("overwrite").text(path) if text else ranged.write.mode("overwrite").parquet(path))
 
 
+def observed_stage(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """df as a table in the shared folder, and aggregates of it that the very job that writes it counted.
+
+    The search runs once: neither the count nor the sampling of an ordered write computes it again, and no executor has to
+    keep it cached.
+    """
+    seen = Observation(f"figures-{uuid.uuid4().hex}")
+    out = stage(df.observe(seen, *[c.alias(k) for k, c in figures.items()]))
+    return out, seen.get
+
+
+def write_counted_hits(hits: DataFrame, path: str, text: bool = True) -> int:
+    """write_hits() of a search that runs once; the number of hits (A5)."""
+    staged, figures = observed_stage(hits, hits=F.count(F.lit(1)))
+    try:
+        write_hits(staged, path, text)
+    finally:
+        drop_stage(staged)
+    return figures["hits"]
+
+
 class Report:
     """Seconds by phase, queries per second and hit count of one run."""
 

@@ -6,7 +6,7 @@ from strandlake.operators.search import expand_strands, search
 from strandlake.operators.simulate import apply_transcript, simulate_reads, transcript
 from strandlake.operators.suffix import concat_text, export_suffix_arrays, suffix_array
 from strandlake.sources.fasta import fasta_text, read_fasta, write_fasta
-from strandlake.sources.tables import Report, hit_lines, write_hits
+from strandlake.sources.tables import Report, hit_lines, write_counted_hits, write_hits
 
 
 def test_fasta(spark, tmp_path):
@@ -44,6 +44,25 @@ def test_hits_and_report(spark, tmp_path):
     assert [x.phase for x in r.frame(spark, 4, 2).collect()] == ["search", "total", "queries per second", "hits"]
 
 
+def test_hits_are_counted_where_they_are_written(spark, tmp_path):
+    """The plan of the hits runs once, whatever the ordered write reads; no hits are a count of 0."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "query_id long, seq_id long, pos long"
+    hits = spark.range(1_000).selectExpr("id % 7 AS query_id", "id % 3 AS seq_id", "id AS pos").mapInArrow(run, schema)
+    assert write_counted_hits(hits, f"{tmp_path}/h") == 1_000
+    assert seen.value == 1_000
+    assert spark.read.text(f"{tmp_path}/h").count() == 1_000
+    for none in (hits.filter("pos < 0"), spark.createDataFrame([], schema), hits.limit(0)):
+        assert write_counted_hits(none, f"{tmp_path}/e") == 0
+        assert spark.read.text(f"{tmp_path}/e").count() == 0
+
+
 def test_suffix_array(spark, tmp_path):
     one = lambda t: [p for _, p in sorted((r.rank, r.pos) for r in suffix_array(spark.createDataFrame([(t,)], "text string")).collect())]
     assert one("ACGT$") == [4, 0, 1, 2, 3]
