@@ -221,3 +221,44 @@ def test_alignments_over_chunks(spark, monkeypatch, broadcast):
                     if (d := distance(q, t[a:b])) <= 2:
                         want[i, j, a, b] = d
     assert got == want
+
+
+@pytest.mark.parametrize("g", [1, 5, 8, 15, 24])
+def test_least_grams_equal_brute_force(monkeypatch, g):
+    monkeypatch.setattr(index, "SLICE", 7)
+    rng = random.Random(g)
+    for window in (1, 2, 7, 16):
+        for n in (0, g, g + window - 2, g + window - 1, 90):
+            seq = bytes(rng.choice(b"ACGT") for _ in range(max(n, 0)))
+            hashes = [int(index.gram_hashes(np.frombuffer(seq[i : i + g], np.uint8), g)[0]) for i in range(len(seq) - g + 1)]
+            want = [min(range(i, i + window), key=lambda j: (j if window == 1 else hashes[j], j)) for i in range(max(len(seq) - g - window + 2, 0))]
+            assert index.least_grams(seq, g, window).tolist() == want
+
+
+def test_an_index_of_least_grams_has_all_hits(spark, tmp_path):
+    """One place of many is held; hits are those of the sequences, and counts for index_seeds those of all places."""
+    rng = random.Random(9)
+    draw = lambda m: "".join(rng.choice("ACGT") for _ in range(m))
+    refs = [(i, draw(300 + 40 * i)) for i in range(12)]
+    refs += [(20 + i, refs[i][1][50:200]) for i in range(6)]
+    changed = lambda q, *at: "".join({"A": "C"}.get(c, "A") if i in at else c for i, c in enumerate(q))
+    own = [(i, changed(refs[i][1][60 : 90 + 9 * i], *[7, 25][: i % 3])) for i in range(12)]
+    path = f"{tmp_path}/w"
+    meta = index.build_index(seqs(spark, refs), path, gram_len=8, window=8)
+    assert index.stored(spark, path, "grams", meta["buckets"]).count() < 0.35 * sum(len(s) for _, s in refs)
+    flat = seqs(spark, own, "query_id")
+    for k, metric, scheme in ((0, "edit", None), (1, "hamming", None), (2, "edit", None), (1, "edit", engine.schemes.generate("optimum", 0, 1))):
+        want = hits(s.search(seqs(spark, refs), flat, k, metric))
+        assert want and hits(index.search_index(spark, path, seqs(spark, own, "src_id"), k, metric, reverse=False, scheme=scheme)) == want
+    texts = [t for _, t in refs]
+    places = {g: n for q in (q for _, q in own) for g in (q[i : i + 8] for i in range(len(q) - 7)) if (n := sum(t.startswith(g, i) for t in texts for i in range(len(t)))) >= index.COMMON}
+    wanted = spark.createDataFrame([(bytearray(q[i : i + 8].encode()),) for _, q in own for i in range(len(q) - 7)], "gram binary")
+    assert {bytes(r.gram).decode(): r.n for r in index.sequence_counts(spark, path, meta, wanted).collect()} == places
+
+
+def test_slices_of_all_places(spark):
+    from strandlake.functions.kmers import PIECE, slices
+
+    rows = [(1, "ACGTN" * 203), (2, "ACG"), (3, "A" * (PIECE + 4)), (4, "")]
+    got = {(r.seq_id, r.p): bytes(r.slice).decode() for r in slices(seqs(spark, rows), 5, "seq_id").collect()}
+    assert got == {(i, p): t[p : p + 5] for i, t in rows for p in range(len(t) - 4)}
