@@ -6,6 +6,8 @@ occurrence (sequence, place); they are integers without an upper bound.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ from ..sources.tables import read_meta, write_meta
 KMER_MODES = ("winnowing", "mod")
 #: Queries with fewer selected k-mers are skipped.
 MIN_SELECTED = 6
+#: First occurrences that a task holds.
+SEEN = 1 << 21
+#: Words of a dictionary that are sent to every task, by count; beyond it sketches are shuffled to them.
+BROADCAST_WORDS = 400_000
 # Symbol counts that the reference's adaptive index chooses from.
 ADAPTIVE_SIGMAS = (3, 4, 5, 6, 16, 32, 64, 128)
 
@@ -36,15 +42,49 @@ def sketch(seqs: DataFrame, k: int = 1, mode: str = "winnowing", window: int = 1
     return minimizers(seqs, k, window) if mode == "winnowing" else mod_mers(seqs, k, mod_exp)
 
 
+def first_seen(selected: DataFrame) -> DataFrame:
+    """value, seq_id, pos: of each value, one row or few of a task, its first occurrence among them.
+
+    A task keeps the first occurrences that it has seen, and gives them away when they are more than SEEN, so that few rows
+    are left to sort and to shuffle.
+    """
+
+    def first(parts):
+        seq_id, pos, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((pos, seq_id, value))
+        order = order[np.r_[True, value[order][1:] != value[order][:-1]]] if len(order) else order
+        return seq_id[order], pos[order], value[order]
+
+    def rows(kept):
+        for a in range(0, len(kept[0]), SEEN // 8):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + SEEN // 8]) for x in kept], names=["seq_id", "pos", "value"])
+
+    def run(batches):
+        kept, new, n = [], [], 0
+        for batch in batches:
+            new.append(first([[batch.column(c).to_numpy() for c in ("seq_id", "pos", "value")]]))
+            n += len(new[-1][0])
+            if n >= SEEN // 2:
+                kept, new, n = first([*([kept] if kept else []), *new]), [], 0
+                if len(kept[0]) >= SEEN:
+                    yield from rows(kept)
+                    kept = []
+        if kept or new:
+            yield from rows(first([*([kept] if kept else []), *new]))
+
+    return selected.select(*(F.col(c).cast("long").alias(c) for c in ("seq_id", "pos", "value"))).mapInArrow(run, "seq_id long, pos long, value long")
+
+
 def dictionary(selected: DataFrame) -> DataFrame:
     """kmer_hash, kmer_id: first-seen order. Distinct k-mers are ranged and numbered by partition, not in one task."""
-    first = selected.groupBy(F.col("value").alias("kmer_hash")).agg(F.min(F.struct("seq_id", "pos")).alias("at"))
+    first = first_seen(selected).groupBy(F.col("value").alias("kmer_hash")).agg(F.min(F.struct("seq_id", "pos")).alias("at"))
     flat = first.select("kmer_hash", F.col("at.seq_id").alias("s"), F.col("at.pos").alias("p"))
     return number_rows(flat, "n", "s", "p", "kmer_hash").select("kmer_hash", (F.col("n") + 1).cast("int").alias("kmer_id"))
 
 
 def id_texts(selected: DataFrame, words: DataFrame) -> DataFrame:
     """seq_id, kmer_ids in order of place."""
+    words = F.broadcast(words) if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else words
     rows = selected.join(words, F.col("value") == F.col("kmer_hash"))
     return rows.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kmer_id"))).alias("x")).select("seq_id", F.col("x.kmer_id").alias("kmer_ids"))
 
