@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kmers import check_k, minimizers, mod_mers
+from ..functions.kmers import HELD, check_k, held_parts, long_enough, minimizer_chunks, minimizers, mod_mer_chunks, mod_mers, selected_parts
+from ..shared import stage
 from ..sources.fasta import number_rows
 from ..sources.tables import read_meta, write_meta
 
@@ -20,8 +21,11 @@ KMER_MODES = ("winnowing", "mod")
 MIN_SELECTED = 6
 #: First occurrences that a task holds.
 SEEN = 1 << 21
-#: Words of a dictionary that are sent to every task, by count; beyond it sketches are shuffled to them.
-BROADCAST_WORDS = 400_000
+#: Words of a dictionary that are joined by broadcast; words (12 bytes each) that tasks look up where they sketch; beyond
+#: both, sketches are shuffled to them.
+BROADCAST_WORDS, HELD_WORDS = 400_000, 1 << 22
+#: Ids of all queries, and candidates of a search, that are sent to every task; beyond them texts are shuffled.
+BROADCAST_IDS, BROADCAST_STARTS = 400_000, 400_000
 # Symbol counts that the reference's adaptive index chooses from.
 ADAPTIVE_SIGMAS = (3, 4, 5, 6, 16, 32, 64, 128)
 
@@ -34,16 +38,24 @@ def adaptive_sigma(largest_value: int) -> int:
     raise ValueError(f"{largest_value} is beyond the largest adaptive index of {ADAPTIVE_SIGMAS[-1]} symbols")
 
 
-def sketch(seqs: DataFrame, k: int = 1, mode: str = "winnowing", window: int = 1, mod_exp: int = 4) -> DataFrame:
-    """seq_id, pos, value of the selected k-mers."""
+def _chunks(k: int, mode: str, window: int, mod_exp: int):
+    """(place, value) of the selected k-mers of each chunk, as a function of the sequence; the least letters that have any."""
     check_k(k)
     if mode not in KMER_MODES:
         raise ValueError(f"mode must be of {KMER_MODES}")
+    if window < 1 or not 0 <= mod_exp <= 62:
+        raise ValueError("window must be at least 1, mod_exp from 0 to 62")
+    return (lambda seq: minimizer_chunks(seq, k, window), k + window - 1) if mode == "winnowing" else (lambda seq: mod_mer_chunks(seq, k, mod_exp), k)
+
+
+def sketch(seqs: DataFrame, k: int = 1, mode: str = "winnowing", window: int = 1, mod_exp: int = 4) -> DataFrame:
+    """seq_id, pos, value of the selected k-mers."""
+    _chunks(k, mode, window, mod_exp)
     return minimizers(seqs, k, window) if mode == "winnowing" else mod_mers(seqs, k, mod_exp)
 
 
-def first_seen(selected: DataFrame) -> DataFrame:
-    """value, seq_id, pos: of each value, one row or few of a task, its first occurrence among them.
+def _first_rows(parts):
+    """Batches of value, seq_id, pos: of each value, its first occurrence in parts (seq_id, pos, value), as far as they are held.
 
     A task keeps the first occurrences that it has seen, and gives them away when they are more than SEEN, so that few rows
     are left to sort and to shuffle.
@@ -59,25 +71,53 @@ def first_seen(selected: DataFrame) -> DataFrame:
         for a in range(0, len(kept[0]), SEEN // 8):
             yield pa.RecordBatch.from_arrays([pa.array(x[a : a + SEEN // 8]) for x in kept], names=["seq_id", "pos", "value"])
 
+    kept, new, n = [], [], 0
+    for part in parts:
+        new.append(first([part]))
+        n += len(new[-1][0])
+        if n >= SEEN // 2:
+            kept, new, n = first([*([kept] if kept else []), *new]), [], 0
+            if len(kept[0]) >= SEEN:
+                yield from rows(kept)
+                kept = []
+    if kept or new:
+        yield from rows(first([*([kept] if kept else []), *new]))
+
+
+_OCCURRENCE = "seq_id long, pos long, value long"
+
+
+def first_seen(selected: DataFrame) -> DataFrame:
+    """value, seq_id, pos: of each value, one row or few of a task, its first occurrence among them."""
+
     def run(batches):
-        kept, new, n = [], [], 0
-        for batch in batches:
-            new.append(first([[batch.column(c).to_numpy() for c in ("seq_id", "pos", "value")]]))
-            n += len(new[-1][0])
-            if n >= SEEN // 2:
-                kept, new, n = first([*([kept] if kept else []), *new]), [], 0
-                if len(kept[0]) >= SEEN:
-                    yield from rows(kept)
-                    kept = []
-        if kept or new:
-            yield from rows(first([*([kept] if kept else []), *new]))
+        yield from _first_rows([batch.column(c).to_numpy() for c in ("seq_id", "pos", "value")] for batch in batches)
+
+    return selected.select(*(F.col(c).cast("long").alias(c) for c in ("seq_id", "pos", "value"))).mapInArrow(run, _OCCURRENCE)
 
-    return selected.select(*(F.col(c).cast("long").alias(c) for c in ("seq_id", "pos", "value"))).mapInArrow(run, "seq_id long, pos long, value long")
+
+def first_selected(seqs: DataFrame, k: int = 1, mode: str = "winnowing", window: int = 1, mod_exp: int = 4) -> DataFrame:
+    """first_seen() of a sketch, taken where the k-mers are selected: only first occurrences leave the task."""
+    select, least = _chunks(k, mode, window, mod_exp)
+
+    def run(batches):
+        yield from _first_rows(held_parts(selected_parts(batches, select)))
+
+    return long_enough(seqs, least).mapInArrow(run, _OCCURRENCE)
 
 
 def dictionary(selected: DataFrame) -> DataFrame:
     """kmer_hash, kmer_id: first-seen order. Distinct k-mers are ranged and numbered by partition, not in one task."""
-    first = first_seen(selected).groupBy(F.col("value").alias("kmer_hash")).agg(F.min(F.struct("seq_id", "pos")).alias("at"))
+    return _numbered(first_seen(selected))
+
+
+def sketch_dictionary(seqs: DataFrame, k: int = 1, mode: str = "winnowing", window: int = 1, mod_exp: int = 4) -> DataFrame:
+    """dictionary() of the sketch of sequences."""
+    return _numbered(first_selected(seqs, k, mode, window, mod_exp))
+
+
+def _numbered(seen: DataFrame) -> DataFrame:
+    first = seen.groupBy(F.col("value").alias("kmer_hash")).agg(F.min(F.struct("seq_id", "pos")).alias("at"))
     flat = first.select("kmer_hash", F.col("at.seq_id").alias("s"), F.col("at.pos").alias("p"))
     return number_rows(flat, "n", "s", "p", "kmer_hash").select("kmer_hash", (F.col("n") + 1).cast("int").alias("kmer_id"))
 
@@ -89,16 +129,53 @@ def id_texts(selected: DataFrame, words: DataFrame) -> DataFrame:
     return rows.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kmer_id"))).alias("x")).select("seq_id", F.col("x.kmer_id").alias("kmer_ids"))
 
 
+def sketch_texts(seqs: DataFrame, words: DataFrame, k: int = 1, mode: str = "winnowing", window: int = 1, mod_exp: int = 4) -> DataFrame:
+    """id_texts() of the sketch of sequences. Dictionaries of up to HELD_WORDS are sent to the tasks, so that no sketch is shuffled."""
+    if words.limit(HELD_WORDS + 1).count() > HELD_WORDS:
+        return id_texts(sketch(seqs, k, mode, window, mod_exp), words)
+    select, least = _chunks(k, mode, window, mod_exp)
+    table = words.select("kmer_hash", "kmer_id").toArrow()
+    known, ids = (table.column(c).to_numpy() for c in ("kmer_hash", "kmer_id"))
+    order = np.argsort(known)
+    sent = seqs.sparkSession.sparkContext.broadcast((known[order], ids[order]))
+
+    def run(batches):
+        known, ids = sent.value
+        rows, held, n = [], [], 0
+
+        def out():
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in held]))).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(held), pa.int32()))], names=["seq_id", "kmer_ids"])
+
+        for batch in batches:
+            seq_ids, texts = batch.column("seq_id").to_numpy(), batch.column("seq")
+            for i, seq_id in enumerate(seq_ids):
+                found = [value for _, value in select(texts[i].as_py())]
+                value = np.concatenate(found) if found else np.zeros(0, np.int64)
+                at = np.minimum(np.searchsorted(known, value), max(len(known) - 1, 0))
+                text = ids[at[known[at] == value]] if len(known) else ids[:0]
+                if len(text):
+                    rows.append(seq_id)
+                    held.append(text)
+                    n += len(text)
+                if n >= HELD:
+                    yield out()
+                    rows, held, n = [], [], 0
+        if rows:
+            yield out()
+
+    return long_enough(seqs, least).mapInArrow(run, "seq_id long, kmer_ids array<int>")
+
+
 def build_kmer_index(refs: DataFrame, path: str, k: int = 1, mode: str = "winnowing", window: int = 1, mod_exp: int = 4) -> dict:
     """Write id texts, dictionary and description. Raises ValueError for an empty collection."""
     if refs.isEmpty():
         raise ValueError("the reference collection is empty")
     spark = refs.sparkSession
-    selected = sketch(refs, k, mode, window, mod_exp)
-    words = dictionary(selected)
+    words = sketch_dictionary(refs, k, mode, window, mod_exp)
     words.write.mode("overwrite").parquet(f"{path}/dictionary")
     words = spark.read.parquet(f"{path}/dictionary")
-    id_texts(selected, words).write.mode("overwrite").parquet(f"{path}/texts")
+    sketch_texts(refs, words, k, mode, window, mod_exp).write.mode("overwrite").parquet(f"{path}/texts")
     facts = kmer_statistics(spark.read.parquet(f"{path}/texts"), words).first()
     meta = {"kind": "kmer", "mode": mode, "k": k, "window": window, "mod_exp": mod_exp, "largest_value": facts.distinct_kmers}
     write_meta(spark, path, **meta)
@@ -142,14 +219,20 @@ def admission_report(rows: DataFrame) -> DataFrame:
 def search_texts(texts: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, src_id, seq_id, pos: occurrences of each id list in the texts, in sketch coordinates.
 
-    The equi-join is on the query's rarest id, so that common k-mers don't multiply candidates.
+    The equi-join is on the query's rarest id, so that common k-mers don't multiply candidates. Few queries and candidates,
+    by count, are broadcast: places and texts stream past them and are not shuffled.
     """
+    queries = stage(queries)
+    own = queries.select("query_id", "src_id", "kmer_ids", F.posexplode("kmer_ids").alias("offset", "kmer_id"))
+    few = own.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    near = F.broadcast if few else lambda df: df
     places = texts.select("seq_id", F.posexplode("kmer_ids").alias("p", "kmer_id"))
-    counts = places.groupBy("kmer_id").agg(F.count(F.lit(1)).alias("n"))
-    ids = queries.select("query_id", "src_id", "kmer_ids", F.posexplode("kmer_ids").alias("offset", "kmer_id")).join(counts, "kmer_id", "left")
+    counts = places.join(near(own.select("kmer_id").distinct()), "kmer_id", "left_semi").groupBy("kmer_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = own.join(counts, "kmer_id", "left")
     rare = ids.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "kmer_id")).alias("r")).select("query_id", "r.offset", "r.kmer_id")
-    starts = places.join(rare, "kmer_id").select("query_id", "seq_id", (F.col("p") - F.col("offset")).alias("at")).filter("at >= 0")
-    wide = starts.join(queries, "query_id").join(texts.withColumnRenamed("kmer_ids", "ref"), "seq_id")
+    starts = stage(places.join(near(rare), "kmer_id").select("query_id", "seq_id", (F.col("p") - F.col("offset")).alias("at")).filter("at >= 0"))
+    lists = texts.withColumnRenamed("kmer_ids", "ref")
+    wide = lists.join(F.broadcast(starts) if starts.count() <= BROADCAST_STARTS else starts, "seq_id").join(near(queries), "query_id")
     hit = F.slice("ref", F.col("at") + 1, F.size("kmer_ids")) == F.col("kmer_ids")
     return wide.filter(hit).select("query_id", "src_id", "seq_id", F.col("at").cast("long").alias("pos"))
 
