@@ -262,3 +262,16 @@ def test_slices_of_all_places(spark):
     rows = [(1, "ACGTN" * 203), (2, "ACG"), (3, "A" * (PIECE + 4)), (4, "")]
     got = {(r.seq_id, r.p): bytes(r.slice).decode() for r in slices(seqs(spark, rows), 5, "seq_id").collect()}
     assert got == {(i, p): t[p : p + 5] for i, t in rows for p in range(len(t) - 4)}
+
+
+@pytest.mark.parametrize("size", [1 << 20, 70])
+def test_least_grams_of_sequences_side_by_side(spark, monkeypatch, size):
+    """Sequences that are hashed together hold the places of each alone; none lies across two."""
+    monkeypatch.setattr(index, "SLICE", size)
+    rng = random.Random(17)
+    refs = seqs(spark, [(3 * i, "".join(rng.choice("ACGT") for _ in range(rng.randrange(90)))) for i in range(60)]).repartition(2)
+    want = [(r.seq[p : p + 6].encode(), r.seq_id, int(p)) for r in refs.collect() for p in np.unique(index.least_grams(r.seq.encode(), 6, 5))]
+    assert sorted((bytes(r.gram), r.seq_id, r.p) for r in index.held_grams(refs, 6, 5).collect()) == sorted(want)
+    letters = np.frombuffer(b"ACGTTGCAACGT", np.uint8)
+    of, places, at = index.least_places(letters, np.array([5, 7]), 3, 2)
+    assert ((at - np.array([0, 5])[of]) == places).all() and (places + 3 <= np.array([5, 7])[of]).all()
