@@ -110,7 +110,7 @@ def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = own.select("hi", "lo", F.inline(keys))
     key = ["t", *[f"k{i}" for i in range(FREE)]]
     counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    live = stage_alone(rows.join(counted, key).withColumn("m", F.ceil(F.col("n") / BUCKET).cast("int")).withColumn("part", F.pmod(F.xxhash64("hi", "lo"), F.col("m")).cast("int")))
+    live = stage_alone(rows.join(_shuffled(counted), key).withColumn("m", F.ceil(F.col("n") / BUCKET).cast("int")).withColumn("part", F.pmod(F.xxhash64("hi", "lo"), F.col("m")).cast("int")))
     held = live.groupBy(*key, "part").agg(F.collect_list(F.struct("hi", "lo")).alias("others"))
     asked = live.select("hi", "lo", *key, F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("part"))
 
@@ -123,9 +123,14 @@ def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             shared = shared + F.when(_bits(a, b, block) == 0, 1 << i).otherwise(0)
         return (distance > 0) & (distance <= radius) & (_lowest(shared) == F.element_at(F.array(*[F.lit(sum(1 << b for b in pick)) for pick in tables]), F.col("t") + 1))
 
-    found = asked.join(held, [*key, "part"]).select("hi", "lo", F.size(F.filter("others", near)).alias("c"))
+    found = asked.join(_shuffled(held), [*key, "part"]).select("hi", "lo", F.size(F.filter("others", near)).alias("c"))
     sums = found.groupBy("hi", "lo").agg(F.sum("c").cast("long").alias("n_near"))
-    return own.join(sums, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    return own.join(_shuffled(sums), ["hi", "lo"], "left").select("hi", "lo", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+
+
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: Spark sizes it by files and rows that were compressed or not yet exploded."""
+    return side.hint("merge")
 
 
 def _lowest(shared: Column) -> Column:
@@ -176,10 +181,11 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     halves = [F.max(F.when(F.col("side") == s, F.col(h))).alias(name) for s, h, name in ((0, "hi", "hi"), (0, "lo", "lo"), (1, "hi", "ehi"), (1, "lo", "elo"))]
     prints = fingerprints(both, "run", "uid", "side").groupBy("run", "uid").agg(*halves).drop("run")
     facts = pairs.select("uid", "next_uid", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    done = stage_alone(facts.join(prints, "uid").join(rows.select("uid", "doc_id"), "uid"))
+    done = stage_alone(facts.join(_shuffled(prints), "uid").join(_shuffled(rows.select("uid", "doc_id")), "uid"))
     drop_stage(rows)
     tidy(docs.sparkSession)
     same = done.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_same"))
     of_next = done.select(F.col("uid").alias("next_uid"), F.col("hi").alias("nhi"), F.col("lo").alias("nlo"))
-    all_ = done.join(of_next, "next_uid").join(same.join(near_counts(same, radius), ["hi", "lo"]), ["hi", "lo"])
+    near = same.join(_shuffled(near_counts(same, radius)), ["hi", "lo"])
+    all_ = done.join(_shuffled(of_next), "next_uid").join(_shuffled(near), ["hi", "lo"])
     return all_.select("doc_id", "n_chars", "edited_sha256", digits("hi", "lo").alias("fingerprint"), digits("ehi", "elo").alias("edited_fingerprint"), likeness("hi", "lo", "ehi", "elo").alias("near_edited"), likeness("hi", "lo", "nhi", "nlo").alias("near_next"), "n_same", "n_near")

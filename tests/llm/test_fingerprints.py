@@ -92,3 +92,14 @@ def test_copies_and_near_copies(spark):
     assert got[1].fingerprint == got[2].fingerprint and got[1].n_same == 2
     assert got[1].n_near + (got[3].fingerprint == got[1].fingerprint) == 1 and got[4].n_near == 0
     assert all(0.55 < got[d].near_edited < 0.8 for d in (2, 3, 4))
+
+
+def test_no_side_of_a_join_is_broadcast(spark, monkeypatch):
+    """Rows of all block tables are 28 times the fingerprints that Spark sizes them by; whole tables must not come to the driver."""
+    plans, real = [], fp.stage_alone
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(fp, "stage_alone", lambda df: plans.append(plan(df)) or real(df))
+    out = fp.fingerprint_documents(frame(spark, ["some words of a text", "other words of a text", "one more"]))
+    plans.append(plan(out))
+    assert len(plans) == 4 and sum(p.count("SortMergeJoin") for p in plans) >= 8
+    assert not any("Broadcast" in p for p in plans)
