@@ -7,6 +7,7 @@ import shutil
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandlake import queries as engine
@@ -275,3 +276,67 @@ def test_least_grams_of_sequences_side_by_side(spark, monkeypatch, size):
     letters = np.frombuffer(b"ACGTTGCAACGT", np.uint8)
     of, places, at = index.least_places(letters, np.array([5, 7]), 3, 2)
     assert ((at - np.array([0, 5])[of]) == places).all() and (places + 3 <= np.array([5, 7])[of]).all()
+
+
+@pytest.mark.parametrize("alphabet", ["dna4", "dna5", "dr_dna4", "dr_dna5"])
+def test_numbers_of_grams_are_in_the_order_of_their_letters(spark, alphabet):
+    rng, digits = random.Random(3), index.digits_of(alphabet)
+    for g in (1, 5, 13, index.PACKED):
+        seq = "".join(rng.choice(digits) for _ in range(300))
+        numbers = index.gram_numbers(np.frombuffer(seq.encode(), np.uint8), np.arange(300 - g + 1), g, digits).tolist()
+        want = [seq[i : i + g] for i in range(300 - g + 1)]
+        got = spark.createDataFrame(list(enumerate(numbers)), "i int, number long").select("i", index.spell("number", g, digits).cast("string").alias("gram")).collect()
+        assert [r.gram for r in sorted(got)] == want
+        assert [want[i] for i in np.argsort(numbers, kind="stable")] == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1 << 20, 100, 31])
+def test_least_grams_over_slices(monkeypatch, size):
+    """Slices of long sequences hold each place once; short sequences are hashed side by side."""
+    monkeypatch.setattr(index, "SLICE", size)
+    rng = random.Random(size)
+    rows = [(7 * i, "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate((20, 500, 13, 14, 99, 31, 1, 260, 0))] + [(99, "A" * 400), (100, "ACG" * 90)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t.encode() for _, t in rows])], names=["seq_id", "b"])
+    for g, window in ((6, 8), (6, 1), (9, 2)):
+        span = g + window - 1
+        enough = [(i, t) for i, t in rows if len(t) >= span]
+        long = batch.filter(pa.array([len(t) >= span for _, t in rows]))
+        want = [(i, int(p), t[p : p + g].encode()) for i, t in enough for p in np.unique(index.least_grams(t.encode(), g, window))]
+        got = [(i, p, own[a : a + g].tobytes()) for own, ids, places, at, _ in index._least(index._slices([long], span), g, window) for i, p, a in zip(ids.tolist(), places.tolist(), at.tolist(), strict=True)]
+        assert got == want
+
+
+def test_wanted_grams_are_counted_where_sequences_lie(spark, tmp_path, monkeypatch):
+    """Places of the stored sequences are no rows of the plan, however many there are; beyond COUNTED grams they are joined, with equal counts."""
+    rng = random.Random(8)
+    refs = [(i, "".join(rng.choice("ACGT") for _ in range(rng.randrange(60)))) for i in range(90)] + [(200, "ACGTT" * 30), (201, "N" * 40)]
+    path = f"{tmp_path}/w"
+    meta = index.build_index(seqs(spark, refs), path, gram_len=4, window=3)
+    wanted = spark.createDataFrame([(bytearray(g.encode()),) for g in ("ACGT", "CGTT", "NNNN", "AAAA", "TTTT", "GATC", "ACGT")], "gram binary")
+    want = {g: n for g in {bytes(r.gram).decode() for r in wanted.collect()} if (n := sum(t.startswith(g, i) for _, t in refs for i in range(len(t)))) >= index.COMMON}
+    counted = index.sequence_counts(spark, path, meta, wanted)
+    assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(index, "COUNTED", 0)
+    for df in (counted, index.sequence_counts(spark, path, meta, wanted)):
+        assert {bytes(r.gram).decode(): r.n for r in df.collect()} == want and {r.cells for r in df.collect()} == {1}
+    monkeypatch.undo()
+    assert index.sequence_counts(spark, path, meta, wanted.limit(0)).collect() == []
+
+
+def test_buckets_are_sorted_and_written_once(spark, tmp_path, monkeypatch):
+    """Each bucket is one file with its cells in order, also where a gram has several cells, and the writer sorts nothing again."""
+    refs, _ = repetitive(6)
+    monkeypatch.setattr(index, "CELL", 5)
+    monkeypatch.setattr(index, "LEAST_ROWS", 100)
+    path = f"{tmp_path}/b"
+    plans, real = [], index._write_buckets
+    monkeypatch.setattr(index, "_write_buckets", lambda rows, *a: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or real(rows, *a))
+    meta = index.build_index(seqs(spark, refs), path, gram_len=6)
+    assert meta["buckets"] > 3 and all(p.count("+- Sort") == 1 for p in plans) and len(plans) == 3
+    for name, key in (("grams", "cell"), ("counts", "gram"), ("parts", "part")):
+        files = {f.name: int(re.search(r"_(\d{5})\.", f.name)[1]) for f in Path(path, name).glob("*.parquet")}
+        assert len(set(files.values())) == len(files)
+        for f, bucket in files.items():
+            rows = spark.read.parquet(f"{path}/{name}/{f}").select(key, index.F.expr(f"pmod(hash({key}), {meta['buckets']})").alias("b")).collect()
+            keys = [r[0] if name == "parts" else bytes(r[0]) for r in rows]
+            assert keys == sorted(keys) and {r.b for r in rows} <= {bucket}
