@@ -340,3 +340,33 @@ def test_buckets_are_sorted_and_written_once(spark, tmp_path, monkeypatch):
             rows = spark.read.parquet(f"{path}/{name}/{f}").select(key, index.F.expr(f"pmod(hash({key}), {meta['buckets']})").alias("b")).collect()
             keys = [r[0] if name == "parts" else bytes(r[0]) for r in rows]
             assert keys == sorted(keys) and {r.b for r in rows} <= {bucket}
+
+
+def test_indexes_share_tables(spark, tmp_path):
+    """Another description of an index's tables answers as an index of its own; an alphabet that lacks a symbol is refused, with its place."""
+    refs, queries = repetitive(7)
+    own, path = seqs(spark, queries, "src_id"), f"{tmp_path}/bi"
+    meta = index.build_index(seqs(spark, refs), path, gram_len=6)
+    for alphabet, kind, sigma in (("dna4", "bi", 5), ("dna5", "uni", 6)):
+        other = f"{tmp_path}/{alphabet}-{kind}"
+        index.share_index(spark, other, path, alphabet, kind)
+        shared = read_meta(spark, other, kind)
+        assert (shared["alphabet"], shared["sigma"], shared["n_seqs"], shared["total_size"]) == (alphabet, sigma, meta["n_seqs"], meta["total_size"])
+        for again in (other, f"{tmp_path}/again-{kind}"):
+            errors = 0 if kind == "uni" else 1
+            assert hits(index.search_index(spark, again, own, errors)) == hits(index.search_index(spark, path, own, errors)) != {}
+            index.share_index(spark, f"{tmp_path}/again-{kind}", other, alphabet, kind)
+    with pytest.raises(ValueError, match="letters of dna5"):
+        index.share_index(spark, f"{tmp_path}/x", path, "dr_dna5", "rbi")
+    index.build_index(seqs(spark, [(0, "ACGTACGT"), (4, "ACGNT")]), f"{tmp_path}/n", gram_len=2)
+    with pytest.raises(Exception, match="record 4 .*symbol 'N' .*at place 3"):
+        index.share_index(spark, f"{tmp_path}/x", f"{tmp_path}/n", "dna4", "bi")
+
+
+def test_index_facts_write_tables_of_equal_letters_once(spark, monkeypatch):
+    built, real = [], engine.build_index
+    monkeypatch.setattr(engine, "build_index", lambda refs, path, alphabet, kind: built.append(alphabet) or real(refs, path, alphabet, kind))
+    rows = {tuple(r) for r in engine.index_facts(spark, SF.replace("0.01", "0.001")).collect()}
+    assert built == ["dna5", "dr_dna5"]
+    n, size = engine.references(spark, SF.replace("0.01", "0.001")).selectExpr("count(*)", "sum(length(seq))").first()
+    assert rows == {(a, k, n, size, s, True) for a, k, s in (("dna5", "bi", 6), ("dna4", "bi", 5), ("dna5", "uni", 6), ("dr_dna5", "rbi", 4), ("dr_dna4", "rbi", 3))}
